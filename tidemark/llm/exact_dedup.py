@@ -71,7 +71,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, digits: int = 64, files_pe
 
 def unequal(rows: DataFrame, keep: DataFrame) -> DataFrame:
     """Digests of hits whose bytes are not those of the row that stays, one row each."""
-    hits = rows.select("doc_id", "digest", "norm").join(keep.filter("group_size > 1").select("digest", "keep_id"), "digest")
+    hits = staged(rows.select("doc_id", "digest", "norm").join(keep.filter("group_size > 1").select("digest", "keep_id"), "digest"), "dedup-hits")
     kept = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"])
     return staged(hits.join(kept, "digest").filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct(), "dedup-differ")
 
