@@ -30,7 +30,8 @@ def stream_groups(spark: SparkSession, path: str, schema, files_per_batch: int)
     A batch writes its changed groups under its number, so a batch that runs again after a failure replaces its own rows."""
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    # each partition of the state is a database of its own on an executor's disk, so their number follows the cores
+    session.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(max(8, 2 * spark.sparkContext.defaultParallelism)))
     out, checkpoint = new_path(spark, "dedup-groups"), new_path(spark, "dedup-stream")
     groups = (
         session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).groupBy("digest")
@@ -41,7 +42,7 @@ def stream_groups(spark: SparkSession, path: str, schema, files_per_batch: int)
         .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     )
     query.awaitTermination()
-    schema = f"digest string, best struct<n_points: int, rev_id: bigint, row: bigint, locator: string>, group_size bigint, batch int"
+    schema = "digest string, best struct<n_points: int, rev_id: bigint, row: bigint, locator: string>, group_size bigint, batch int"
     return spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max_by("best", "batch").alias("best"), F.max("group_size").alias("group_size"))
 
 
