@@ -67,7 +67,7 @@ def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     for i in range(2 * t):
         if not len(open_):
             break
-        value = mixed(items + np.uint64(i + 1) * ODD[0])
+        value = mixed(items + ODD[:1] * np.uint64(i + 1))
         slot = (value % np.uint64(t)).astype(np.int64) if i < t else np.full(len(items), i - t)
         fresh = np.full((len(sets), t), full)
         np.minimum.at(fresh.reshape(-1), owner * t + slot, value >> np.uint64(1))
