@@ -49,10 +49,12 @@ def hypergeometric(n: Column, total: Column, draws: Column, u: Column) -> Column
     xs = F.sequence(low, F.greatest(low, high))
     one, zero = F.lit(1.0), F.lit(0.0)
     mass = F.aggregate(xs, F.struct(one.alias("w"), zero.alias("s")), lambda a, x: F.struct((a["w"] * ratio(x)).alias("w"), (a["s"] + a["w"]).alias("s")))["s"]
-    return F.aggregate(
-        xs, F.struct(one.alias("w"), zero.alias("s"), low.alias("x")),
-        lambda a, x: F.struct((a["w"] * ratio(x)).alias("w"), (a["s"] + a["w"]).alias("s"), F.when(a["s"] <= u * mass, x).otherwise(a["x"]).alias("x")),
-    )["x"]
+
+    def pick(mass: Column) -> Column:
+        start = F.struct(one.alias("w"), zero.alias("s"), low.alias("x"))
+        return F.aggregate(xs, start, lambda a, x: F.struct((a["w"] * ratio(x)).alias("w"), (a["s"] + a["w"]).alias("s"), F.when(a["s"] <= u * mass, x).otherwise(a["x"]).alias("x")))["x"]
+
+    return F.transform(F.array(mass), pick)[0]  # binds the sum, which else would be computed again for each weight
 
 
 def uniform(*parts: Column) -> Column:
