@@ -1,6 +1,8 @@
-"""Registry of the queries over the driver's tables and their DuckDB equivalents."""
+"""All queries over the driver's tables and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import cycles, market, series, views  # noqa: F401  registering is what the import is for
+from .plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
