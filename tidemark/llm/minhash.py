@@ -6,9 +6,9 @@ is filled for any set. Two sets agree in a coordinate with the probability of th
 share of equal coordinates concentrates as with independent hash functions, at the cost of little more than one round.
 
 Documents of equal sets form a class and enter once. Classes that share a band are candidates: first each bucket's members against
-one head, then, as long as a bucket holds several components, against other heads, then all pairs of different components.
-So a group of near copies costs a star and not its square. Candidates whose sketches make 0.75 all but impossible are
-dropped; all others are verified on the full sets of shingles."""
+its head, the member that shares most bands with others, so a group of near copies costs a star; then, where that leaves several
+components, the members outside the main one against all that share the head, in blocks that compare sketches and then full sets.
+Candidates whose sketches make 0.75 all but impossible are dropped; all others are verified on the full sets of shingles."""
 
 from __future__ import annotations
 
@@ -124,15 +124,22 @@ def likely(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "xs", "ys").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b whose full sets have 100 times the intersection at least 75 times the union."""
+def set_table(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """needed: doc_id. node and items, the full set of shingles, of each."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
                 yield pa.record_batch([part["doc_id"], pa.array([s.tobytes() for s in shingle_sets(part["text"].to_pylist())], pa.binary())], names=["node", "items"])
 
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
+    return staged(texts.mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"]), "near-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b whose full sets have 100 times the intersection at least 75 times the union."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -142,66 +149,98 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(sets_of, "node bigint, items binary").dropDuplicates(["node"]), "near-sets")
+    sets = set_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), sets.select(F.col("node").alias("b"), F.col("items").alias("ys"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "xs", "ys").mapInArrow(confirm, "a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame, star_rounds: int = 2, least: float = 0.5, direct: int = 200) -> DataFrame:
+def near_dedup(docs: DataFrame, least: float = 0.57, block: int = 512) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
     A null or wordless text has no shingles and is a component of its own. Rows with one doc_id are one node; null doc_ids
-    are one node after all others. An empty table gives no rows; other columns are not read. Buckets of more than `direct`
-    classes are split by a second band before their pairs are formed; a pair at 0.75 shares fewer than two of 32 bands of 4
-    once in 10**4."""
+    are one node after all others. An empty table gives no rows; other columns are not read."""
     found = staged(signatures(docs), "near-signatures")
     classes = found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("node"))
-    heads = found.join(classes, "class").filter("doc_id = node").dropDuplicates(["node"])
-    nodes = staged(heads.select("node", "n", "sketch", "bands"), "near-nodes")
-    links = None
-    label = nodes.select("node", F.col("node").alias("component"))
-    for k in range(star_rounds + 1):
-        bands = nodes.select("node", F.explode("bands").alias("band"))
-        if k:
-            bands = bands.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = star(bands, k) if k < star_rounds else all_pairs(staged(bands, "near-bands"), nodes, label, direct)
-        pairs = staged(likely(pairs, nodes.select("node", "n", "sketch"), least), "near-pairs")
-        if pairs.isEmpty():
-            if k == 0:
-                break
-            continue
-        new = staged(verified(pairs, docs), "near-links")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            label = staged(components(links), "near-components")
+    nodes = staged(found.join(classes, "class").filter("doc_id = node").dropDuplicates(["node"]).select("node", "n", "sketch", "bands"), "near-nodes")
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    size = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = staged(bands.join(size, "band"), "near-shared")
+    # the centre of a group of near copies agrees with most of them, so its buckets are the largest
+    mass = shared.groupBy("node").agg(F.sum("m").alias("mass"))
+    ranked = shared.join(mass, "node").select("node", "band", F.struct("mass", -F.col("node"), "node").alias("rank"))
+    head = ranked.groupBy("band").agg(F.max("rank")["node"].alias("head"))
+    family = staged(ranked.join(head, "band").select("node", "head").distinct(), "near-families")
+    codes = nodes.select("node", "n", "sketch")
+    stars = family.filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = staged(verified(staged(likely(stars, codes, least), "near-pairs"), docs), "near-links")
+    label = staged(components(links), "near-components")
+    more = staged(within_families(family, label, codes, docs, least, block), "near-links")
+    if not more.isEmpty():
+        label = staged(components(links.unionByName(more)), "near-components")
     joined = found.select("doc_id", "n", "class").join(classes, "class", "left").join(label, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     real = lambda c: F.nullif(c, F.lit(NOBODY))
     return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def star(bands: DataFrame, k: int) -> DataFrame:
-    """Each bucket's members with its head: the smallest node, in later rounds the first by a hash, of another component."""
-    if k == 0:
-        head = bands.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last")
-        return bands.join(head, "band").filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    first = F.min(F.struct(F.xxhash64(F.lit(k), "component", "node").alias("h"), "node", "component")).alias("head")
-    head = bands.groupBy("band").agg(first, F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    pairs = bands.join(head, "band").filter("component != head.component")
-    return pairs.select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")).distinct()
-
-
-def all_pairs(bands: DataFrame, nodes: DataFrame, label: DataFrame, direct: int) -> DataFrame:
-    """All pairs of different components within a bucket; buckets of more than `direct` members are split by a second band."""
-    mixed_ = bands.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low != high")
-    rows = bands.join(mixed_.select("band", "m"), "band")
-    small = rows.filter(F.col("m") <= direct).select("node", "component", F.col("band").alias("key"))
-    large = rows.filter(F.col("m") > direct).join(nodes.select("node", "bands"), "node").select("node", "component", "band", F.explode("bands").alias("other")).filter("band < other")
-    rows = small.unionByName(large.select("node", "component", F.xxhash64("band", "other").alias("key")))
-    x, y = rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "key").filter("ca != cb and a > b").select("a", "b").distinct()
+def within_families(family: DataFrame, label: DataFrame, codes: DataFrame, docs: DataFrame, least: float, block: int) -> DataFrame:
+    """Links a, b between different components of a family, the members of the buckets that one head leads.
+
+    Members of a family's main component are not compared with each other. Its other members, in blocks, are compared with all
+    members, in blocks: first sketches, which tell the members that may have a partner in a block, then the full sets of these,
+    whose intersections are one matrix product. No pair becomes a row unless it is a link."""
+    rows = family.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("head", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("head").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+    cut = lambda c: F.ceil(F.col(c) / block).cast("int")
+    rows = rows.join(main, "head").join(codes, "node").select("head", "node", "component", "n", "sketch", (F.col("component") != F.col("main")).alias("other"), cut("others").alias("nx"), cut("m").alias("ny"))
+    rows = staged(rows.withColumns({"x": F.pmod(F.xxhash64("node"), "nx").cast("int"), "y": F.pmod(F.xxhash64("node"), "ny").cast("int")}), "near-members")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys, columns = ["head", "x", "y"], ["node", "component", "n", "sketch"]
+    left = rows.filter("other").select("head", "x", every("ny").alias("y"), *columns)
+    right = rows.select("head", every("nx").alias("x"), "y", *columns)
+
+    def near(key, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        """The members of both blocks whose sketches leave a link possible."""
+        found = []
+        if len(xs) and len(ys):
+            cx, cy = (np.frombuffer(b"".join(d.sketch), np.uint8).reshape(-1, COORDINATES) for d in (xs, ys))
+            px, py, ny = xs.component.to_numpy(), ys.component.to_numpy(), ys.n.to_numpy()
+            hit_y = np.zeros(len(ys), bool)
+            for i, (p, n) in enumerate(zip(px, xs.n)):
+                hit = ((cy == cx[i]).mean(1) >= least) & (py != p) & (100 * np.minimum(n, ny) >= 75 * np.maximum(n, ny))
+                if hit.any():
+                    hit_y |= hit
+                    found.append((*key, xs.node.iloc[i], p, True))
+            found += [(*key, node, p, False) for node, p in zip(ys.node[hit_y], py[hit_y])]
+        return pd.DataFrame(found, columns=[*keys, "node", "component", "left"])
+
+    close = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, "head bigint, x int, y int, node bigint, component bigint, `left` boolean")
+    close = staged(close, "near-close")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between the left and the right block of one key, by the full sets."""
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["items"]]
+        size, side = np.array([len(s) for s in sets]), pdf["left"].to_numpy()
+        keys_, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        member = np.repeat(np.arange(len(sets)), size)
+        recurs = count[number] > 1
+        number, member = (np.cumsum(count > 1) - 1)[number[recurs]], member[recurs]
+        ix, iy = np.flatnonzero(side), np.flatnonzero(~side)
+        common = np.zeros((len(ix), len(iy)), np.float32)  # exact up to 2**24
+        for at in range(0, int(number.max()) + 1 if len(number) else 0, 4096):
+            part = (number >= at) & (number < at + 4096)
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[member[part], number[part] - at] = 1
+            common += has[ix] @ has[iy].T
+        total = size[ix][:, None] + size[iy][None, :] - common
+        i, j = np.nonzero((100 * common >= 75 * total) & (pdf.component.to_numpy()[ix][:, None] != pdf.component.to_numpy()[iy][None, :]))
+        node = pdf.node.to_numpy()
+        a, b = node[ix[i]], node[iy[j]]
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    sets = set_table(close.select(F.col("node").alias("doc_id")).distinct(), docs)
+    return close.join(sets, "node").groupBy(*keys).applyInPandas(link, "a bigint, b bigint").distinct()
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
