@@ -10,7 +10,6 @@ rule's expansion), seq (uint16 or uint32 by `width`)."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,11 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from .bpe_tree import Runs, encode_runs
+from .bpe_tree import PIECES, Runs, encode_runs
 from .common import new_path, partitions, table
 
 SCHEMA = "part int, block int, total bigint, doc_ids binary, n_tokens binary, places binary, rules binary, lengths binary, width int, seq binary"
 SLOTS = 1 << 20
-NEWLINE = 198
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, first: int, rounds: int, per_round: int, least: int):
@@ -100,31 +98,29 @@ def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
 _KNOWN: dict[str, tuple] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones stand for themselves, others follow U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
 def id_encoder(path: str):
-    """Packs a text's ids (unsigned 32-bit) with the tokenizers library; runs met before come from a bounded table."""
+    """Packs a text's ids (unsigned 32-bit). The model of the tokenizers library encodes each match of the pattern; runs and
+    matches met before come from bounded tables. Special tokens in a text are ordinary text."""
     if path not in _KNOWN:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _KNOWN[path] = tokenizer, Runs()
-    tokenizer, known = _KNOWN[path]
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def missed(spans: list[str]) -> list[bytes]:
-        if len(spans) < 3 or any("\n" in s for s in spans):
-            plain = [s for s in spans if "\n" not in s]
-            found = dict(zip(plain, missed(plain))) if len(plain) >= 3 else {}
-            other = [s for s in spans if s not in found]
-            return list(map((found | dict(zip(other, whole(other)))).get, spans))
-        ids = np.frombuffer(whole(["\n".join(spans)])[0], "<u4")  # a line feed before a run is a token of its own
-        begin = np.concatenate([[0], np.flatnonzero(ids == NEWLINE) + 1])
-        return [ids[a:b].tobytes() for a, b in zip(begin, [*begin[1:] - 1, len(ids)])]
-
-    return lambda text: encode_runs(text, known, missed)
+        _KNOWN[path] = Tokenizer.from_file(path), Runs(), Runs()
+    tokenizer, known, pieces = _KNOWN[path]
+    tokenize, letters = tokenizer.model.tokenize, byte_letters()
+
+    def piece(p: str) -> bytes:
+        if (ids := pieces[p]) is None:
+            ids = np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+            pieces.learn(p, ids)
+        return ids
+
+    return lambda text: encode_runs(text, known, lambda spans: [b"".join(map(piece, PIECES.findall(s))) for s in spans])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, block_tokens: int = 1_000_000, rounds: int = 4, per_round: int = 3000, least: int = 4, vocabulary: int = 50257) -> None:
