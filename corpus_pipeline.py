@@ -22,16 +22,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest original of each group of equal texts; rows repeated with their doc_id count as one."""
     key, sha = F.coalesce(F.col("doc_id"), F.lit(minhash.NOBODY)), F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    kept = exact_dedup.exact_dedup(spark, docs).filter("kept").select(key.alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    rows = docs.withColumns({"kept_id": key, "kept_sha": sha}).join(kept, ["kept_id", "kept_sha"], "left_semi")
-    return rows.dropDuplicates(["kept_id", "kept_sha"]).select(*docs.columns)
+    kept = exact_dedup.exact_dedup(spark, docs).filter("kept").select(key.alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    rows = docs.withColumns({"__kept_id": key, "__kept_sha": sha}).join(kept, ["__kept_id", "__kept_sha"], "left_semi")
+    return rows.dropDuplicates(["__kept_id", "__kept_sha"]).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each component of near copies."""
     key = F.coalesce(F.col("doc_id"), F.lit(minhash.NOBODY))
-    kept = minhash.near_dedup(docs).filter("kept").select(key.alias("kept_id")).distinct()
-    return docs.withColumn("kept_id", key).join(kept, "kept_id", "left_semi").select(*docs.columns)
+    kept = minhash.near_dedup(docs).filter("kept").select(key.alias("__kept_id")).distinct()
+    return docs.withColumn("__kept_id", key).join(kept, "__kept_id", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
