@@ -73,7 +73,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, batch:
     labels = np.array([r[2] for r in rows], float)
     positive = labels.mean() if len(labels) else 0.5
     model["b"] = float(np.log((positive + 1e-3) / (1 - positive + 1e-3)))
-    if not 0 < positive < 1:
+    if not rows or not 0 < positive < 1:
         return model
     gb, gw, gv = 1.0, np.full(SIZE, 1e-2), np.full((SIZE, FACTORS), 1e-2)
     for _ in range(max(epochs, -(-600 * batch // len(rows)))):
