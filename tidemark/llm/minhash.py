@@ -133,7 +133,7 @@ def set_table(needed: DataFrame, docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, GROUP)
                 yield pa.record_batch([part["doc_id"], pa.array([s.tobytes() for s in shingle_sets(part["text"].to_pylist())], pa.binary())], names=["node", "items"])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").join(needed.hint("merge"), "doc_id", "left_semi")  # both sides grow with the corpus: never broadcast
     return staged(texts.mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"]), "near-sets")
 
 
