@@ -94,7 +94,8 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = 16, seed: in
     are interchangeable. An empty table gives no rows. Other columns are left alone."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("sk"), n_words(F.col("text")).alias("size"), *[F.struct(*[F.col(c) for c in carry]).alias("carried")] * bool(carry))
     rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))).withColumn("bucket", F.substring("key", 1, 4))
-    rows = staged(rows, "mix-rows")
+    whole = staged(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")  # row is kept in the files, so it is stable
+    rows = whole.drop("carried")
     buckets = staged(rows.groupBy("sk", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix-buckets")
     source = targets(buckets.groupBy("sk").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs")), share, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -105,13 +106,15 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = 16, seed: in
     ranked = rows.withColumns({"run": F.sum("size").over(inside) - F.col("size"), "nth": F.row_number().over(inside) - 1}).join(starts, ["sk", "bucket"]).join(source, "sk")
     extra = (F.col("rest") > 0) & (F.col("words_before") + F.col("run") + F.col("size") / 2 <= F.col("rest"))
     ranked = ranked.withColumns({"rank": F.col("n_before") + F.col("nth"), "extra": extra.cast("int")})
-    ranked = staged(ranked.select("sk", "doc_id", "size", "source_size", "target", "n_docs", "full", "extra", "rank", *["carried"] * bool(carry)), "mix-ranked")
+    ranked = staged(ranked.select("sk", "doc_id", "size", "source_size", "target", "n_docs", "full", "extra", "rank", "row"), "mix-ranked")
     quotas = ranked.groupBy("sk").agg((F.max("full") * F.max("n_docs") + F.sum("extra")).cast("long").alias("q"))
     runs = split_quotas(quotas, shards, seed).withColumn("end", F.sum("n").over(W.partitionBy("sk").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)))
     ends = runs.groupBy("sk").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     copies = F.col("full") + F.col("extra")
     place = F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.size(F.filter("ends", lambda e: e <= k * F.col("n_docs") + F.col("rank"))))
     result = ranked.join(ends, "sk").withColumns({"copies": copies, "shards": F.when(copies > 0, place).otherwise(F.array().cast("array<int>"))})
+    if carry:
+        result = result.join(whole.select("row", "carried"), "row")
     return result.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", *["carried.*"] * bool(carry))
 
 
