@@ -78,42 +78,72 @@ def day_scores(sensors_by_day: DataFrame, config: EngineConfig = DEFAULT, batch:
     return day.select("date", ready.alias("ready"), F.when(ready, F.col("points")).alias("raw"), (ready & F.col("hard")).alias("hard"), (ready & F.col("stale_critical")).alias("stale_critical"), F.concat_ws(" | ", "triggers").alias("triggers"))
 
 
+def _fold(pdf: pd.DataFrame, key: str, c: EngineConfig, seed: tuple) -> pd.DataFrame:
+    """One scenario's days in order. seed: state, raw score and the four streaks of the day before the first."""
+    pdf = pdf.sort_values("date")
+    state, before, counts, out = seed[0], seed[1], list(seed[2:]), []
+    for ready, raw, hard, stale in zip(pdf.ready, pdf.raw, pdf.hard, pdf.stale_critical):
+        if not ready or raw is None or math.isnan(raw):
+            counts, before, prev, state = [0, 0, 0, 0], None, state, "WARMUP"
+            out.append((state, None, None, False, prev, *counts))
+            continue
+        prev = "NORMAL" if state == "WARMUP" else state
+        held = bool(c.hold_last_score and stale and prev in ("DEFCON1", "DEFCON2") and before is not None and raw < before)
+        raw = before if held else raw
+        tests = (raw >= c.enter_2, raw >= c.enter_1, raw < c.leave_2, raw <= c.leave_1)
+        counts = [n + 1 if t else 0 for n, t in zip(counts, tests)]
+        state = prev
+        if hard or counts[1] >= c.days_enter and prev != "DEFCON1":
+            state = "DEFCON1"
+        elif prev == "NORMAL" and counts[0] >= c.days_enter:
+            state = "DEFCON2"
+        elif prev == "DEFCON2" and counts[2] >= c.days_leave_2:
+            state = "NORMAL"
+        elif prev == "DEFCON1" and counts[3] >= c.days_leave_1:
+            state = "DEFCON2"
+        out.append((state, raw, max(raw, c.hard_floor) if hard else raw, held, prev, *counts))
+        before = raw
+    names = [x.split()[0] for x in STATE_SCHEMA.split(", ")]
+    return pd.concat([pdf[[key, "date"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+
+START = ("NORMAL", None, 0, 0, 0, 0)
+_INPUT = ("date", "ready", "raw", "hard", "stale_critical")
+
+
 def fold_states(days: DataFrame, key: str = "scenario", config: EngineConfig = DEFAULT) -> DataFrame:
     """The hysteresis machine over consecutive days of each scenario: days has key, date, ready, raw, hard, stale_critical.
 
     A day that is not ready is WARMUP and resets all. A held score feeds back into the next day, which no window expresses, so each
     scenario is one group: a few thousand rows of its calendar, whatever the observations' number."""
-    c = config
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        state, before, counts, out = "NORMAL", None, [0, 0, 0, 0], []
-        for ready, raw, hard, stale in zip(pdf.ready, pdf.raw, pdf.hard, pdf.stale_critical):
-            if not ready or raw is None or math.isnan(raw):
-                counts, before, prev, state = [0, 0, 0, 0], None, state, "WARMUP"
-                out.append((state, None, None, False, prev, *counts))
-                continue
-            prev = "NORMAL" if state == "WARMUP" else state
-            held = bool(c.hold_last_score and stale and prev in ("DEFCON1", "DEFCON2") and before is not None and raw < before)
-            raw = before if held else raw
-            tests = (raw >= c.enter_2, raw >= c.enter_1, raw < c.leave_2, raw <= c.leave_1)
-            counts = [n + 1 if t else 0 for n, t in zip(counts, tests)]
-            state = prev
-            if hard or counts[1] >= c.days_enter and prev != "DEFCON1":
-                state = "DEFCON1"
-            elif prev == "NORMAL" and counts[0] >= c.days_enter:
-                state = "DEFCON2"
-            elif prev == "DEFCON2" and counts[2] >= c.days_leave_2:
-                state = "NORMAL"
-            elif prev == "DEFCON1" and counts[3] >= c.days_leave_1:
-                state = "DEFCON2"
-            out.append((state, raw, max(raw, c.hard_floor) if hard else raw, held, prev, *counts))
-            before = raw
-        names = [x.split()[0] for x in STATE_SCHEMA.split(", ")]
-        return pd.concat([pdf[[key, "date"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+    kind = dict(days.dtypes)[key]
+    return days.select(key, *_INPUT).groupBy(key).applyInPandas(lambda pdf: _fold(pdf, key, config, START), f"{key} {kind}, date date, {STATE_SCHEMA}")
+
+
+def resume_states(days: DataFrame, stored: DataFrame, key: str = "scenario", config: EngineConfig = DEFAULT) -> DataFrame:
+    """As fold_states(), over the days after each scenario's last stored one, from the state and streaks stored there.
 
+    stored: rows that fold_states() gave. To recompute a recent window, pass the stored rows before it. Without stored rows, all days."""
     kind = dict(days.dtypes)[key]
-    return days.select(key, "date", "ready", "raw", "hard", "stale_critical").groupBy(key).applyInPandas(run, f"{key} {kind}, date date, {STATE_SCHEMA}")
+    last = stored.groupBy(key).agg(F.max_by(F.struct("date", "state", "raw_score", "ge_2", "ge_1", "lt_2", "le_1"), "date").alias("s")).select(key, "s.*")
+
+    def run(pdf: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
+        start = START
+        if len(seed):
+            s = seed.iloc[0]
+            pdf = pdf[pdf.date > s.date]
+            start = (s.state, None if pd.isna(s.raw_score) else float(s.raw_score), int(s.ge_2), int(s.ge_1), int(s.lt_2), int(s.le_1))
+        return _fold(pdf, key, config, start)
+
+    return days.select(key, *_INPUT).groupBy(key).cogroup(last.groupBy(key)).applyInPandas(run, f"{key} {kind}, date date, {STATE_SCHEMA}")
+
+
+def reasons(rows: DataFrame) -> DataFrame:
+    """Nested records of a day: reasons (scores, streaks, triggers, trend, allocation) and their JSON text."""
+    allocation = F.struct("action", "equity", F.bround(F.col("equity") * 100, 1).alias("equity_pct"))
+    streaks = F.struct("ge_2", "ge_1", "lt_2", "le_1")
+    record = F.struct(F.filter(F.split("triggers", r" \| "), lambda x: x != "").alias("triggers"), "raw_score", F.col("score").alias("effective_score"), F.col("held").alias("held_last_score"), "prev_state", streaks.alias("streaks"), F.struct("signal", "price", "ma").alias("trend"), allocation.alias("allocation"))
+    return rows.withColumn("reasons", record).withColumn("reasons_json", F.to_json("reasons"))
 
 
 def trend(daily: DataFrame, window: int = 200, vol_window: int = 20, live: bool = False, trading_days: int = 252) -> DataFrame:

@@ -38,7 +38,7 @@ scored AS (SELECT date, coalesce(bool_and(have > 0) FILTER (critical), true) AS
 score AS (SELECT date, ready, CASE WHEN ready THEN points END AS raw, ready AND hard AS hard, ready AND sc AS stale_critical, triggers FROM scored)"""
 #: The machine as a recursion over consecutive days. s: state, p: raw score of the day before, g2 .. l1: streaks.
 STATES_SQL = f"""{FEATURES_SQL},
-num AS (SELECT *, row_number() OVER (ORDER BY date) AS n FROM score),
+num AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date) AS n FROM score),
 fold AS (
  SELECT 0::BIGINT AS n, NULL::DATE AS date, 'NORMAL' AS state, NULL::DOUBLE AS raw_score, NULL::DOUBLE AS score, false AS held, NULL::VARCHAR AS prev_state, 0 AS g2, 0 AS g1, 0 AS l2, 0 AS l1
  UNION ALL
@@ -89,6 +89,29 @@ def daily_states(spark, sf):
     return states(spark, sf).drop("scenario")
 
 
+@query(f"WITH RECURSIVE {STATES_SQL} SELECT date, state, raw_score, g2 AS ge_2 FROM fold WHERE n > 0 AND date > DATE '2000-01-01'")
+def daily_states_resumed(spark, sf):
+    """The days after a stored part of the history, computed from its last row."""
+    cut = F.lit("2000-01-01").cast("date")
+    stored = states(spark, sf).filter(F.col("date") <= cut)
+    scores = S.day_scores(sensor_days(spark, sf)).withColumn("scenario", F.lit("batch"))
+    return S.resume_states(scores, stored).select("date", "state", "raw_score", "ge_2")
+
+
+@query(f"""WITH RECURSIVE {STATES_SQL} SELECT f.date, f.state, len(string_split(CASE WHEN s.triggers = '' THEN NULL ELSE s.triggers END, ' | ')) AS n_triggers, f.score AS effective_score, f.held, f.prev_state, CASE f.state WHEN 'NORMAL' THEN 'SELL / DISTRIBUTE' WHEN 'DEFCON2' THEN 'REBALANCE / ADJUST' WHEN 'DEFCON1' THEN 'BUY / ACCUMULATE' ELSE 'WAIT / WARMUP' END AS action,
+CASE f.state WHEN 'NORMAL' THEN 0.0 WHEN 'DEFCON2' THEN 40.0 WHEN 'DEFCON1' THEN 80.0 END::DOUBLE AS equity_pct FROM fold f JOIN score s USING (date) WHERE n > 0""")
+def reasons_record(spark, sf):
+    """The nested record of each day, read back from its JSON text."""
+    scores = S.day_scores(sensor_days(spark, sf))
+    action, equity = S.fixed_allocation(F.col("state"), F.lit("UNKNOWN"))
+    none = F.lit(None).cast("double")
+    rows = states(spark, sf).join(scores.select("date", "triggers"), "date").withColumns({"action": action, "equity": equity, "signal": F.lit("UNKNOWN"), "price": none, "ma": none})
+    parsed = F.from_json("reasons_json", "triggers array<string>, effective_score double, held_last_score boolean, prev_state string, allocation struct<action: string, equity_pct: double>")
+    rows = S.reasons(rows).withColumn("p", parsed)
+    n = F.nullif(F.size("p.triggers"), F.lit(0)).cast("long")
+    return rows.select("date", "state", n.alias("n_triggers"), "p.effective_score", F.col("p.held_last_score").alias("held"), "p.prev_state", "p.allocation.action", "p.allocation.equity_pct")
+
+
 TREND_SQL = f"""rets AS (SELECT series_id, date, value, value / nullif(lag(value) {_W}, 0) - 1 AS ret FROM daily),
 trend0 AS (SELECT series_id, date, value AS price, CASE WHEN count(value) {_OVER.format(n=19)} >= 20 THEN avg(value) {_OVER.format(n=19)} END AS ma, CASE WHEN count(ret) {_OVER.format(n=19)} >= 20 THEN stddev_samp(ret) {_OVER.format(n=19)} * sqrt(252) END AS vol_ann FROM rets),
 trend AS (SELECT *, CASE WHEN price >= ma THEN 'UP' WHEN price < ma THEN 'DOWN' ELSE 'UNKNOWN' END AS signal FROM trend0)"""

@@ -110,7 +110,7 @@ def trading_calendar(spark, sf):
     return days.select("date", V.trading_day(F.col("date")).alias("trading"))
 
 
-BULL_SQL = f"""{DAILY_SQL}, n AS (SELECT series_id, date, 1000 + value / 1000 AS value, row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn FROM daily),
+BULL_SQL = f"""{DAILY_SQL}, n AS MATERIALIZED (SELECT series_id, date, 1000 + value / 1000 AS value, row_number() OVER (PARTITION BY series_id ORDER BY date) AS rn FROM daily),
 f AS (SELECT series_id, rn, date, 'BULL' AS regime, date AS start, value AS level, NULL::VARCHAR AS done, NULL::DATE AS done_start FROM n WHERE rn = 1
  UNION ALL
  SELECT series_id, rn, date, CASE WHEN turn THEN CASE regime WHEN 'BULL' THEN 'BEAR' ELSE 'BULL' END ELSE regime END, CASE WHEN turn THEN date ELSE start END, CASE WHEN turn THEN value ELSE lv END, CASE WHEN turn THEN regime END, CASE WHEN turn THEN start END
