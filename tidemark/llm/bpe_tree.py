@@ -26,8 +26,7 @@ from .common import table
 #: Unicode White_Space, spelt out because Python's \s has four control characters more.
 SPACES = "\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
-#: A space next to white space or at the end of a text: there a run of white space may swallow it.
-CROSSED = re.compile(f"[{SPACES}] | [{SPACES}]| $")
+SPACE_LETTERS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACES}]", c))
 LEAF, KNOWN = 48, 300_000
 
 
@@ -98,16 +97,24 @@ class Runs(dict):
             self[key] = ids
 
 
+def whole(key: str) -> bool:
+    """Whether a run between two single spaces holds no white space at its ends, which might swallow one of them. A text's first
+    run, behind a space in its key, may be empty or start with some."""
+    if key[:1] == " ":
+        return key[-1] not in SPACE_LETTERS or len(key) == 1
+    return bool(key) and key[0] not in SPACE_LETTERS and key[-1] not in SPACE_LETTERS
+
+
 def encode_runs(text: str, known: Runs, missed: Callable[[list[str]], list[bytes]]) -> bytes:
     """Encodes a text run by run; known maps a run (which holds no space) to its packed ids, with the space before it; a text's first
-    run, which has none, stands in it behind a space. missed encodes others."""
-    if " " not in text or CROSSED.search(text):
-        return missed([text])[0]
+    run, which has none, stands in it behind a space. missed encodes others; a text with white space around a space goes there whole."""
     keys = text.split(" ")
     keys[0] = " " + keys[0]
     found = list(map(known.__getitem__, keys))
     if None in found:
         lost = list(dict.fromkeys(k for k, v in zip(keys, found) if v is None))
+        if not all(map(whole, lost)):
+            return missed([text])[0]
         fresh = dict(zip(lost, missed([k[1:] if k[:1] == " " else " " + k for k in lost])))
         found = [v if v is not None else fresh[k] for k, v in zip(keys, found)]
         for k, v in fresh.items():

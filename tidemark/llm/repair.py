@@ -24,38 +24,40 @@ from .bpe_tree import PIECES, Runs, encode_runs
 from .common import new_path, partitions, table
 
 SCHEMA = "part int, block int, total bigint, doc_ids binary, n_tokens binary, places binary, rules binary, lengths binary, width int, seq binary"
-SLOTS = 1 << 20
+SLOT_BITS = 19
+SLOTS = 1 << SLOT_BITS
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, first: int, rounds: int, per_round: int, least: int):
     """seq: ids; ends: index after each document's last id. Gives rules (n x 2), lengths, the rewritten seq and its ends."""
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    seq = seq.astype(np.uint32)
+    seq = seq.astype(np.uint64)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = np.ones(len(key), bool)
-        inside[ends[:-1] - 1] = False
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        counts = np.bincount(slot[inside], minlength=SLOTS)
+        key = (seq[:-1] << np.uint64(32)) | seq[1:]
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        slot[ends[:-1] - 1] = SLOTS  # pairs across two documents
+        counts = np.bincount(slot, minlength=SLOTS + 1)[:SLOTS]
         top = np.argpartition(counts, -per_round)[-per_round:]
         top = top[counts[top] >= least]
         if not len(top):
             break
-        hot = np.zeros(SLOTS, bool)
+        hot = np.zeros(SLOTS + 1, bool)
         hot[top] = True
-        at = np.flatnonzero(hot[slot] & inside)
+        at = np.flatnonzero(hot[slot])
+        own, mine = key[at], slot[at]
         shown = np.zeros(SLOTS, np.uint64)
-        shown[slot[at]] = key[at]  # one pair speaks for its slot, most likely the frequent one
-        at = at[shown[slot[at]] == key[at]]
-        counts = np.bincount(slot[at], minlength=SLOTS)
+        shown[mine] = own  # one pair speaks for its slot, most likely the frequent one
+        fits = shown[mine] == own
+        at, mine = at[fits], mine[fits]
+        counts = np.bincount(mine, minlength=SLOTS)
         top = top[counts[top] >= least]
         if not len(top):
             break
         number = np.full(SLOTS, -1, np.int32)
         number[top] = np.arange(len(top))
-        pairs, where = shown[top], number[slot[at]]
+        pairs, where = shown[top], number[mine]
         at, where = at[where >= 0], where[where >= 0]
         begin = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of runs of overlapping pairs; every second of a run is replaced
         odd = (np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) & 1
@@ -64,14 +66,13 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, rounds: int, per_rou
         pair = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         known = lambda s: np.where(s < first, 1, lengths[np.maximum(s, first).astype(np.int64) - first] if len(lengths) else 1)
         longer = (known(pair[:, 0]) + known(pair[:, 1])).astype(np.uint32)
-        seq[at] = new + where
-        gone = np.zeros(len(seq) + 1, np.int64)
-        gone[at + 2] = 1  # the second of each pair goes
-        keep = gone[1:] == 0
-        ends = ends - np.cumsum(gone)[ends]
+        seq[at] = (new + where).astype(np.uint64)
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False  # the second of each pair goes
+        ends = ends - np.searchsorted(at + 1, ends)
         seq = seq[keep]
         rules, lengths = np.concatenate([rules, pair]), np.concatenate([lengths, longer])
-    return rules, lengths, seq, ends
+    return rules, lengths, seq.astype(np.uint32), ends
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
