@@ -9,8 +9,13 @@ from ..operators import prep
 from ..operators import windows as W
 from .base import DAILY_SQL, LEDGER_SQL, MONTHLY_SQL, daily, events_ledger, monthly, ms_of, orders_obs, query, r, table
 
-w = W.by("series_id", "date")
-wm = W.by("series_id", "month_end")
+
+
+def w():
+    """Each series in time order; made when asked for, as it needs a session."""
+    return W.by("series_id", "date")
+
+
 DAY = "OVER (PARTITION BY series_id ORDER BY date)"
 OVER = "OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 
@@ -111,32 +116,32 @@ def json_field(spark, sf):
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(20)} >= 20 THEN round(avg(value) {over(20)}, 4) + 0.0 END AS ma FROM daily")
 def sma_full(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.mean(F.col("value"), w, 20)).alias("ma"))
+    return daily(spark, sf).select("series_id", "date", r(W.mean(F.col("value"), w(), 20)).alias("ma"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(120)} >= 60 THEN round(value / nullif(avg(value) {over(120)}, 0), 7) + 0.0 END AS to_ma FROM daily")
 def sma_partial(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(F.col("value") / F.nullif(W.mean(F.col("value"), w, 120, 60), F.lit(0.0)), 7).alias("to_ma"))
+    return daily(spark, sf).select("series_id", "date", r(F.col("value") / F.nullif(W.mean(F.col("value"), w(), 120, 60), F.lit(0.0)), 7).alias("to_ma"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(20)} >= 20 THEN round(stddev_samp(value) {over(20)}, 3) + 0.0 END AS sd FROM daily")
 def roll_std_samp(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.std(F.col("value"), w, 20), 3).alias("sd"))
+    return daily(spark, sf).select("series_id", "date", r(W.std(F.col("value"), w(), 20), 3).alias("sd"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(63)} >= 21 THEN round(stddev_pop(value) {over(63)}, 3) + 0.0 END AS sd FROM daily")
 def roll_std_pop(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.std(F.col("value"), w, 63, 21, population=True), 3).alias("sd"))
+    return daily(spark, sf).select("series_id", "date", r(W.std(F.col("value"), w(), 63, 21, population=True), 3).alias("sd"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(60)} >= 20 THEN round((value - avg(value) {over(60)}) / nullif(stddev_pop(value) {over(60)}, 0), 6) + 0.0 END AS z FROM daily")
 def roll_zscore(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.zscore(F.col("value"), w, 60, 20), 6).alias("z"))
+    return daily(spark, sf).select("series_id", "date", r(W.zscore(F.col("value"), w(), 60, 20), 6).alias("z"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(60)} >= 30 THEN round(quantile_cont(value, 0.5) {over(60)}, 4) + 0.0 END AS med FROM daily")
 def roll_median(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.median(F.col("value"), w, 60, 30)).alias("med"))
+    return daily(spark, sf).select("series_id", "date", r(W.median(F.col("value"), w(), 60, 30)).alias("med"))
 
 
 @query(f"""WITH {DAILY_SQL}, a AS (SELECT series_id, date, value / nullif(lag(value) {DAY}, 0) - 1 AS ret FROM daily),
@@ -146,40 +151,40 @@ d AS (SELECT series_id, date, n, x, pow(1 - 2.0 / 21, n - i) AS k FROM c),
 e AS (SELECT series_id, date, max(n) AS n, sum(k) AS sw, sum(k * k) AS sw2, sum(k * x) AS swx, sum(k * x * x) AS swxx FROM d GROUP BY ALL)
 SELECT series_id, a.date, CASE WHEN n >= 2 THEN round(sqrt(greatest(0, (swxx / sw - pow(swx / sw, 2)) * sw * sw / nullif(sw * sw - sw2, 0))), 5) + 0.0 END AS ewma FROM a LEFT JOIN e USING (series_id, date)""")
 def ewma_vol(spark, sf):
-    rows = daily(spark, sf).withColumn("ret", W.pct_change(F.col("value"), w))
-    return rows.select("series_id", "date", r(W.ewma_std(F.col("ret"), w), 5).alias("ewma"))
+    rows = daily(spark, sf).withColumn("ret", W.pct_change(F.col("value"), w()))
+    return rows.select("series_id", "date", r(W.ewma_std(F.col("ret"), w()), 5).alias("ewma"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, round(value - lag(value, 21) {DAY}, 4) + 0.0 AS d21 FROM daily")
 def diff_n(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.diff(F.col("value"), w, 21)).alias("d21"))
+    return daily(spark, sf).select("series_id", "date", r(W.diff(F.col("value"), w(), 21)).alias("d21"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, round(value / nullif(lag(value, 126) {DAY}, 0) - 1, 6) + 0.0 AS p126 FROM daily")
 def pct_change_n(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.pct_change(F.col("value"), w, 126), 6).alias("p126"))
+    return daily(spark, sf).select("series_id", "date", r(W.pct_change(F.col("value"), w(), 126), 6).alias("p126"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, round(lead(value, 63) {DAY}, 4) + 0.0 AS ahead FROM daily")
 def lead_label(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(F.lead("value", 63).over(w)).alias("ahead"))
+    return daily(spark, sf).select("series_id", "date", r(F.lead("value", 63).over(w())).alias("ahead"))
 
 
 @query(f"WITH {DAILY_SQL}, g AS (SELECT series_id, date, CASE WHEN day(date) % 3 <> 0 THEN value END AS value FROM daily) SELECT series_id, date, round(last_value(value IGNORE NULLS) {DAY}, 4) + 0.0 AS filled FROM g")
 def ffill_series(spark, sf):
     gaps = daily(spark, sf).withColumn("value", F.when(F.dayofmonth("date") % 3 != 0, F.col("value")))
-    return gaps.select("series_id", "date", r(W.ffill(F.col("value"), w)).alias("filled"))
+    return gaps.select("series_id", "date", r(W.ffill(F.col("value"), w())).alias("filled"))
 
 
 @query(f"WITH {DAILY_SQL}, a AS (SELECT series_id, date, 1 + coalesce(0.001 * (value / nullif(lag(value) {DAY}, 0) - 1), 0) AS g FROM daily) SELECT series_id, date, round(product(g) {DAY}, 5) + 0.0 AS curve FROM a")
 def cum_product(spark, sf):
-    rows = daily(spark, sf).withColumn("g", 1 + F.coalesce(0.001 * W.pct_change(F.col("value"), w), F.lit(0.0)))
-    return rows.select("series_id", "date", r(W.cumulative_product(F.col("g"), w), 5).alias("curve"))
+    rows = daily(spark, sf).withColumn("g", 1 + F.coalesce(0.001 * W.pct_change(F.col("value"), w()), F.lit(0.0)))
+    return rows.select("series_id", "date", r(W.cumulative_product(F.col("g"), w()), 5).alias("curve"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, round(value / max(value) {DAY} - 1, 6) + 0.0 AS dd FROM daily")
 def drawdown(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.drawdown(F.col("value"), w), 6).alias("dd"))
+    return daily(spark, sf).select("series_id", "date", r(W.drawdown(F.col("value"), w()), 6).alias("dd"))
 
 
 @query(f"WITH {DAILY_SQL}, a AS (SELECT series_id, date, value > 150000 AS f, row_number() {DAY} AS n FROM daily) SELECT series_id, date, n - coalesce(max(CASE WHEN NOT f THEN n END) {DAY}, 0) AS streak FROM a")
@@ -190,19 +195,19 @@ def streaks(spark, sf):
 @query(f"""WITH {DAILY_SQL}, a AS (SELECT series_id, date, count(value) {over(20)} >= 20 AND value < avg(value) {over(20)} AS f FROM daily)
 SELECT series_id, date, count(*) {over(5)} = 5 AND bool_and(f) {over(5)} AS below FROM a""")
 def consecutive_below_ma(spark, sf):
-    rows = daily(spark, sf).withColumn("ma", W.mean(F.col("value"), w, 20))
-    return rows.select("series_id", "date", W.all_of_last(F.col("ma").isNotNull() & (F.col("value") < F.col("ma")), w, 5).alias("below"))
+    rows = daily(spark, sf).withColumn("ma", W.mean(F.col("value"), w(), 20))
+    return rows.select("series_id", "date", W.all_of_last(F.col("ma").isNotNull() & (F.col("value") < F.col("ma")), w(), 5).alias("below"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, coalesce(lag(value - 150000) {DAY} < 0 AND value >= 150000, false) AS crossed FROM daily")
 def cross_up(spark, sf):
     rows = daily(spark, sf).withColumn("x", F.col("value") - 150000)
-    return rows.select("series_id", "date", W.cross_up(F.col("x"), w).alias("crossed"))
+    return rows.select("series_id", "date", W.cross_up(F.col("x"), w()).alias("crossed"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, round(value - coalesce(lag(value, 20) {DAY}, first_value(value) {DAY}), 4) + 0.0 AS slope FROM daily")
 def slope_lookback(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.slope(F.col("value"), w)).alias("slope"))
+    return daily(spark, sf).select("series_id", "date", r(W.slope(F.col("value"), w())).alias("slope"))
 
 
 @query(f"""WITH {DAILY_SQL}, b AS (SELECT max(date) AS as_of FROM daily), l AS (SELECT series_id, max(date) AS d FROM daily GROUP BY 1)
