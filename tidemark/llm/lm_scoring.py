@@ -73,7 +73,9 @@ def stupid_backoff(docs: DataFrame, order: int = 2, least: int = 2, backoff: flo
     word dropped; a word alone scores count / all words, whatever its count. Counts are of all documents. A null or empty
     text has no words and log_score 0. Repeated rows all count and are scored each; an empty table gives no rows."""
     spark = docs.sparkSession
-    n_blocks, n_ranges = 2 * partitions(spark), partitions(spark)
+    all_words = docs.agg(F.sum(n_words(F.col("text")))).first()[0] or 1
+    # a task holds one block or range at a time, so their number follows the words, however few the partitions
+    n_blocks, n_ranges = max(2 * partitions(spark), -(-all_words // 1_500_000)), max(partitions(spark), -(-all_words * order // 6_000_000))
     block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("block", block).repartition(partitions(spark), "block")
 
@@ -101,37 +103,33 @@ def stupid_backoff(docs: DataFrame, order: int = 2, least: int = 2, backoff: flo
             rows.append((b, length, pack(k[keep], np.minimum(found[keep], 0xFFFFFFFF))))
         return pd.DataFrame(rows, columns=["block", "length", "grams"])
 
-    def score(all_words: int):
-        def run(mine: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-            if not len(mine):
-                return pd.DataFrame(columns=["doc_id", "n_words", "n_backed_off", "log_score"])
-            h, n = word_hashes(mine.text.to_numpy())
-            tables = []
-            for k in range(order):
-                got = [unpack(b) for b in counts.grams[counts.length == k]]
-                keys, values = (np.concatenate([g[i] for g in got]) if got else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.uint32)))
-                by = np.argsort(keys)
-                tables.append((keys[by], values[by].astype(float)))
-            grams, found = ngrams(h, n, order), []
-            for (keys, valid), (known, values) in zip(grams, tables):
-                at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-                found.append(np.where(valid & (known[at] == keys), values[at], 0.0) if len(known) else np.zeros(len(keys)))
-            result, dropped = np.log(found[0] / all_words) if len(h) else np.empty(0), np.zeros(len(h))
-            for k in range(1, order):
-                before = np.concatenate([[0.0], found[k - 1][:-1]]) if len(h) else found[k - 1]
-                seen = found[k] > 0
-                result = np.where(seen, np.log(np.where(seen, found[k], 1.0) / np.where(seen, before, 1.0)), result + np.where(grams[k][1], np.log(backoff), 0.0))
-                dropped = np.where(seen, 0, dropped + grams[k][1])
-            doc = np.repeat(np.arange(len(n)), n)
-            sums = lambda x: np.bincount(doc, x, minlength=len(n))
-            return pd.DataFrame({"doc_id": mine.doc_id, "n_words": n, "n_backed_off": sums(dropped > 0).astype(np.int64), "log_score": sums(result)})
-
-        return run
+    def score(mine: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame(columns=["doc_id", "n_words", "n_backed_off", "log_score"])
+        h, n = word_hashes(mine.text.to_numpy())
+        tables = []
+        for k in range(order):
+            got = [unpack(b) for b in counts.grams[counts.length == k]]
+            keys, values = (np.concatenate([g[i] for g in got]) if got else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.uint32)))
+            by = np.argsort(keys)
+            tables.append((keys[by], values[by].astype(float)))
+        grams, found = ngrams(h, n, order), []
+        for (keys, valid), (known, values) in zip(grams, tables):
+            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            found.append(np.where(valid & (known[at] == keys), values[at], 0.0) if len(known) else np.zeros(len(keys)))
+        result, dropped = np.log(found[0] / all_words) if len(h) else np.empty(0), np.zeros(len(h))
+        for k in range(1, order):
+            before = np.concatenate([[0.0], found[k - 1][:-1]]) if len(h) else found[k - 1]
+            seen = found[k] > 0
+            result = np.where(seen, np.log(np.where(seen, found[k], 1.0) / np.where(seen, before, 1.0)), result + np.where(grams[k][1], np.log(backoff), 0.0))
+            dropped = np.where(seen, 0, dropped + grams[k][1])
+        doc = np.repeat(np.arange(len(n)), n)
+        sums = lambda x: np.bincount(doc, x, minlength=len(n))
+        return pd.DataFrame({"doc_id": mine.doc_id, "n_words": n, "n_backed_off": sums(dropped > 0).astype(np.int64), "log_score": sums(result)})
 
     counted = dealt.groupBy("block").applyInPandas(count, "range int, length int, block int, grams binary")
     answers = counted.groupBy("range", "length").applyInPandas(total, "block int, length int, grams binary")
-    all_words = docs.agg(F.sum(n_words(F.col("text")))).first()[0] or 1
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score(all_words), "doc_id bigint, n_words bigint, n_backed_off bigint, log_score double")
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id bigint, n_words bigint, n_backed_off bigint, log_score double")
     return scored.select("*", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 
