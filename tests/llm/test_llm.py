@@ -178,6 +178,16 @@ def test_token_files(spark, docs, texts):
     assert spark.read.parquet(path).select(F.sum(F.length("rules"))).first()[0] > 0
 
 
+def test_packed_texts_are_those_of_whole_texts():
+    """Texts with white space around spaces, which can't be cut everywhere, beside others, with a table that is full at once."""
+    reference, table = encoding(), repair.PieceTable(public_tokenizers.path("byte_bpe_50k.json"), most=1)
+    rng = random.Random(9)
+    texts = ["", " ", "a ", "  a", "a  b", "\n\n x \t y", "it's he'll", "a\x1cb \x85c", "<|endoftext|> a", "a \n b", " x", "x", "x y \n\n z  w\t q "]
+    texts += ["".join(rng.choice(["a", "b c", " ", " ", "\n", "'s", "7", ".", "é", "\u00a0"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    for group in (texts, texts[:1], texts[::-1], []):
+        assert [x.tolist() for x in table.pack(group)] == [reference.encode_ordinary(t) for t in group]
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     seq = rng.zipf(1.5, 20000).clip(1, 500).astype(np.uint32)

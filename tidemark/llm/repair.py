@@ -10,17 +10,21 @@ rule's expansion), seq (uint16 or uint32 by `width`)."""
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from .bpe_tree import PIECES, Runs, encode_runs
+from .bpe_tree import PIECES, SPACES, whole
 from .common import new_path, partitions, table
 
 SCHEMA = "part int, block int, total bigint, doc_ids binary, n_tokens binary, places binary, rules binary, lengths binary, width int, seq binary"
@@ -96,35 +100,87 @@ def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return flat[np.repeat(place[seq] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
 
 
-_KNOWN: dict[str, tuple] = {}
+_ENCODERS: dict[str, PieceTable] = {}
 
+#: A space between two other characters, or at a text's start, behind which no match of the pattern crosses.
+CUT = re.compile(f"(?<![{SPACES}]) (?![{SPACES}]|\\Z)")
 
-def byte_letters() -> dict[int, str]:
-    """The letter by which a byte-level vocabulary writes each byte: printable ones stand for themselves, others follow U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
+class PieceTable:
+    """Ids of the matches of the pattern met lately, each encoded once by the tokenizers library; forgets all when full."""
 
-def id_encoder(path: str):
-    """Packs a text's ids (unsigned 32-bit). The model of the tokenizers library encodes each match of the pattern; runs and
-    matches met before come from bounded tables. Special tokens in a text are ordinary text."""
-    if path not in _KNOWN:
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        _KNOWN[path] = Tokenizer.from_file(path), Runs(), Runs()
-    tokenizer, known, pieces = _KNOWN[path]
-    tokenize, letters = tokenizer.model.tokenize, byte_letters()
-
-    def piece(p: str) -> bytes:
-        if (ids := pieces[p]) is None:
-            ids = np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-            pieces.learn(p, ids)
-        return ids
-
-    return lambda text: encode_runs(text, known, lambda spans: [b"".join(map(piece, PIECES.findall(s))) for s in spans])
-
-
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, block_tokens: int = 1_000_000, rounds: int = 4, per_round: int = 3000, least: int = 4, vocabulary: int = 50257) -> None:
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self.flat, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and each string's number of ids."""
+        flat, size = array("I"), []
+        for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
+            ids = e.ids
+            flat.fromlist(ids)
+            size.append(len(ids))
+        return np.array(flat, np.uint32), np.array(size, np.int64)
+
+    def runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs without spaces, each with the space before it."""
+        if not runs:
+            return self.encoded([])
+        if len(self.code) > self.most:
+            self.clear()
+        pieces = PIECES.findall(" " + " ".join(runs))
+        if fresh := [p for p in dict.fromkeys(pieces) if p not in self.code]:
+            flat, size = self.encoded(fresh)
+            self.code.update(zip(fresh, range(len(self.code), len(self.code) + len(fresh))))
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+        begin = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))  # only a run's first match has one
+        return expand(codes, (self.flat, np.cumsum(self.size) - self.size, self.size)), np.add.reduceat(self.size[codes], begin)
+
+    def pack(self, texts: list[str]) -> list[np.ndarray]:
+        """Each whole text's ids: texts are cut where no match crosses, each distinct run is encoded once, and the ids gathered."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words, first = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        plain = np.fromiter(map(whole, known), bool, len(known))
+        # white space at a run's ends could swallow the space beside it; a text's first run may start with some
+        loose = ~plain[words.indices.to_numpy()]
+        loose[first] = [not whole(" " + r) for r in lists.flatten().take(pa.array(first)).to_pylist()]
+        rough = np.add.reduceat(loose, first, dtype=np.int64) > 0
+        order = np.argsort(rough, kind="stable")
+        if rough.any():
+            lists = pa.concat_arrays([lists.filter(pa.array(~rough)), pa.array([CUT.split(texts[i]) for i in np.flatnonzero(rough)], lists.type)])
+            words, first = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
+            known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+            plain = np.array([whole(r) and " " not in r for r in known], bool)
+        heads = lists.flatten().take(pa.array(first)).to_pylist()
+        one, n_one = self.runs([r for r, p in zip(known, plain) if p])
+        two, n_two = self.encoded([" " + r for r, p in zip(known, plain) if not p] + heads)
+        code = np.where(plain, np.cumsum(plain) - 1, plain.sum() + np.cumsum(~plain) - 1)[words.indices.to_numpy()]
+        code[first] = len(known) + np.arange(len(first))
+        size = np.concatenate([n_one, n_two])
+        flat = expand(code, (np.concatenate([one, two]), np.cumsum(size) - size, size))
+        parts = np.split(flat, np.cumsum(np.add.reduceat(size[code], first))[:-1])
+        return [parts[i] for i in np.argsort(order)]
+
+
+def id_encoder(path: str) -> PieceTable:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceTable(path)
+    return _ENCODERS[path]
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, block_tokens: int = 1_000_000, rounds: int = 4, per_round: int = 3000, least: int = 4, vocabulary: int = 50257, group_chars: int = 12_000_000) -> None:
     """Encodes whole texts (null: empty), ends each with end_id and writes them below path in the file format, by doc_id.
 
     Null doc_ids come first, repeated ones stand side by side; a block holds whole documents, so a long one may be a large
@@ -134,14 +190,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pack, part, block = id_encoder(model), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
+        pack, part, block = id_encoder(model).pack, TaskContext.get().partitionId(), 0
+        ids: list[np.ndarray] = []
+        sizes: list[int] = []
         names: list[int | None] = []
-        held, end = 0, np.array([end_id], "<u4").tobytes()
+        waiting: list[tuple[int | None, str]] = []
+        end, held, size = np.array([end_id], np.uint32), 0, 0
 
         def row() -> pa.RecordBatch:
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            rules, lengths, seq, ends = compress(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n), vocabulary, rounds, per_round, least)
+            n = np.array(sizes, np.int64)
+            rules, lengths, seq, ends = compress(np.concatenate(ids), np.cumsum(n), vocabulary, rounds, per_round, least)
             width = 2 if vocabulary + len(rules) < 1 << 16 else 4
             places = np.concatenate([[0], ends[:-1]]).astype("<i8")
             named = np.array([-(1 << 63) if x is None else x for x in names], "<i8")
@@ -149,15 +207,30 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
             types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int32(), pa.binary()]
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in batches:
-            for name, text in zip(batch["doc_id"], batch["text"]):
-                names.append(name.as_py())
-                ids.append(pack(text.as_py() or "") + end)
-                held += len(ids[-1]) // 4
+        def blocks() -> Iterator[pa.RecordBatch]:
+            """Encodes the waiting texts as one group and cuts full blocks from what is held."""
+            nonlocal block, held
+            for (name, _), x in zip(waiting, pack([t for _, t in waiting])):
+                names.append(name)
+                ids.extend((x, end))
+                sizes.append(len(x) + 1)
+                held += len(x) + 1
                 if held >= block_tokens:
                     yield row()
-                    ids, names, held, block = [], [], 0, block + 1
-        if ids:
+                    block, held = block + 1, 0
+                    for full in (ids, names, sizes):
+                        full.clear()
+            waiting.clear()
+
+        for batch in batches:
+            for name, text in zip(batch["doc_id"], batch["text"]):
+                waiting.append((name.as_py(), text.as_py() or ""))
+                size += len(waiting[-1][1])
+                if size >= group_chars:
+                    yield from blocks()
+                    size = 0
+        yield from blocks()
+        if names:
             yield row()
 
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
