@@ -296,6 +296,21 @@ def test_stupid_backoff(docs, order):
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
 
 
+def test_registered_scores_use_trigrams_and_all_counts(spark, tmp_path):
+    rng = random.Random(11)
+    split = [[f"w{rng.randrange(12)}" for _ in range(rng.randrange(60))] for _ in range(40)]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(split)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = Counter(tuple(w[j : j + k]) for w in split for k in (1, 2, 3) for j in range(len(w) - k + 1))
+    total = sum(map(len, split))
+
+    def score(w):
+        grams = [tuple(w[max(0, j - 2) : j + 1]) for j in range(len(w))]
+        return sum(math.log(counts[g] / (counts[g[:-1]] if len(g) > 1 else total)) for g in grams)
+
+    got = lm_scoring.op1_lm_score(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in got) == [(i, len(w), 0, round(score(w), 6)) for i, w in enumerate(split)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
     x = np.round(rng.normal(size=(300, 8)), 2).astype(np.float32)

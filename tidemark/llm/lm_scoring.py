@@ -2,8 +2,8 @@
 
 Documents are dealt into blocks by a hash. Each block counts its n-grams and sends the counts of every hash range to that
 range's task, as sorted arrays; there they are summed over all blocks, and each block gets back the totals of those of its
-own n-grams that the corpus holds often enough. Then each block scores its documents: one exchange of distinct n-grams for
-each block and one of answers, instead of one row for each running n-gram and document."""
+own n-grams that other blocks hold too (of all others its own count is the total). Then each block scores its documents: one
+exchange of distinct n-grams for each block and one of answers, instead of one row for each running n-gram and document."""
 
 from __future__ import annotations
 
@@ -91,15 +91,15 @@ def stupid_backoff(docs: DataFrame, order: int = 2, least: int = 2, backoff: flo
         return pd.DataFrame(rows, columns=["range", "length", "block", "grams"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One hash range of one length: the corpus counts, sent back to the blocks that asked."""
+        """One hash range of one length: the corpus counts, sent back to the blocks that asked where they differ from the block's own."""
         own = [unpack(b) for b in pdf.grams]
         keys, inverse = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([c for _, c in own])).astype(np.int64)
         rows, at, length = [], 0, int(pdf.length.iloc[0])
-        for b, (k, _) in zip(pdf.block, own):
+        for b, (k, c) in zip(pdf.block, own):
             found = counts[inverse[at : at + len(k)]]
             at += len(k)
-            keep = found >= least if length else found > 0
+            keep = found != c
             rows.append((b, length, pack(k[keep], np.minimum(found[keep], 0xFFFFFFFF))))
         return pd.DataFrame(rows, columns=["block", "length", "grams"])
 
@@ -107,16 +107,17 @@ def stupid_backoff(docs: DataFrame, order: int = 2, least: int = 2, backoff: flo
         if not len(mine):
             return pd.DataFrame(columns=["doc_id", "n_words", "n_backed_off", "log_score"])
         h, n = word_hashes(mine.text.to_numpy())
-        tables = []
-        for k in range(order):
-            got = [unpack(b) for b in counts.grams[counts.length == k]]
-            keys, values = (np.concatenate([g[i] for g in got]) if got else np.empty(0, t) for i, t in ((0, np.uint64), (1, np.uint32)))
-            by = np.argsort(keys)
-            tables.append((keys[by], values[by].astype(float)))
         grams, found = ngrams(h, n, order), []
-        for (keys, valid), (known, values) in zip(grams, tables):
-            at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-            found.append(np.where(valid & (known[at] == keys), values[at], 0.0) if len(known) else np.zeros(len(keys)))
+        for k, (keys, valid) in enumerate(grams):
+            known, inverse, values = np.unique(keys[valid], return_inverse=True, return_counts=True)
+            values = values.astype(float)
+            for b in counts.grams[counts.length == k]:
+                shared, totals = unpack(b)
+                values[np.searchsorted(known, shared)] = totals
+            if k:
+                values[values < least] = 0.0
+            found.append(np.zeros(len(keys)))
+            found[-1][valid] = values[inverse]
         result, dropped = np.log(found[0] / all_words) if len(h) else np.empty(0), np.zeros(len(h))
         for k in range(1, order):
             before = np.concatenate([[0.0], found[k - 1][:-1]]) if len(h) else found[k - 1]
@@ -134,4 +135,4 @@ def stupid_backoff(docs: DataFrame, order: int = 2, least: int = 2, backoff: flo
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    return stupid_backoff(table(spark, sf_dir, "documents"), order=3, least=1)
