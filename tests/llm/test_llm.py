@@ -188,6 +188,22 @@ def test_packed_texts_are_those_of_whole_texts():
         assert [x.tolist() for x in table.pack(group)] == [reference.encode_ordinary(t) for t in group]
 
 
+def test_token_files_hold_the_ids_of_plain_calls(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "a b", "<|endoftext|>", None, "x<|endoftext|><|endoftext|>  y\n", "<|endoftext", "  <|endoftext|>  b", "plain \n text"]
+    path, start = common.new_path(spark, "test-added"), 0
+    repair.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    got = repair.read_ids(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(len(texts)))
+    for r, t in zip(got, texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and (r.start, r.n_tokens) == (start, len(ids))
+        start += len(ids)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     seq = rng.zipf(1.5, 20000).clip(1, 500).astype(np.uint32)

@@ -114,7 +114,8 @@ class PieceTable:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        self.tokenizer.encode_special_tokens = True  # in a match they are ordinary text; `whole_texts` looks for them
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -173,6 +174,20 @@ class PieceTable:
         parts = np.split(flat, np.cumsum(np.add.reduceat(size[code], first))[:-1])
         return [parts[i] for i in np.argsort(order)]
 
+    def whole_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Each whole text's ids as the library gives them: texts that hold an added token of the model go to it whole."""
+        special = [any(a in t for a in self.added) for t in texts]
+        rest = iter(self.pack([t for t, s in zip(texts, special) if not s]))
+        if not any(special):
+            return list(rest)
+        self.tokenizer.encode_special_tokens = False
+        try:
+            flat, size = self.encoded([t for t, s in zip(texts, special) if s])
+        finally:
+            self.tokenizer.encode_special_tokens = True
+        own = iter(np.split(flat, np.cumsum(size)[:-1]))
+        return [next(own if s else rest) for s in special]
+
 
 def id_encoder(path: str) -> PieceTable:
     if path not in _ENCODERS:
@@ -190,7 +205,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pack, part, block = id_encoder(model).pack, TaskContext.get().partitionId(), 0
+        encode_texts, part, block = id_encoder(model).whole_texts, TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         sizes: list[int] = []
         names: list[int | None] = []
@@ -210,7 +225,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         def blocks() -> Iterator[pa.RecordBatch]:
             """Encodes the waiting texts as one group and cuts full blocks from what is held."""
             nonlocal block, held
-            for (name, _), x in zip(waiting, pack([t for _, t in waiting])):
+            for (name, _), x in zip(waiting, encode_texts([t for _, t in waiting])):
                 names.append(name)
                 ids.extend((x, end))
                 sizes.append(len(x) + 1)
