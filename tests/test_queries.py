@@ -49,3 +49,8 @@ def test_oracle(spark, duck, name):
 def test_entry_has_every_query(spark):
     assert set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == QUERIES["daily_states"](spark, SF).columns
+
+
+def test_fear_calendar_all_has_every_order(spark):
+    got = {r.id: r["count"] for r in QUERIES["fear_calendar_all"](spark, SF).groupBy("id").count().collect()}
+    assert got == {r.o_orderkey: 73 for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}

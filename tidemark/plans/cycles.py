@@ -12,7 +12,7 @@ from ..operators import cycles as C
 from ..operators import models as M
 
 from ..operators import windows as W
-from .base import DAILY_SQL, MONTHLY_SQL, daily, monthly, query, r, table
+from .base import DAILY_SQL, MONTHLY_SQL, ORACLES, daily, monthly, query, r, table
 
 _OVER = "OVER (PARTITION BY series_id ORDER BY month_end ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 _W = "OVER (PARTITION BY series_id ORDER BY month_end)"
@@ -122,11 +122,21 @@ m AS (SELECT *, last_day(as_of + to_months(k::INT)) AS month_end FROM (SELECT *,
 f AS (SELECT *, coalesce(month_end BETWEEN fp - INTERVAL 36 MONTH AND fp, false)::INT AS fear_36m, coalesce(month_end BETWEEN fp - INTERVAL 24 MONTH AND fp, false)::INT AS fear_24m, coalesce(month_end BETWEEN ep - INTERVAL 36 MONTH AND ep, false)::INT AS euphoria_36m FROM m)
 SELECT id, month_end, fear_36m, fear_24m, euphoria_36m, CASE WHEN fear_36m = 1 AND euphoria_36m = 1 THEN 'FEAR+EUPH' WHEN fear_36m = 1 THEN 'FEAR' WHEN euphoria_36m = 1 THEN 'EUPH' ELSE 'NONE' END AS label FROM f""")
 def fear_calendar(spark, sf):
+    """A sample of the orders; fear_calendar_all has them all."""
+    return fear_calendar_of(table(spark, sf, "orders").filter(F.col("o_orderkey") % 97 == 0))
+
+
+def fear_calendar_of(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    e = table(spark, sf, "orders").filter(k % 97 == 0).select(k.alias("id"), F.last_day(F.col("o_orderdate").cast("date")).alias("as_of"), F.when(k % 5 != 0, (k % 61).cast("double")).alias("months_until_fear"), ((k % 17).cast("double") - 2).alias("months_until_euphoria"))
+    e = orders.select(k.alias("id"), F.last_day(F.col("o_orderdate").cast("date")).alias("as_of"), F.when(k % 5 != 0, (k % 61).cast("double")).alias("months_until_fear"), ((k % 17).cast("double") - 2).alias("months_until_euphoria"))
     return C.month_calendar(e).select("id", "month_end", "fear_36m", "fear_24m", "euphoria_36m", "label")
 
 
+@query(ORACLES["fear_calendar"].replace(" WHERE o_orderkey % 97 = 0", ""))
+def fear_calendar_all(spark, sf):
+    return fear_calendar_of(table(spark, sf, "orders"))
+
+
 @query("""SELECT 'order-' || o_orderkey AS uid, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:order-' || o_orderkey || chr(13) || chr(10) || 'DTSTART;VALUE=DATE:' || strftime(date_trunc('month', o_orderdate), '%Y%m%d') || chr(13) || chr(10) || 'DTEND;VALUE=DATE:' || strftime(date_trunc('month', o_orderdate) + INTERVAL 1 DAY, '%Y%m%d') || chr(13) || chr(10) || 'SUMMARY:' || o_orderpriority || chr(13) || chr(10) || 'END:VEVENT' AS event FROM orders""")
 def calendar_events(spark, sf):
     o = table(spark, sf, "orders")
