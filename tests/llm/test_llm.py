@@ -95,6 +95,15 @@ def test_near_dedup(docs, texts):
     assert len({r.component_id for r in got}) < len(texts) - 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_near_dedup_of_a_single_short_text(spark, n):
+    """A group whose texts hold fewer words in all than a shingle, or just as many."""
+    text = " ".join(f"w{i}" for i in range(n))
+    assert [len(s) for s in minhash.shingle_sets([text])] == [1]
+    got = minhash.near_dedup(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(7, 1, 7, True)]
+
+
 def test_near_dedup_settles_a_family_with_several_components(spark):
     """Copies of one text that differ too much from its centre but not from each other are linked by the second phase."""
     rng = random.Random(4)

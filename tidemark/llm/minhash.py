@@ -47,7 +47,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     h = pd.util.hash_array(np.array(words, object), categorize=False) if words else np.empty(0, np.uint64)
     total = np.zeros(max(0, len(h) - WIDTH + 1), np.uint64)
     for k in range(WIDTH):
-        total += mixed(h[k : len(h) - WIDTH + 1 + k]) * ODD[k]
+        total += mixed(h[k : k + len(total)]) * ODD[k]
     total, out, at = mixed(total), [], 0
     for k in n:
         if k >= WIDTH:
