@@ -54,3 +54,18 @@ def test_entry_has_every_query(spark):
 def test_fear_calendar_all_has_every_order(spark):
     got = {r.id: r["count"] for r in QUERIES["fear_calendar_all"](spark, SF).groupBy("id").count().collect()}
     assert got == {r.o_orderkey: 73 for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
+
+
+@pytest.mark.parametrize("name", ["asof_join_all", "nearest_join_all"])
+def test_joins_probe_every_series_and_day(spark, name):
+    first, last = QUERIES["daily_last"](spark, SF).selectExpr("min(date)", "max(date)").first()
+    got = {r.series_id: r["count"] for r in QUERIES[name](spark, SF).groupBy("series_id").count().collect()}
+    series = [r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderpriority").distinct().collect()]
+    assert got == {s: (last - first).days + 1 for s in series}
+
+
+def test_logit_probs_has_every_series(spark):
+    got = QUERIES["logit_probs"](spark, SF).select("series_id", "date", "status", "p").collect()
+    want = QUERIES["daily_last"](spark, SF).select("series_id", "date").collect()
+    assert sorted((r.series_id, r.date) for r in got) == sorted(map(tuple, want))
+    assert all(r.status == "OK" and 0 <= r.p <= 1 for r in got)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,9 +194,17 @@ def auc_score(spark, sf):
 
 @query()
 def logit_probs(spark, sf):
-    """Probability of a high price in 21 observations, from the features of the urgent series; no rows with under 300 labels."""
-    rows = features(spark, sf).filter("series_id = '1-URGENT'").withColumn("label", (F.col("value") > 150000).cast("double"))
-    rows = M.standardised(M.lead_label(rows, "label", [21], "series_id"), ["cycle_z", "slope_1m", "vol_z"])
+    """Probability of a high price in 21 observations, from each series' own features; WARMUP without one for series of under 100 labels."""
+    rows = features(spark, sf).withColumn("label", (F.col("value") > 150000).cast("double"))
+    rows = M.lead_label(rows, "label", [21], "series_id")
+    ids = sorted(s for (s,) in rows.select("series_id").distinct().collect())
+    parts = [forecast(rows.filter(F.col("series_id") == s)) for s in ids]
+    return reduce(DataFrame.unionByName, parts) if parts else forecast(rows)
+
+
+def forecast(rows: DataFrame) -> DataFrame:
+    """One series' model and its probabilities."""
+    rows = M.standardised(rows, ["cycle_z", "slope_1m", "vol_z"])
     model = M.ridge_logit(rows, ["cycle_z", "slope_1m", "vol_z"], "label_21", least=100)
     if model is None:
         return rows.select("series_id", "date", F.lit(None).cast("double").alias("p"), F.lit("WARMUP").alias("status"))

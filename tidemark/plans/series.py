@@ -241,6 +241,30 @@ def nearest_join(spark, sf):
     return prep.nearest(days, facts, ["series_id"], ["value"]).select("series_id", "date", "as_of", r("value").alias("value"))
 
 
+ALL_PROBES_SQL = DAILY_SQL + ", ends AS (SELECT min(date) AS a, max(date) AS z FROM daily), days AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM ends), probes AS (SELECT series_id, date FROM (SELECT DISTINCT series_id FROM daily), days), facts AS (SELECT series_id, date, date AS as_of, value FROM daily)"
+
+
+def all_probes(spark, sf):
+    """Every series on every day from the table's first date to its last, and all facts."""
+    facts = daily(spark, sf)
+    ends = facts.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return prep.calendar(facts.select("series_id").distinct().crossJoin(ends)), facts
+
+
+@query(f"WITH {ALL_PROBES_SQL} SELECT p.series_id, p.date, f.as_of, round(f.value, 4) + 0.0 AS value FROM probes p ASOF LEFT JOIN facts f ON p.series_id = f.series_id AND p.date >= f.date")
+def asof_join_all(spark, sf):
+    days, facts = all_probes(spark, sf)
+    return prep.as_of(days, facts, ["series_id"], ["value"]).select("series_id", "date", "as_of", r("value").alias("value"))
+
+
+@query(f"""WITH {ALL_PROBES_SQL}, b AS (SELECT p.series_id, p.date, f.as_of AS bd, f.value AS bv FROM probes p ASOF LEFT JOIN facts f ON p.series_id = f.series_id AND p.date >= f.date),
+a AS (SELECT p.series_id, p.date, f.as_of AS ad, f.value AS av FROM probes p ASOF LEFT JOIN facts f ON p.series_id = f.series_id AND p.date <= f.date), c AS (SELECT *, ad IS NULL OR date - bd <= ad - date AS early FROM b JOIN a USING (series_id, date))
+SELECT series_id, date, CASE WHEN early THEN bd ELSE ad END AS as_of, round(CASE WHEN early THEN bv ELSE av END, 4) + 0.0 AS value FROM c""")
+def nearest_join_all(spark, sf):
+    days, facts = all_probes(spark, sf)
+    return prep.nearest(days, facts, ["series_id"], ["value"]).select("series_id", "date", "as_of", r("value").alias("value"))
+
+
 @query(f"""WITH {DAILY_SQL}, s AS (SELECT series_id, date, CASE WHEN value > 200000 THEN 'DEFCON2' ELSE 'NORMAL' END AS state FROM daily WHERE day(date) = 15)
 SELECT d.series_id, d.date, coalesce(last_value(s.state IGNORE NULLS) OVER (PARTITION BY d.series_id ORDER BY d.date), 'WARMUP') AS state FROM daily d LEFT JOIN s USING (series_id, date)""")
 def state_ffill_join(spark, sf):
