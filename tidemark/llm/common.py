@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if all tasks run in this
+    process (tests); on a cluster a local folder would be lost to the others, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,7 +39,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back, so lost executors cost no recomputation."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, whichever store it is in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing will read any more."""
+    for df in frames:
+        path, files = hadoop_path(df.sparkSession, df.staged_at)
+        files.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

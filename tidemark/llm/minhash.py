@@ -8,7 +8,7 @@ share of equal coordinates concentrates as with independent hash functions, at t
 Documents of equal sets form a class and enter once. Classes that share a band are candidates: first each bucket's members against
 its head, the member that shares most bands with others, so a group of near copies costs a star; then, where that leaves several
 components, the members outside the main one against all that share the head, in blocks that compare sketches and then full sets.
-Candidates whose sketches make 0.75 all but impossible are dropped; all others are verified on the full sets of shingles."""
+Candidates whose sketches agree in less than half of their coordinates are dropped; all others are verified on the full sets of shingles."""
 
 from __future__ import annotations
 
@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import discard, staged, table
 from .graph import components
 
 WIDTH, BANDS, ROWS = 5, 32, 4
@@ -29,6 +29,7 @@ COORDINATES = BANDS * ROWS
 GROUP = 100
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 NOBODY = (1 << 63) - 1
+LEAST = 0.5  # share of equal coordinates below which a candidate is dropped
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -90,8 +91,8 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), class (digest of the set), sketch (a byte of each coordinate), bands; the last three null without words."""
+def signatures(docs: DataFrame, key: Column) -> DataFrame:
+    """doc_id, key, n (shingles), class (digest of the set), sketch (a byte of each coordinate), bands; the last three null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,16 +104,24 @@ def signatures(docs: DataFrame) -> DataFrame:
                 short, bands = sketch.astype(np.uint8), band_keys(sketch)
                 digest, code, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 for k, i in enumerate(used):
-                    digest[i], code[i], keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), short[k].tobytes(), bands[k]
-                columns = [part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(code, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, names=["doc_id", "n", "class", "sketch", "bands"])
+                    digest[i], code[i], keys[i] = digest_of(sets[i]), short[k].tobytes(), bands[k]
+                columns = [part["doc_id"], part["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(code, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, names=["doc_id", "key", "n", "class", "sketch", "bands"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, class binary, sketch binary, bands array<bigint>")
+    rows = docs.select(named(docs), "text", key.cast("string").alias("key"))
+    return rows.mapInArrow(run, "doc_id bigint, key string, n bigint, class binary, sketch binary, bands array<bigint>")
+
+
+def named(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id")
+
+
+def digest_of(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def likely(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
-    """Pairs a, b whose sizes allow 0.75 and whose sketches agree in `least` of the coordinates: at 0.75 fewer agree once in 10**9 pairs."""
+    """Pairs a, b whose sizes allow 0.75 and whose sketches agree in `least` of the coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,20 +133,23 @@ def likely(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "xs", "ys").mapInArrow(run, "a bigint, b bigint")
 
 
-def set_table(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """needed: doc_id. node and items, the full set of shingles, of each."""
+def set_table(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """needed: node. node and items, the full set of shingles, of each. Texts are fetched by doc_id, and of rows that share one
+    those with the node's digest are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                yield pa.record_batch([part["doc_id"], pa.array([s.tobytes() for s in shingle_sets(part["text"].to_pylist())], pa.binary())], names=["node", "items"])
+                sets = shingle_sets(batch.slice(at, GROUP)["text"].to_pylist())
+                yield pa.record_batch([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "items"])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc_id"), "text").join(needed.hint("merge"), "doc_id", "left_semi")  # both sides grow with the corpus: never broadcast
-    return staged(texts.mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"]), "near-sets")
+    wanted = nodes.join(needed, "node", "left_semi").select("node", "doc_id", "class")
+    texts = docs.select(named(docs), "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")  # both sides grow with the corpus: never broadcast
+    sets = texts.mapInArrow(run, "class binary, items binary").join(wanted.select("class", "node").hint("merge"), "class")
+    return staged(sets.groupBy("class").agg(F.first("node").alias("node"), F.first("items").alias("items")).select("node", "items"), "near-sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets have 100 times the intersection at least 75 times the union."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,19 +161,37 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = set_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
+    sets = set_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
     x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), sets.select(F.col("node").alias("b"), F.col("items").alias("ys"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "xs", "ys").mapInArrow(confirm, "a bigint, b bigint")
-
-
-def near_dedup(docs: DataFrame, least: float = 0.57, block: int = 512) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept.
-
-    A null or wordless text has no shingles and is a component of its own. Rows with one doc_id are one node; null doc_ids
-    are one node after all others. An empty table gives no rows; other columns are not read."""
-    found = staged(signatures(docs), "near-signatures")
-    classes = found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("node"))
-    nodes = staged(found.join(classes, "class").filter("doc_id = node").dropDuplicates(["node"]).select("node", "n", "sketch", "bands"), "near-nodes")
+    links = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "xs", "ys").mapInArrow(confirm, "a bigint, b bigint"), "near-links")
+    discard(sets)
+    return links
+
+
+def same_document(found: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Edges a, b between the classes of rows that share a doc_id with other texts; None where no rows do."""
+    rows = found.filter((F.col("doc_id") < NOBODY) & F.col("class").isNotNull()).select("doc_id", "class")
+    spread = rows.withColumn("h", F.xxhash64("class")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = staged(spread.filter("low != high").select("doc_id"), "near-several")
+    if several.isEmpty():
+        return None
+    own = staged(rows.join(several, "doc_id", "left_semi").distinct().join(classes, "class").select("doc_id", "node"), "near-several")
+    return own.join(own.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node != b").select(F.col("node").alias("a"), "b")
+
+
+def near_dedup(docs: DataFrame, key: Column | None = None, least: float = LEAST, block: int = 512) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept, and key if one is given (an expression on docs).
+
+    Rows with equal sets are one node. Rows that share a doc_id are one document: their nodes are linked, and all are kept or
+    dropped together. A null doc_id tells nothing: such rows are documents of their own, after all others; component_id is
+    null where a component holds no other, and then the first row is kept. A null or wordless text has no shingles and is
+    linked with nothing. An empty table gives no rows; other columns are not read. A link is missed if no band is shared
+    (at a similarity of exactly 0.75 with a chance of 5 in 10**6) or fewer than `least` of the coordinates agree (4 in
+    10**10 there); both chances fall fast above it."""
+    found = staged(signatures(docs, F.lit(None) if key is None else key).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
+    classes = staged(found.filter("class is not null").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "near-classes")
+    first_rows = classes.select(F.col("node").alias("row"))
+    nodes = staged(found.join(first_rows, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "class", "n", "sketch", "bands"), "near-nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     size = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     shared = staged(bands.join(size, "band"), "near-shared")
@@ -170,25 +200,34 @@ def near_dedup(docs: DataFrame, least: float = 0.57, block: int = 512) -> DataFr
     ranked = shared.join(mass, "node").select("node", "band", F.struct("mass", -F.col("node"), "node").alias("rank"))
     head = ranked.groupBy("band").agg(F.max("rank")["node"].alias("head"))
     family = staged(ranked.join(head, "band").select("node", "head").distinct(), "near-families")
+    discard(shared)
     codes = nodes.select("node", "n", "sketch")
     stars = family.filter("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    links = staged(verified(staged(likely(stars, codes, least), "near-pairs"), docs), "near-links")
+    pairs = staged(likely(stars, codes, least), "near-pairs")
+    links = verified(pairs, nodes, docs)
+    discard(pairs)
+    if (own := same_document(found, classes)) is not None:
+        links = staged(links.unionByName(own), "near-links")
     label = staged(components(links), "near-components")
-    more = staged(within_families(family, label, codes, docs, least, block), "near-links")
+    more = within_families(family, label, nodes, docs, least, block)
     if not more.isEmpty():
         label = staged(components(links.unionByName(more)), "near-components")
-    joined = found.select("doc_id", "n", "class").join(classes, "class", "left").join(label, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    of_class = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
+    joined = found.select("doc_id", "key", "row", "n", "class").join(of_class.join(smallest, "component").select("class", "component", "component_id"), "class", "left")
+    component, of = F.coalesce("component_id", "doc_id"), F.coalesce("component", "row")
     real = lambda c: F.nullif(c, F.lit(NOBODY))
-    return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    kept = F.when(component == NOBODY, F.col("row") == of).otherwise(F.col("doc_id") == component)
+    return joined.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), kept.alias("kept"), *["key"] * (key is not None))
 
 
-def within_families(family: DataFrame, label: DataFrame, codes: DataFrame, docs: DataFrame, least: float, block: int) -> DataFrame:
+def within_families(family: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, block: int) -> DataFrame:
     """Links a, b between different components of a family, the members of the buckets that one head leads.
 
     Members of a family's main component are not compared with each other. Its other members, in blocks, are compared with all
     members, in blocks: first sketches, which tell the members that may have a partner in a block, then the full sets of these,
     whose intersections are one matrix product. No pair becomes a row unless it is a link."""
+    codes = nodes.select("node", "n", "sketch")
     rows = family.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = rows.groupBy("head", "component").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("head").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("m"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
@@ -239,8 +278,10 @@ def within_families(family: DataFrame, label: DataFrame, codes: DataFrame, docs:
         a, b = node[ix[i]], node[iy[j]]
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    sets = set_table(close.select(F.col("node").alias("doc_id")).distinct(), docs)
-    return close.join(sets, "node").groupBy(*keys).applyInPandas(link, "a bigint, b bigint").distinct()
+    sets = set_table(close.select("node").distinct(), nodes, docs)
+    links = staged(close.join(sets, "node").groupBy(*keys).applyInPandas(link, "a bigint, b bigint").distinct(), "near-links")
+    discard(rows, close, sets)
+    return links
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
