@@ -28,10 +28,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near copies."""
-    key = F.coalesce(F.col("doc_id"), F.lit(minhash.NOBODY))
-    kept = minhash.near_dedup(docs).filter("kept").select(key.alias("__kept_id")).distinct()
-    return docs.withColumn("__kept_id", key).join(kept, "__kept_id", "left_semi").select(*docs.columns)
+    """The smallest doc_id of each component of near copies; of documents without one, which their text tells apart, one of a component."""
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(minhash.NOBODY)), F.md5(F.coalesce(F.col("text"), F.lit("")))
+    kept = minhash.near_dedup(docs, key=text).filter("kept").select(key.alias("__kept_id"), F.col("key").alias("__kept_text")).distinct()
+    return docs.withColumns({"__kept_id": key, "__kept_text": text}).join(kept, ["__kept_id", "__kept_text"], "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
