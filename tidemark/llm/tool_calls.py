@@ -1,20 +1,26 @@
 """Chat formatting: links tool calls to their results, orders them, validates arguments and writes canonical JSON.
 
-Calls and results meet in a hash join on the identifier. Order: chains of calls with one predecessor are contracted by pointer
-doubling, so a chain of n calls takes about log2(n) rounds; what is left, calls with several predecessors, is peeled level by
-level. No conversation is gathered in one task."""
+Calls and results meet in a hash join on the identifier. Order: edges that a path of two others implies are dropped, so calls
+that each follow the last few become a chain; chains of calls with one predecessor are contracted by pointer doubling, so a
+chain of n calls takes about log2(n) rounds; what is left, calls with several predecessors, is peeled level by level, and each
+edge is written once. No conversation is gathered in one task. Arguments are parsed as variants, which keep JSON's types."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import discard, staged, table
 
 #: Schemas of the calls that conversations stand for: argument -> (type, required, least).
 #: `least` is the smallest value of an integer or number, or the shortest length of a string.
 SCHEMAS = {"configure": {"prompt": ("string", True, 1), "turn": ("integer", True, 0)}, "reply": {"prompt": ("string", True, 1), "turn": ("integer", True, 0)}}
 
+#: JSON type -> the names under which variants know it.
+TYPES = {"string": r"^STRING$", "boolean": r"^BOOLEAN$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "number": r"^(BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE)$"}
+
 
 def quoted(c: Column) -> Column:
     """A string as JSON."""
@@ -22,10 +28,21 @@ def quoted(c: Column) -> Column:
     return F.substring(text, 2, F.length(text) - 2)
 
 
+def without_implied(edges: DataFrame, calls: DataFrame, few: int = 8) -> DataFrame:
+    """edges without those from x to z for which edges from x to y and from y to z are there, with falling turns, and y has at most
+    `few` predecessors. The longest chains and the cycles stay: what an edge stood for, a longer path of kept edges still does."""
+    turns = calls.select("call_id", "turn")
+    timed = edges.join(turns, "call_id").join(turns.toDF("dep", "dep_turn"), "dep").filter("dep_turn < turn").select("call_id", "dep")
+    narrow = timed.groupBy("call_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= few).select("call_id")
+    second = timed.join(narrow, "call_id").select(F.col("call_id").alias("via"), "dep")
+    implied = timed.withColumnRenamed("dep", "via").join(second, "via").select("call_id", "dep").distinct()
+    return edges.join(implied, ["call_id", "dep"], "left_anti")
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """calls: call_id, distinct. edges: call_id, dep, both calls. One row for each call: call_id, level, the length of the
-    longest chain of calls before it; null for calls on a cycle or after one."""
-    edges = staged(edges.select("call_id", "dep").distinct(), "calls-edges")
+    """calls: call_id, distinct, and turn. edges: call_id, dep, both calls. One row for each call: call_id, level, the length of
+    the longest chain of calls before it; null for calls on a cycle or after one."""
+    edges = staged(without_implied(edges.select("call_id", "dep").distinct(), calls), "calls-edges")
     degree = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("k"), F.min("dep").alias("only"))
     nodes = calls.select("call_id").join(degree, "call_id", "left")
     chain = F.col("k") == 1
@@ -34,69 +51,83 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     while rounds < most:
         step = ptr.select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"))
         new = staged(ptr.join(step, "at").select("call_id", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far"), "k", (F.col("more") > 0).alias("moved")), "calls-chain")
-        ptr, rounds = new.drop("moved"), rounds + 1
+        discard(ptr)
+        ptr, rounds = new, rounds + 1
         if new.filter("moved").isEmpty():
             break
     ends = ptr.filter("call_id = at").select(F.col("call_id").alias("at"))  # roots and calls with several predecessors
-    ptr = staged(ptr.join(ends, "at", "left_semi"), "calls-chain")  # the rest runs into a cycle
-    done = ptr.filter("k = 0").select("call_id", F.lit(0).cast("long").alias("level"))
+    ptr = staged(ptr.join(ends, "at", "left_semi").select("call_id", "at", "far", "k"), "calls-chain")  # the rest runs into a cycle
+    done = [ptr.filter("k = 0").select("call_id", F.lit(0).cast("long").alias("level"))]
     open_ = ptr.filter("k > 1").select("call_id", "k")
     if not open_.isEmpty():
         into = staged(open_.join(edges, "call_id").join(ptr.select(F.col("call_id").alias("dep"), "at", "far"), "dep", "left").select("call_id", "k", "at", "far"), "calls-joins")
-        done = staged(done, "calls-levels")
+        reached: list[DataFrame] = []
         while True:
-            ready = into.join(done.select(F.col("call_id").alias("at"), "level"), "at").groupBy("call_id").agg(F.first("k").alias("k"), F.count(F.lit(1)).alias("got"), (F.max(F.col("level") + F.col("far")) + 1).alias("level"))
-            new = staged(ready.filter("got = k").select("call_id", "level").join(done, "call_id", "left_anti"), "calls-levels")
+            last = done[-1].select(F.col("call_id").alias("at"), "level")
+            new = staged(into.join(last, "at").select("call_id", "k", (F.col("level") + F.col("far") + 1).alias("level")), "calls-reached")
             if new.isEmpty():
                 break
-            done = staged(done.unionByName(new), "calls-levels")
-    return ptr.join(done.select(F.col("call_id").alias("at"), "level"), "at").select("call_id", (F.col("level") + F.col("far")).alias("level"))
+            reached = together([*reached, new])
+            so_far = reduce(DataFrame.unionByName, reached).join(new.select("call_id").distinct(), "call_id", "left_semi")
+            ready = so_far.groupBy("call_id").agg(F.first("k").alias("k"), F.count(F.lit(1)).alias("got"), F.max("level").alias("level")).filter("got = k")
+            done = [*together(done), staged(ready.select("call_id", "level"), "calls-levels")]
+    all_done = reduce(DataFrame.unionByName, done)
+    return ptr.join(all_done.select(F.col("call_id").alias("at"), "level"), "at").select("call_id", (F.col("level") + F.col("far")).alias("level"))
 
 
-def problems(name: Column, arguments: Column, schemas: dict) -> Column:
-    """Sorted errors of a call's arguments (map of JSON values as text, null if they aren't an object) against its schema."""
-    out = F.array(F.lit("unknown tool"))
+def together(parts: list[DataFrame], most: int = 24) -> list[DataFrame]:
+    """The parts, written as one table when they are many."""
+    return parts if len(parts) < most else [staged(reduce(DataFrame.unionByName, parts), "calls-parts")]
+
+
+def problems(name: Column, text: Column, parsed: Column, schemas: dict) -> Column:
+    """Errors of a call's arguments (their text, and the variant of it) against its schema."""
+    keys, out = F.json_object_keys(text), F.array(F.lit("unknown tool"))
+    of_any = [F.when(keys.isNull(), "not an object"), F.when(keys.isNotNull() & parsed.isNull(), "duplicate key")]
     for tool, schema in sorted(schemas.items()):
         known = F.array(*[F.lit(a) for a in sorted(schema)])
-        found = [F.when(F.size(F.array_except(F.map_keys(arguments), known)) > 0, "unknown argument")]
+        found = [*of_any, F.when(F.size(F.array_except(keys, known)) > 0, "unknown argument")]
         for a, (kind, required, least) in sorted(schema.items()):
-            value = F.element_at(arguments, a)
+            path = f"$['{a}']"
+            value = F.try_variant_get(parsed, path, {"string": "string", "boolean": "boolean", "integer": "decimal(38,0)", "number": "double"}[kind])
+            there, typed = F.array_contains(keys, a) & parsed.isNotNull(), F.schema_of_variant(F.try_variant_get(parsed, path, "variant")).rlike(TYPES[kind])
+            fits = F.coalesce(typed & value.isNotNull() & (F.abs(value) < float("inf") if kind == "number" else F.lit(True)), F.lit(False))
             if required:
-                found.append(F.when(value.isNull(), f"{a}: missing"))
-            number = {"integer": F.when(value.rlike(r"^-?[0-9]+$"), value.try_cast("decimal(38,0)")), "number": value.try_cast("double"), "boolean": F.when(value.isin("true", "false"), F.lit(least)), "string": F.length(value)}[kind]
-            found.append(F.when(value.isNotNull() & number.isNull(), f"{a}: not {kind}"))
-            found.append(F.when(number < least, f"{a}: below {least}"))
-        found.append(F.when(arguments.isNull(), "not an object"))
+                found.append(F.when(~there, f"{a}: missing"))
+            found.append(F.when(there & ~fits, f"{a}: not {kind}"))
+            if kind != "boolean":
+                found.append(F.when(there & fits & ((F.length(value) if kind == "string" else value) < least), f"{a}: below {least}"))
         out = F.when(name == tool, F.array_compact(F.array(*found))).otherwise(out)
     return out
 
 
-def canonical(name: Column, arguments: Column, schemas: dict) -> Column:
-    """The arguments as JSON with sorted keys and no spaces; strings quoted anew, other values as they stand."""
-    bare = F.array(*[F.lit(f"{t}\0{a}") for t, s in sorted(schemas.items()) for a, (kind, _, _) in sorted(s.items()) if kind != "string"])
-    one = lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(F.array_contains(bare, F.concat(F.coalesce(name, F.lit("")), F.lit("\0"), e["key"])), e["value"]).otherwise(F.coalesce(quoted(e["value"]), F.lit("null"))))
-    return F.coalesce(F.concat(F.lit("{"), F.concat_ws(",", F.transform(F.array_sort(F.map_entries(arguments)), one)), F.lit("}")), F.lit("null"))
-
-
 def link_tool_calls(calls: DataFrame, results: DataFrame, edges: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """calls: call_id, conv_id, turn, name, arguments (JSON text); results: call_id, content; edges: call_id, dep.
 
     One row for each call_id: conv_id, call_id, turn, name, level, n_results, errors (joined by "; ", empty if valid), json.
-    (level, turn, call_id) orders a conversation topologically; level is null on or after a cycle, an error of its own.
-    Of repeated calls or results with one id the smallest counts; n_results tells how many there were. Calls without an id
-    and edges to unknown calls are left out; results without a call are not returned. A null content counts as a result."""
+    (level, turn, call_id) orders a conversation topologically; level is null on or after a cycle, an error of its own. Results
+    whose call is not there are returned as rows with the error "no call" and without conv_id, turn, name and level.
+    Of repeated calls or results with one id the smallest counts; n_results tells how many there were. Calls and results without
+    an id and edges to unknown calls are left out. A null content counts as a result. Other columns are not read.
+
+    Types are JSON's: a number is no string, a present null is of no type but there, 1.0 is an integer. The JSON has sorted keys
+    at every depth, no spaces, and numbers in their shortest form; what follows the first JSON value of a text is ignored, and
+    arguments that are no JSON, or hold a key twice at any depth (an error: no value may be chosen), are given as a string."""
     one = calls.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct("conv_id", "turn", "name", "arguments")).alias("c")).select("call_id", "c.*")
     one = staged(one, "calls")
     known = one.select("call_id")
-    edges = edges.join(known, "call_id", "left_semi").join(known.withColumnRenamed("call_id", "dep"), "dep", "left_semi")
+    edges = edges.select("call_id", "dep").join(known, "call_id", "left_semi").join(known.withColumnRenamed("call_id", "dep"), "dep", "left_semi")
     answers = results.filter("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min("content").alias("content"))
-    joined = one.join(answers, "call_id", "left").join(levels(one, edges), "call_id", "left").withColumn("parsed", F.from_json("arguments", "map<string,string>"))
-    errors = F.concat(problems(F.col("name"), F.col("parsed"), schemas), F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
+    placed = one.join(levels(one, edges), "call_id", "left").withColumn("parsed", F.try_parse_json("arguments")).withColumn("called", F.lit(True))
+    joined = placed.join(answers, "call_id", "full")
+    errors = F.concat(problems(F.col("name"), F.col("arguments"), F.col("parsed"), schemas), F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
+    null = F.lit("null")
     json = F.concat(
-        F.lit('{"arguments":'), canonical(F.col("name"), F.col("parsed"), schemas), F.lit(',"id":'), quoted(F.col("call_id")),
-        F.lit(',"name":'), F.coalesce(quoted(F.col("name")), F.lit("null")), F.lit(',"result":'), F.coalesce(quoted(F.col("content")), F.lit("null")), F.lit("}"),
+        F.lit('{"arguments":'), F.coalesce(F.to_json("parsed"), quoted(F.col("arguments")), null), F.lit(',"id":'), quoted(F.col("call_id")),
+        F.lit(',"name":'), F.coalesce(quoted(F.col("name")), null), F.lit(',"result":'), F.coalesce(quoted(F.col("content")), null), F.lit("}"),
     )
-    return joined.select("conv_id", "call_id", "turn", "name", "level", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.concat_ws("; ", F.array_sort(errors)).alias("errors"), json.alias("json"))
+    said = F.when(F.col("called"), F.concat_ws("; ", F.array_sort(errors))).otherwise("no call")
+    return joined.select("conv_id", "call_id", "turn", "name", "level", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), said.alias("errors"), json.alias("json"))
 
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -127,4 +158,6 @@ SELECT conv_id, call_id, turn, s.name AS name, level, coalesce(n_results, 0) AS
  CASE WHEN s.txt IS NULL THEN 'prompt: missing' WHEN s.txt = '' THEN 'prompt: below 1' ELSE '' END AS errors,
  '{"arguments":{' || CASE WHEN s.txt IS NULL THEN '' ELSE '"prompt":' || CAST(to_json(s.txt) AS VARCHAR) || ',' END || '"turn":' || turn || '},"id":"' || call_id || '","name":"' || s.name || '","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
 FROM c JOIN v USING (call_id) LEFT JOIN r USING (call_id)
+UNION ALL SELECT NULL, call_id, NULL, NULL, NULL, n_results, 'no call', '{"arguments":null,"id":"' || call_id || '","name":null,"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}'
+FROM r WHERE call_id NOT IN (SELECT call_id FROM c)
 """
