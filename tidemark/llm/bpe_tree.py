@@ -2,7 +2,8 @@
 
 A span is encoded by encoding its halves and joining them. The join re-encodes a window around the seam and widens it until
 both seams of the window are stable: a sequence of tokens is the encoding of its bytes exactly when each two neighbours, alone,
-encode to themselves, so then nothing outside the window can change. Decoding concatenates up the same tree.
+encode to themselves, so then nothing outside the window can change. Leaves are spans of a few bytes, merged by the ranks; a
+match that is itself a token needs no tree. Decoding concatenates up the same tree.
 
 Texts are cut where no match of the pattern crosses: before a single space between two other characters. The runs between
 recur, so each worker keeps a bounded table of the runs it has met."""
@@ -10,12 +11,13 @@ recur, so each worker keeps a bounded table of the runs it has met."""
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,45 +29,101 @@ from .common import table
 SPACES = "\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
 SPACE_LETTERS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACES}]", c))
-LEAF, KNOWN = 48, 300_000
+LEAF, KNOWN, NONE = 4, 300_000, 1 << 32
+STABLE: list[int] = []
 
 
 class TreeEncoder:
-    """Encoder of one rank file. parse(bytes) gives the ids of a short span; it is the leaf of the tree."""
+    """Encoder of one rank file. Leaves, pairs and matches met lately stay in bounded tables; the lists in them are never changed."""
 
     def __init__(self, ranks_path: str):
         with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.parse = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        self.stable: dict[tuple[int, int], bool] = {}
-
-    def settled(self, a: int, b: int) -> bool:
-        """Whether the neighbours a, b stay as they are."""
-        if (known := self.stable.get((a, b))) is None:
-            if len(self.stable) >= KNOWN:
-                self.stable.clear()
-            known = self.stable[a, b] = self.parse(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.bytes_of = [b""] * (1 + max(self.ranks.values()))
+        for b, i in self.ranks.items():
+            self.bytes_of[i] = b
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.leaves: dict[bytes, list[int]] = {}
+        self.pieces: dict[bytes, list[int]] = {}
+        self.joins = 0
+
+    def merged(self, b: bytes) -> list[int]:
+        """Ids of a span by its definition: again and again, of all neighbours the pair of the lowest rank (the first of these) is merged."""
+        rank, n = self.ranks.get, len(b)
+        if n <= 16:
+            parts = [b[i : i + 1] for i in range(n)]
+            open_ = [rank(x + y, NONE) for x, y in pairwise(parts)]
+            while open_ and (low := min(open_)) < NONE:
+                i = open_.index(low)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del open_[i]
+                if i:
+                    open_[i - 1] = rank(parts[i - 1] + parts[i], NONE)
+                if i < len(open_):
+                    open_[i] = rank(parts[i] + parts[i + 1], NONE)
+            return [self.ranks[p] for p in parts]
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        part: list[bytes | None] = [b[i : i + 1] for i in range(n)]
+        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(b[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            if part[i] is None or (j := right[i]) >= n or len(part[i]) + len(part[j]) != size:
+                continue  # of neighbours that are no more
+            part[i], part[j], right[i] = part[i] + part[j], None, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+                if (r := rank(part[i] + part[right[i]])) is not None:
+                    heapq.heappush(heap, (r, i, len(part[i]) + len(part[right[i]])))
+            if left[i] >= 0 and (r := rank(part[left[i]] + part[i])) is not None:
+                heapq.heappush(heap, (r, left[i], len(part[left[i]]) + len(part[i])))
+        return [self.ranks[p] for p in part if p is not None]
+
+    def pair(self, a: int, b: int) -> list[int]:
+        """Ids of the bytes of two neighbours; STABLE if they stay as they are."""
+        if (found := self.pairs.get((a, b))) is None:
+            if len(self.pairs) >= KNOWN:
+                self.pairs.clear()
+            found = self.merged(self.bytes_of[a] + self.bytes_of[b])
+            found = self.pairs[a, b] = STABLE if found == [a, b] else found
+        return found
 
     def join(self, x: list[int], y: list[int]) -> list[int]:
-        if not x or not y or self.settled(x[-1], y[0]):
+        """Ids of the bytes of x and y, each the ids of its own: a window around the seam, first one token to each side, is encoded
+        anew and its side doubled until the window's outer neighbours are stable, or there are none."""
+        self.joins += 1
+        i, j, window = 1, 1, self.pair(x[-1], y[0])
+        if window is STABLE:
             return x + y
-        i = j = 1
         while True:
-            i, j = min(i, len(x)), min(j, len(y))
-            window = self.parse(b"".join(map(self.bytes_of.__getitem__, x[-i:] + y[:j])))
-            left = i == len(x) or self.settled(x[-i - 1], window[0])
-            right = j == len(y) or self.settled(window[-1], y[j])
+            left = i >= len(x) or self.pair(x[-i - 1], window[0]) is STABLE
+            right = j >= len(y) or self.pair(window[-1], y[j]) is STABLE
             if left and right:
-                return x[: len(x) - i] + window + y[j:]
+                return x[: max(0, len(x) - i)] + window + y[j:]
             i, j = i * (1 if left else 2), j * (1 if right else 2)
+            window = self.merged(b"".join(map(self.bytes_of.__getitem__, x[-i:] + y[:j])))
+
+    def tree(self, b: bytes) -> list[int]:
+        """Ids of some bytes: halves of halves down to leaves of LEAF bytes, which are merged by the ranks, joined two by two."""
+        if (n := len(b)) <= LEAF:
+            if (found := self.leaves.get(b)) is None:
+                if len(self.leaves) >= KNOWN:
+                    self.leaves.clear()
+                found = self.leaves[b] = self.merged(b)
+            return found
+        return self.join(self.tree(b[: n // 2]), self.tree(b[n // 2 :]))
 
     def piece(self, b: bytes) -> list[int]:
-        if len(b) <= LEAF:
-            return self.parse(b)
-        half = len(b) // 2
-        return self.join(self.piece(b[:half]), self.piece(b[half:]))
+        """Ids of a match of the pattern: its own id if it is a token, as the format has it, else by the tree."""
+        if (own := self.ranks.get(b)) is not None:
+            return [own]
+        if (found := self.pieces.get(b)) is None:
+            found = self.tree(b)
+            if len(b) <= 32:
+                if len(self.pieces) >= KNOWN:
+                    self.pieces.clear()
+                self.pieces[b] = found
+        return found
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
