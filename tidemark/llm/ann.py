@@ -53,15 +53,19 @@ def usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     """Rows whose vector has some component other than 0, and none that is null or not finite."""
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.filter(F.col(id_).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
+    kind = rows.schema[vector].dataType.elementType.typeName()
+    own = F.col(vector) if kind in ("float", "double") else v
+    return rows.filter(F.col(id_).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_).cast("long").alias("vec_id"), own.alias("v"))
 
 
-def nearest(rows: DataFrame, k: int = 20, every: int = 20, projections: int = 8, z: float = 1.645, block_rows: int = 4096, query_rows: int = 4096, sample_rows: int = 50_000, seed: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, k: int = 20, every: int = 20, projections: int = 8, z: float = 1.645, block_rows: int = 4096, query_rows: int = 4096, opening: int = 512, sample_rows: int = 400_000, seed: int = 5, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query, a row whose id is divisible by `every`: query_id, rank, vec_id and score of its k nearest found.
 
-    The tree is fitted to at most sample_rows vectors; every vector is indexed. Of equal vectors only the k + 1 smallest ids
-    can be among k nearest, so equal vectors are searched once. A query has no neighbour but itself left out; with fewer
-    candidates it gets them all. Vectors of another length than the most common (then smallest) take no part."""
+    The tree is fitted to the projections of at most sample_rows vectors, a few numbers each; every vector is indexed. Of equal
+    vectors only the k + 1 smallest ids can be among k nearest, so equal vectors are searched once; rows that share an id and
+    differ are vectors of their own, and none of them is a neighbour of that id. Scores are of the vectors as they are, in double precision. A query
+    has no neighbour but itself left out; with fewer candidates it gets them all. Vectors of another length than the most
+    common (then smallest) take no part."""
     spark = rows.sparkSession
     fine = usable(rows, id_, vector)
     size = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -88,9 +92,15 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, projections: int = 8,
     def vectors(column) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size.d)
 
-    sample = points.select("v").orderBy(F.xxhash64("rep")).limit(sample_rows).toArrow()["v"].combine_chunks()
-    leaves = 1 << max(0, min(int(np.ceil(np.log2(max(1, top.n / block_rows)))), int(np.log2(max(1, len(sample) / 16)))))
-    levels = kd_splits(project(vectors(sample), False), leaves)
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([pa.array(list(project(vectors(b["v"]), False)), pa.list_(pa.float64()))], names=["p"])
+
+    some = points.select("rep", "v").orderBy(F.xxhash64("rep")).limit(sample_rows) if top.n > sample_rows else points
+    sample = np.array(some.select("v").mapInArrow(projected, "p array<double>").toArrow()["p"].to_pylist(), np.float64).reshape(-1, projections)
+    leaves = 1 << max(0, min(int(np.ceil(np.log2(max(1, top.n / block_rows)))), int(np.log2(max(1, len(sample) / 8)))))
+    levels = kd_splits(sample, leaves)
 
     def index(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +111,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, projections: int = 8,
 
         return run
 
-    schema = "rep bigint, v array<float>, p array<double>, leaf bigint"
+    schema = f"rep bigint, v {points.schema['v'].dataType.simpleString()}, p array<double>, leaf bigint"
     indexed = staged(points.select("rep", "v").mapInArrow(index(False), schema), "ann-indexed")
     asked = staged(points.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "v").mapInArrow(index(True), schema), "ann-asked")
     boxes = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[f(F.col("p")[i]).alias(f"{s}{i}") for s, f in (("lo", F.min), ("hi", F.max)) for i in range(projections)]).orderBy("leaf").toPandas()  # a row a leaf
@@ -114,25 +124,40 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, projections: int = 8,
         return limit * np.maximum(0, 2 * top.m - 2 * longest * score / norm) + 1e-9
 
     def search(key, mine: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(mine) and len(ask):
-            v, p, names = np.stack(mine.v.to_numpy()).astype(np.float64), np.stack(mine.p.to_numpy()), mine.rep.to_numpy()
-            for rep, q, at, floor in zip(ask.rep, ask.v, ask.p, ask.floor):
-                q = np.asarray(q, np.float64)
-                far = ((p - at) ** 2).sum(1)
-                order, norm = np.argsort(far, kind="stable"), np.sqrt(q @ q)
-                scores, found, done, kth = np.empty(0), np.empty(0, np.int64), 0, floor
-                while done < len(order) and (kth == -np.inf or far[order[done]] <= allowed(kth, norm)):
-                    part = order[done : done + 256]
-                    done += len(part)
-                    scores, found = np.concatenate([scores, v[part] @ q]), np.concatenate([found, part])
-                    if len(scores) > k + 1:
-                        keep = np.argpartition(-scores, k)[: k + 1]
-                        scores, found = scores[keep], found[keep]
-                    if len(scores) == k + 1:
-                        kth = max(floor, scores.min())
-                out.append(pd.DataFrame({"q": rep, "rep": names[found], "near": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
+        """The nearest that each query finds in a block, some queries at a time. First the `opening` points of smallest projected
+        distance are verified; then, until the next fails the stopping test for the k-th best so far, twice as many."""
+        out = [pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})]
+        if not len(mine) or not len(ask):
+            return out[0]
+        v, p, names = np.stack(mine.v.to_numpy()).astype(np.float64), np.stack(mine.p.to_numpy()), mine.rep.to_numpy()
+        squares_ = (p * p).sum(1)
+        for at in range(0, len(ask), 64):
+            part = ask.iloc[at : at + 64]
+            q, a, kth, who = np.stack(part.v.to_numpy()).astype(np.float64), np.stack(part.p.to_numpy()), part.floor.to_numpy().copy(), np.arange(len(part))
+            norm, floor = np.sqrt((q * q).sum(1)), kth.copy()
+            far = np.maximum(0, (a * a).sum(1)[:, None] + squares_ - 2 * (a @ p.T))
+            best, done, most = np.full((len(part), len(v)), -np.inf), 0, min(opening, len(v))
+            order = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(v) else np.tile(np.arange(len(v)), (len(part), 1))
+            while len(who):
+                # of the points that the test allows, the next nearest; all scores of a block are one product where most are wanted
+                score = q[who] @ v.T if 4 * order.shape[1] > len(v) else None
+                found = np.take_along_axis(score, order, 1) if score is not None else np.einsum("ij,ikj->ik", q[who], v[order])
+                best[who[:, None], order] = found
+                done = order.shape[1]
+                if done > k:
+                    kth[who] = np.maximum(floor[who], np.partition(np.take_along_axis(best[who], order, 1), done - k - 1, axis=1)[:, done - k - 1])
+                if done == len(v):
+                    break
+                open_ = (far[who] <= np.where(np.isneginf(kth[who]), np.inf, allowed(np.where(np.isneginf(kth[who]), 0, kth[who]), norm[who]))[:, None]).sum(1)
+                who = who[(open_ > done) | (done <= k)]
+                most = min(len(v), 2 * done)
+                order = np.argpartition(far[who], most - 1, axis=1)[:, :most] if most < len(v) else np.tile(np.arange(len(v)), (len(who), 1))
+            keep = min(k + 1, len(v))
+            top_ = np.argpartition(-best, keep - 1, axis=1)[:, :keep]
+            near = np.take_along_axis(best, top_, 1)
+            i, j = np.nonzero(near >= np.maximum(floor, -np.finfo(np.float64).max)[:, None])
+            out.append(pd.DataFrame({"q": part.rep.to_numpy()[i], "rep": names[top_[i, j]], "near": near[i, j]}))
+        return pd.concat(out)
 
     def visit(ask: DataFrame) -> DataFrame:
         """ask: rep, v, p, leaf, floor; each query searches one leaf, block by block."""
