@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.llm import common, minhash
+from tidemark.llm import common, exact_dedup, minhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, class string, row string"
 
@@ -85,3 +85,43 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Session())
+
+
+def test_exact_dedup_of_null_and_repeated_ids(spark, odd, odd_rows):
+    got = sorted((tuple(r)[:4] for r in exact_dedup.exact_dedup(spark, odd, files_per_batch=2).collect()), key=str)
+    norm = lambda t: "".join(c for c in t or "" if c not in common.WHITE)
+    groups = {}
+    for i, t in odd_rows:
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i))
+    want = []
+    for i, t in odd_rows:
+        group = groups[norm(t)]
+        want.append((i, min(group, key=str if len(group) == 1 else lambda g: (g[0], g[1], g[2] or 0))[2], len(group)))
+    assert sorted((g[:3] for g in got), key=str) == sorted(want, key=str)
+    assert sum(g[3] for g in got) == len(groups)
+
+
+def test_a_state_is_used_again(spark):
+    """A later run meets the rows of earlier ones, whose bytes are found by their locators; a repeated run counts once."""
+    state = common.new_path(spark, "test-state")
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    first = exact_dedup.exact_dedup(spark, df([(1, "a b"), (2, "c")]), state=state, run="one").collect()
+    assert sorted(tuple(r)[:4] for r in first) == [(1, 1, 1, True), (2, 2, 1, True)]
+    for _ in range(2):
+        second = exact_dedup.exact_dedup(spark, df([(3, "ab"), (4, "c "), (5, "new")]), state=state, run="two").collect()
+        assert sorted(tuple(r)[:4] for r in second) == [(3, 1, 2, False), (4, 4, 2, True), (5, 5, 1, True)]
+    third = exact_dedup.exact_dedup(spark, df([(6, "n e w")]), digits=64, state=state, run="three").collect()
+    assert [tuple(r)[:4] for r in third] == [(6, 6, 2, True)]
+
+
+def test_rows_of_files_are_located_where_they_are(spark, tmp_path):
+    spark.createDataFrame([(i, f"t{i % 3} ") for i in range(30)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = exact_dedup.exact_dedup(spark, spark.read.parquet(str(tmp_path / "d")), in_files=True).collect()
+    assert {r.keep_id for r in got} == {0, 1, 2} and all(str(tmp_path) in r.locator.file for r in got)
+
+
+def test_a_large_group_is_compared_salt_by_salt(spark):
+    rows = spark.range(50).selectExpr("id as doc_id", "if(id = 49, 'other', 'same') as norm", "'d' as digest", "50L as group_size", "struct('f' as file, id as at) as locator", "struct('f' as file, 0L as at) as keep_at")
+    rows = common.staged(rows, "test-tagged")
+    assert exact_dedup.unequal(rows, rows, per_salt=7).collect()[0].digest == "d"
+    assert exact_dedup.unequal(rows.filter("doc_id < 49"), rows, per_salt=7).count() == 0

@@ -163,6 +163,12 @@ def test_bpe(docs, texts):
         assert np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(text) and r.decoded == text.encode() and r.n_tokens * 4 == len(r.ids)
 
 
+def test_ordinary_words_are_joined_in_the_tree(docs):
+    tree, reference = bpe_tree.TreeEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken")), encoding()
+    text = "Threouin queévi onatreti anedstwh chkeitch fonction extraordinairement"
+    assert np.frombuffer(tree.packed(text), "<u4").tolist() == reference.encode_ordinary(text) and tree.joins > 8
+
+
 def test_tree_joins_are_exact():
     tree, reference, rng = bpe_tree.TreeEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken")), encoding(), random.Random(5)
     for _ in range(300):
@@ -296,8 +302,9 @@ def test_machine_matches_its_definition(docs, texts):
         assert math.isclose(raw[d], model["b"] + model["w"][i] @ x + pairs, rel_tol=1e-8)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_stupid_backoff(docs, order):
+@pytest.mark.parametrize("order, least", [(1, 1), (2, 1), (3, 1), (4, 1), (1, 2), (2, 2), (3, 2)])
+def test_stupid_backoff(docs, order, least):
+    """With sample_every=1 the commonest histories take the route of hot ones."""
     rows = docs.collect()
     split = [(r.doc_id, (r.text or "").encode().lower().split()) for r in rows]
     counts = Counter(tuple(w[j : j + k]) for _, w in split for k in range(1, order + 1) for j in range(len(w) - k + 1))
@@ -309,14 +316,14 @@ def test_stupid_backoff(docs, order):
             dropped = 0.0
             for k in range(min(order, j + 1), 0, -1):
                 g = tuple(w[j - k + 1 : j + 1])
-                if k == 1 or counts[g] >= 2:
+                if k == 1 or counts[g] >= least:
                     s += dropped + math.log(counts[g] / (counts[g[:-1]] if k > 1 else total))
                     break
                 dropped += math.log(0.4)
         return s
 
     want = sorted((i, len(w), round(score(w), 6)) for i, w in split)
-    got = lm_scoring.stupid_backoff(docs, order).collect()
+    got = lm_scoring.stupid_backoff(docs, order, least, sample_every=1).collect()
     assert sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == want
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
 
@@ -336,6 +343,37 @@ def test_registered_scores_use_trigrams_and_all_counts(spark, tmp_path):
     assert sorted((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in got) == [(i, len(w), 0, round(score(w), 6)) for i, w in enumerate(split)]
 
 
+@pytest.mark.parametrize("size", ["float", "double"])
+def test_nearest_keeps_the_type_of_the_vectors(spark, size):
+    """Doubles that floats can't hold are scored as they are; rows that share an id and differ are both searched."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)) * (1e60 if size == "double" else 1)
+    x = x.astype(np.float32).astype(float) if size == "float" else x
+    rows = [(i % 58, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, f"vec_id long, embedding array<{size}>"), k=5, every=20).collect():
+        got[r.query_id].append(r)
+    assert sorted(got) == [0, 20, 40] and all(len({r.rank for r in g}) == 5 for g in got.values())
+    for r in got[20]:
+        assert any(math.isclose(r.score, float(np.dot(x[20], x[j])), rel_tol=1e-12) for j in range(60) if j % 58 == r.vec_id)
+
+
+def test_recall_on_the_embeddings(spark):
+    rows = common.table(spark, "/root/testdata/sf0.1", "embeddings")
+    pdf = rows.toPandas().drop_duplicates("vec_id")
+    x, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
+    found = defaultdict(set)
+    for r in ann.op8_nearest(spark, "/root/testdata/sf0.1").collect():
+        found[r.query_id].add((r.vec_id, round(r.score, 9)))
+    hits = []
+    for q in found:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        kth = np.sort(s)[-20] - 1e-9
+        hits.append(sum(score >= kth for _, score in found[q]) / 20)
+    assert len(hits) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.9
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
     x = np.round(rng.normal(size=(300, 8)), 2).astype(np.float32)
@@ -375,12 +413,75 @@ def test_tool_calls(spark):
     results = [("c1", "ok"), ("c1", "again"), ("zz", "lost"), (None, "n")]
     df = lambda rows, s: spark.createDataFrame(rows, s)
     got = {r.call_id: r for r in tool_calls.link_tool_calls(df(calls, "call_id string, conv_id long, turn long, name string, arguments string"), df(results, "call_id string, content string"), df(edges, "call_id string, dep string")).collect()}
-    assert {k: r.level for k, r in got.items()} == {"c1": 0, "c2": 1, "c3": 2, "c4": 3, "c5": 4, "x": None, "y": None}
+    assert {k: r.level for k, r in got.items()} == {"c1": 0, "c2": 1, "c3": 2, "c4": 3, "c5": 4, "x": None, "y": None, "zz": None}
     assert json.loads(got["c1"].json) == {"arguments": {"prompt": 'a"b', "turn": 0}, "id": "c1", "name": "reply", "result": "again"}
     assert (got["c1"].errors, got["c1"].n_results) == ("", 2)
     assert got["c2"].errors == "prompt: below 1; turn: missing; unknown argument" and got["c3"].errors == "unknown tool" and "cycle" in got["x"].errors
 
 
+CALLS, RESULTS, EDGES = "call_id string, conv_id long, turn long, name string, arguments string", "call_id string, content string", "call_id string, dep string"
+
+
+def linked(spark, calls, results=(), edges=()):
+    df = lambda rows, s: spark.createDataFrame(list(rows), s)
+    return {r.call_id: r for r in tool_calls.link_tool_calls(df(calls, CALLS), df(results, RESULTS), df(edges, EDGES)).collect()}
+
+
+def test_tool_call_types_are_those_of_json(spark):
+    schemas_errors = {
+        '{"prompt": 5, "turn": "7"}': ("prompt: not string; turn: not integer", '{"prompt":5,"turn":"7"}'),
+        '{"turn":1, "prompt":"p","extra":1,"o":{"b":1,"a":[2,{"z":1,"y":null}]}}': ("unknown argument", '{"extra":1,"o":{"a":[2,{"y":null,"z":1}],"b":1},"prompt":"p","turn":1}'),
+        '{"prompt":"p","turn":1,"turn":2}': ("duplicate key", None),
+        '{"prompt":{"a":1,"a":1},"turn":1}': ("duplicate key", None),
+        '{"prompt":null,"turn":1}': ("prompt: not string", '{"prompt":null,"turn":1}'),
+        '{"prompt":"p","turn":1.0}': ("", '{"prompt":"p","turn":1}'),
+        '{"prompt":"p","turn":1.5}': ("turn: not integer", '{"prompt":"p","turn":1.5}'),
+        '{"prompt":"p","turn":-1}': ("turn: below 0", '{"prompt":"p","turn":-1}'),
+        '{"prompt":"p","turn":true}': ("turn: not integer", '{"prompt":"p","turn":true}'),
+        '["prompt","turn"]': ("not an object", '["prompt","turn"]'),
+        "not json": ("not an object", '"not json"'),
+        "": ("not an object", '""'),
+        None: ("not an object", "null"),
+        '{"turn":3,"prompt":"' + "x" * 100000 + '"}': ("", '{"prompt":"' + "x" * 100000 + '","turn":3}'),
+        '{"prompt":"\\u00e9\\n\\"","turn":2}': ("", '{"prompt":"é\\n\\"","turn":2}'),
+    }
+    got = linked(spark, [(f"c{i}", 1, i, "reply", a) for i, a in enumerate(schemas_errors)])
+    for i, (a, (errors, canonical)) in enumerate(schemas_errors.items()):
+        want_errors = {e for e in errors.split("; ") if e}
+        r = got[f"c{i}"]
+        assert want_errors <= set(r.errors.split("; ")) and (bool(errors) or r.errors == ""), a
+        assert r.json == '{"arguments":' + (json.dumps(a) if canonical is None else canonical) + f',"id":"c{i}","name":"reply","result":null}}'
+
+
+def test_results_without_a_call_and_repeated_turns(spark):
+    got = linked(spark, [("a", 1, 1, "reply", '{"prompt":"y","turn":1}'), ("a", 1, 1, "reply", '{"prompt":"x","turn":1}')], [("lost", "r"), ("lost", None), (None, "n"), ("a", None)])
+    assert sorted(got) == ["a", "lost"]
+    assert tuple(got["lost"]) == (None, "lost", None, None, None, 2, "no call", '{"arguments":null,"id":"lost","name":null,"result":"r"}')
+    assert (got["a"].n_results, got["a"].json) == (1, '{"arguments":{"prompt":"x","turn":1},"id":"a","name":"reply","result":null}')
+
+
+def test_levels_of_long_chains_take_few_rounds(spark, monkeypatch):
+    n = 60
+    calls = spark.createDataFrame([(f"c{i}", i, "z") for i in range(n)] + [("x", None, "z"), ("y", 5, "z"), ("w", 6, "z")], "call_id string, turn long, at string")
+    edges = [(f"c{i}", f"c{j}") for i in range(n) for j in (i - 1, i - 2, i - 3) if j >= 0] + [("x", "y"), ("y", "x"), ("w", "y"), ("w", "c0"), ("x", "c0"), ("y", "c0")]
+    written = []
+    real = common.staged
+    monkeypatch.setattr(tool_calls, "staged", lambda df, name: written.append(name) or real(df, name))
+    got = {r.call_id: r.level for r in tool_calls.levels(calls, spark.createDataFrame(edges, EDGES)).collect()}
+    assert got == {f"c{i}": i for i in range(n)} and len(written) < 20
+
+
+def test_levels_match_the_longest_chains(spark):
+    rng = random.Random(3)
+    edges = {(i, rng.randrange(i)) for i in range(1, 80) for _ in range(rng.choice([1, 1, 2, 4]))}
+    turns = [(str(i), i if rng.random() < 0.8 else 79 - i) for i in range(80)]
+    level = {}
+    for i in range(80):
+        level[i] = max((level[d] + 1 for c, d in edges if c == i), default=0)
+    got = {int(r.call_id): r.level for r in tool_calls.levels(spark.createDataFrame(turns, "call_id string, turn long"), spark.createDataFrame([(str(a), str(b)) for a, b in edges], EDGES)).collect()}
+    assert got == level
+
+
 def test_empty_tables(spark, empty):
     assert exact_dedup.exact_dedup(spark, empty).count() == 0
     assert minhash.near_dedup(empty).count() == 0
