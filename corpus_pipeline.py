@@ -20,11 +20,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The longest original of each group of equal texts; rows repeated with their doc_id count as one."""
-    key, sha = F.coalesce(F.col("doc_id"), F.lit(minhash.NOBODY)), F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    kept = exact_dedup.exact_dedup(spark, docs).filter("kept").select(key.alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-    rows = docs.withColumns({"__kept_id": key, "__kept_sha": sha}).join(kept, ["__kept_id", "__kept_sha"], "left_semi")
-    return rows.dropDuplicates(["__kept_id", "__kept_sha"]).select(*docs.columns)
+    """The longest original of each group of equal texts, one row of rows repeated with their doc_id. docs is read from Parquet files."""
+    kept = exact_dedup.exact_dedup(spark, docs, in_files=True).filter("kept").select(F.col("locator.file").alias("__file"), F.col("locator.at").alias("__at"))
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    return rows.join(kept, ["__file", "__at"], "left_semi").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
