@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions, staged, table
 
@@ -65,7 +66,8 @@ def ngrams(h: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, n
 #: words, a history that nothing follows), WHOLE (a text that is just a history), SHORT (a shorter text), COUNT (doc: how often gram is
 #: there, an n-gram shorter than a history). HOT + such: tail tells the hot history, gram the word.
 DOC, SIZE, LATER, FIRST, END, WHOLE, SHORT, COUNT, HOT = range(9)
-PACKED = "bucket int, kind int, doc array<bigint>, gram array<bigint>, tail array<smallint>"
+#: bucket and kind are never null: conditions on that would be pushed below the exchange, which then could not be shared.
+PACKED = T.StructType([T.StructField("bucket", T.IntegerType(), False), T.StructField("kind", T.IntegerType(), False), *[T.StructField(n, T.ArrayType(t), False) for n, t in (("doc", T.LongType()), ("gram", T.LongType()), ("tail", T.ShortType()))]])
 CHARS = 4_000_000
 
 
@@ -205,12 +207,12 @@ def known_scores(docs: DataFrame, order: int, sample_every: int) -> DataFrame:
             counts = counts.withColumn("h", F.sum("c").over(W.partitionBy(*history)))
         else:
             counts = counts.join(counts.groupBy(*history).agg(F.sum("c").alias("h")), history)
-        joined = rows.join(counts.select(*gram, "c", "h"), gram)
+        joined = rows.join(counts.select(*gram, "c", "h").hint("merge"), gram)  # both sides grow with the corpus: never broadcast
         kind = F.col("kind") % HOT
         value = F.when(kind == LATER, F.ln("c") - F.ln("h")).when(kind == FIRST, F.ln("c")).when(kind == WHOLE, F.ln("h")).otherwise(0.0)
         return joined.select("doc", value.alias("value"))
 
-    ended = (F.col("kind") % HOT).isin(END, WHOLE).alias("ended")
+    ended = F.col("kind").isin(END, WHOLE, HOT + END, HOT + WHOLE).alias("ended")
     plain = entries(LATER, FIRST, END, WHOLE).select("bucket", "kind", "doc", "gram", "tail", F.shiftrightunsigned("gram", 16).alias("p"), ended)
     hot = entries(*(HOT + k for k in (LATER, FIRST, END, WHOLE))).select("kind", "doc", "gram", "tail", ended)
     totals = entries(COUNT).groupBy("gram", "bucket").agg(F.sum("doc").alias("c"))
