@@ -1,10 +1,10 @@
 """Token ids in a compressed binary format: Re-Pair grammars, one for each block of documents.
 
 A block's ids are rewritten in rounds: the most frequent pairs of neighbours become nonterminals, each occurrence replaced from
-the left, until no pair recurs often enough or the rounds are used up. Rules never cross the end of a document, so a
-document is decoded on its own from its place in the rewritten sequence; each symbol's expansion length is stored.
+the left, until no pair recurs often enough or the symbols of the width are used up. Rules never cross the end of a document, so
+a document is decoded on its own from its place in the rewritten sequence; each symbol's expansion length is stored.
 
-File format: Parquet in ascending doc_id order, one row for each block with little-endian arrays: doc_ids (int64), n_tokens
+File format: Parquet in ascending doc_id order, one row for each block with the first and last doc_id that is not null, and little-endian arrays: doc_ids (int64), n_tokens
 (int64, end id included), places (int64, where each document starts in seq), rules (uint32 pairs), lengths (uint32, of each
 rule's expansion), seq (uint16 or uint32 by `width`)."""
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +27,25 @@ import public_tokenizers
 from .bpe_tree import PIECES, SPACES, whole
 from .common import new_path, partitions, table
 
-SCHEMA = "part int, block int, total bigint, doc_ids binary, n_tokens binary, places binary, rules binary, lengths binary, width int, seq binary"
+SCHEMA = "part int, block int, total bigint, first_id bigint, last_id bigint, doc_ids binary, n_tokens binary, places binary, rules binary, lengths binary, width int, seq binary"
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 
 
-def compress(seq: np.ndarray, ends: np.ndarray, first: int, rounds: int, per_round: int, least: int):
-    """seq: ids; ends: index after each document's last id. Gives rules (n x 2), lengths, the rewritten seq and its ends."""
+def compress(seq: np.ndarray, ends: np.ndarray, first: int, per_round: int, least: int, symbols: int = 1 << 16):
+    """seq: ids; ends: index after each document's last id. Gives rules (n x 2), lengths, the rewritten seq and its ends.
+
+    Pairs are counted by a hash, another one each round. It ends when no count reaches least, so no pair does, or at `symbols` symbols."""
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    seq = seq.astype(np.uint64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    seq, turn = seq.astype(np.uint64), 0
+    while len(seq) > 1 and first + len(rules) < symbols:
         key = (seq[:-1] << np.uint64(32)) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        turn += 1
         slot[ends[:-1] - 1] = SLOTS  # pairs across two documents
         counts = np.bincount(slot, minlength=SLOTS + 1)[:SLOTS]
-        top = np.argpartition(counts, -per_round)[-per_round:]
+        most = min(per_round, symbols - first - len(rules))
+        top = np.argpartition(counts, -most)[-most:]
         top = top[counts[top] >= least]
         if not len(top):
             break
@@ -52,13 +54,21 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, rounds: int, per_rou
         at = np.flatnonzero(hot[slot])
         own, mine = key[at], slot[at]
         shown = np.zeros(SLOTS, np.uint64)
-        shown[mine] = own  # one pair speaks for its slot, most likely the frequent one
+        shown[mine] = own  # one pair speaks for its slot, most likely the frequent one; the others wait for another round's hash
         fits = shown[mine] == own
-        at, mine = at[fits], mine[fits]
-        counts = np.bincount(mine, minlength=SLOTS)
+        counts = np.bincount(mine[fits], minlength=SLOTS)
         top = top[counts[top] >= least]
-        if not len(top):
-            break
+        if not len(top):  # the slots' counts were those of several pairs: take the pair of the highest count, if one reaches least
+            pairs, n = np.unique(own, return_counts=True)
+            if n.max() < least:
+                if hot.sum() < most:
+                    break
+                per_round *= 2
+                continue
+            best = pairs[n.argmax()]
+            fits, top = own == best, mine[own == best][:1]
+            shown[top] = best
+        at, mine = at[fits], mine[fits]
         number = np.full(SLOTS, -1, np.int32)
         number[top] = np.arange(len(top))
         pairs, where = shown[top], number[mine]
@@ -85,13 +95,29 @@ def expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.n
     place = np.cumsum(size) - size
     flat = np.empty(int(size.sum()), np.uint32)
     flat[:first] = np.arange(first)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = place[first + k]
-        flat[at : at + size[a]] = flat[place[a] : place[a] + size[a]]
-        flat[at + size[a] : at + size[first + k]] = flat[place[b] : place[b] + size[b]]
+    newest, at = rules.max(1, initial=0).astype(np.int64), 0
+    while at < len(rules):  # as many rules at once as are made of known symbols
+        later = np.flatnonzero(newest[at:] >= first + at)
+        to = at + int(later[0]) if len(later) else len(rules)
+        begin = place[first + at]
+        part = expand(rules[at:to].reshape(-1), (flat, place, size))
+        flat[begin : begin + len(part)] = part
+        at = to
     return flat, place, size
 
 
+def expand_few(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The ids of a part of a rewritten sequence by its own rules alone."""
+    while (seq >= first).any():
+        deep = seq >= first
+        n = 1 + deep
+        out = np.repeat(seq, n)
+        begin = (np.cumsum(n) - n)[deep]
+        out[begin], out[begin + 1] = rules[seq[deep] - first, 0], rules[seq[deep] - first, 1]
+        seq = out
+    return seq
+
+
 def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids of a rewritten sequence, or of any part of one."""
     flat, place, size = table
@@ -195,7 +221,7 @@ def id_encoder(path: str) -> PieceTable:
     return _ENCODERS[path]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, block_tokens: int = 1_000_000, rounds: int = 4, per_round: int = 3000, least: int = 4, vocabulary: int = 50257, group_chars: int = 12_000_000) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, block_tokens: int = 1_000_000, per_round: int = 4000, least: int = 4, vocabulary: int = 50257, group_chars: int = 12_000_000) -> None:
     """Encodes whole texts (null: empty), ends each with end_id and writes them below path in the file format, by doc_id.
 
     Null doc_ids come first, repeated ones stand side by side; a block holds whole documents, so a long one may be a large
@@ -214,12 +240,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
         def row() -> pa.RecordBatch:
             n = np.array(sizes, np.int64)
-            rules, lengths, seq, ends = compress(np.concatenate(ids), np.cumsum(n), vocabulary, rounds, per_round, least)
+            rules, lengths, seq, ends = compress(np.concatenate(ids), np.cumsum(n), vocabulary, per_round, least)
             width = 2 if vocabulary + len(rules) < 1 << 16 else 4
             places = np.concatenate([[0], ends[:-1]]).astype("<i8")
             named = np.array([-(1 << 63) if x is None else x for x in names], "<i8")
-            values = [part, block, int(n.sum()), named.tobytes(), n.astype("<i8").tobytes(), places.tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), width, seq.astype(f"<u{width}").tobytes()]
-            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int32(), pa.binary()]
+            known = [x for x in names if x is not None]
+            values = [part, block, int(n.sum()), min(known, default=None), max(known, default=None), named.tobytes(), n.astype("<i8").tobytes(), places.tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), width, seq.astype(f"<u{width}").tobytes()]
+            types = [pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 5, pa.int32(), pa.binary()]
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         def blocks() -> Iterator[pa.RecordBatch]:
@@ -275,11 +302,33 @@ def read_ids(spark: SparkSession, path: str, vocabulary: int = 50257) -> DataFra
                     to = at + 500
                     yield pa.record_batch([pa.array(names[at:to], pa.int64()), pa.array(start[at:to], pa.int64()), pa.array(n[at:to], pa.int64()), pa.array(ids[at:to], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    # places stay in the files for readers that want one document; here each block is read whole
+    # the places serve read_documents; here each block is read whole
     slim = blocks.join(starts, ["part", "block"]).select("base", "doc_ids", "n_tokens", "rules", "lengths", "width", "seq")
     return slim.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
+def read_documents(spark: SparkSession, path: str, ids: Sequence[int], vocabulary: int = 50257) -> DataFrame:
+    """Some documents of the files: doc_id, n_tokens, ids. Only blocks that may hold them are read, and of these only the documents' own
+    places are expanded."""
+    wanted = sorted(set(ids))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                names, places = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["places"], "<i8")
+                rules, seq = np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["seq"], f"<u{r['width']}")
+                at = np.flatnonzero(np.isin(names, wanted))
+                stop = np.append(places, len(seq))[at + 1]
+                found = [expand_few(seq[places[i] : j].astype(np.uint32), rules, vocabulary) for i, j in zip(at, stop)]
+                yield pa.record_batch([pa.array(names[at]), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    near = F.lit(False)
+    for i in wanted:
+        near = near | ((F.col("first_id") <= i) & (F.col("last_id") >= i))
+    return blocks.filter(near).select("doc_ids", "places", "rules", "width", "seq").mapInArrow(decode, "doc_id bigint, n_tokens bigint, ids binary")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_ids(table(spark, sf_dir, "documents"), path)
