@@ -191,6 +191,9 @@ def test_token_files(spark, docs, texts):
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and (r.start, r.n_tokens) == (start, len(ids))
         start += len(ids)
     assert spark.read.parquet(path).select(F.sum(F.length("rules"))).first()[0] > 0
+    for r in repair.read_documents(spark, path, [1, 43, 10**9]).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*reference.encode_ordinary(texts[(r.doc_id - 1) // 3] or ""), 2]
+    assert {r.doc_id for r in repair.read_documents(spark, path, [1, 43, 10**9]).collect()} == {1, 43}
 
 
 def test_packed_texts_are_those_of_whole_texts():
@@ -224,11 +227,22 @@ def test_grammar_round_trip_and_random_access():
     seq = rng.zipf(1.5, 20000).clip(1, 500).astype(np.uint32)
     ends = np.sort(rng.choice(np.arange(1, 20000), 30, replace=False))
     ends = np.concatenate([ends, [20000]])
-    rules, lengths, out, new_ends = repair.compress(seq, ends, 1000, 4, 300, 4)
+    rules, lengths, out, new_ends = repair.compress(seq, ends, 1000, 300, 4)
     table = repair.expansions(rules, lengths, 1000)
     assert len(out) < len(seq) and (repair.expand(out, table) == seq).all()
     for a, b, x, y in zip([0, *ends[:-1]], ends, [0, *new_ends[:-1]], new_ends):
-        assert (repair.expand(out[x:y], table) == seq[a:b]).all()
+        assert (repair.expand(out[x:y], table) == seq[a:b]).all() and (repair.expand_few(out[x:y], rules, 1000) == seq[a:b]).all()
+    inside = np.ones(len(out) - 1, bool)
+    inside[new_ends[:-1] - 1] = False
+    left = Counter(zip(out[:-1][inside].tolist(), out[1:][inside].tolist()))
+    assert max(n if a != b else (n + 1) // 2 for (a, b), n in left.items()) < 4  # nothing recurs that could be replaced
+
+
+def test_a_repeated_passage_becomes_few_symbols():
+    passage = np.random.default_rng(1).integers(0, 1000, 700).astype(np.uint32)
+    seq = np.tile(passage, 64)
+    rules, lengths, out, _ = repair.compress(seq, np.array([len(seq)]), 1000, 300, 4)
+    assert (repair.expand(out, repair.expansions(rules, lengths, 1000)) == seq).all() and len(out) < 400 and lengths.max() >= 500
 
 
 def test_mixing(docs, texts):
