@@ -37,22 +37,26 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, per_round: int, leas
 
     Pairs are counted by a hash, another one each round. It ends when no count reaches least, so no pair does, or at `symbols` symbols."""
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    seq, turn = seq.astype(np.uint64), 0
+    seq, turn = seq.astype(np.uint32), 0
     while len(seq) > 1 and first + len(rules) < symbols:
-        key = (seq[:-1] << np.uint64(32)) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        slot = seq[:-1] * np.uint32(0x9E3779B1 + 2 * turn)
+        slot ^= slot >> np.uint32(15)
+        slot += seq[1:]
+        slot *= np.uint32(0x85EBCA77)
+        slot = (slot >> np.uint32(32 - SLOT_BITS)).view(np.int32)
         turn += 1
         slot[ends[:-1] - 1] = SLOTS  # pairs across two documents
         counts = np.bincount(slot, minlength=SLOTS + 1)[:SLOTS]
         most = min(per_round, symbols - first - len(rules))
-        top = np.argpartition(counts, -most)[-most:]
-        top = top[counts[top] >= least]
+        top = np.flatnonzero(counts >= least)
+        if len(top) > most:
+            top = top[np.argpartition(counts[top], -most)[-most:]]
         if not len(top):
             break
         hot = np.zeros(SLOTS + 1, bool)
         hot[top] = True
         at = np.flatnonzero(hot[slot])
-        own, mine = key[at], slot[at]
+        own, mine = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1], slot[at]
         shown = np.zeros(SLOTS, np.uint64)
         shown[mine] = own  # one pair speaks for its slot, most likely the frequent one; the others wait for another round's hash
         fits = shown[mine] == own
@@ -80,13 +84,13 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, per_round: int, leas
         pair = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         known = lambda s: np.where(s < first, 1, lengths[np.maximum(s, first).astype(np.int64) - first] if len(lengths) else 1)
         longer = (known(pair[:, 0]) + known(pair[:, 1])).astype(np.uint32)
-        seq[at] = (new + where).astype(np.uint64)
+        seq[at] = (new + where).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False  # the second of each pair goes
         ends = ends - np.searchsorted(at + 1, ends)
         seq = seq[keep]
         rules, lengths = np.concatenate([rules, pair]), np.concatenate([lengths, longer])
-    return rules, lengths, seq.astype(np.uint32), ends
+    return rules, lengths, seq, ends
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,20 +137,26 @@ CUT = re.compile(f"(?<![{SPACES}]) (?![{SPACES}]|\\Z)")
 
 
 class PieceTable:
-    """Ids of the matches of the pattern met lately, each encoded once by the tokenizers library; forgets all when full."""
+    """Ids of the matches of the pattern met lately, each encoded once by the tokenizers library. When full it forgets the rarest half."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True  # in a match they are ordinary text; `whole_texts` looks for them
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.flat, self.size, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the matches met most often, at most half of the table, whose counts are halved."""
+        keep = np.sort(np.argpartition(-self.used, self.most // 2)[: self.most // 2])
+        kept = np.zeros(len(self.used), bool)
+        kept[keep] = True
+        self.flat = self.flat[np.repeat(kept, self.size)]
+        self.size, self.used = self.size[kept], self.used[kept] // 2
+        self.code = dict(zip((p for p, k in zip(self.code, kept.tolist()) if k), range(len(keep))))
 
     def encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each string's number of ids."""
@@ -162,13 +172,14 @@ class PieceTable:
         if not runs:
             return self.encoded([])
         if len(self.code) > self.most:
-            self.clear()
+            self.forget()
         pieces = PIECES.findall(" " + " ".join(runs))
         if fresh := [p for p in dict.fromkeys(pieces) if p not in self.code]:
             flat, size = self.encoded(fresh)
             self.code.update(zip(fresh, range(len(self.code), len(self.code) + len(fresh))))
-            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            self.flat, self.size, self.used = np.concatenate([self.flat, flat]), np.concatenate([self.size, size]), np.concatenate([self.used, np.zeros(len(size), np.int64)])
         codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+        self.used += np.bincount(codes, minlength=len(self.used))
         begin = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))  # only a run's first match has one
         return expand(codes, (self.flat, np.cumsum(self.size) - self.size, self.size)), np.add.reduceat(self.size[codes], begin)
 
