@@ -62,10 +62,13 @@ def ngrams(h: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, n
     return out
 
 
-#: What a packed row holds: DOC (doc: row, gram: doc_id), SIZE (gram: words), LATER and FIRST (full n-grams), END (a text's last
-#: words, a history that nothing follows), WHOLE (a text that is just a history), SHORT (a shorter text), COUNT (doc: how often gram is
-#: there, an n-gram shorter than a history). HOT + such: tail tells the hot history, gram the word.
-DOC, SIZE, LATER, FIRST, END, WHOLE, SHORT, COUNT, HOT = range(9)
+#: What a packed row holds: DOC (doc: row, gram: doc_id), SIZE (gram: words), GRAMS (doc: row and code), SHORT (a text shorter than a
+#: history), COUNT (doc: how often gram is there, an n-gram shorter than a history).
+DOC, SIZE, GRAMS, SHORT, COUNT = range(5)
+#: Code of an entry of GRAMS, in the last three bits of doc, where no condition on it can be pushed below the exchange: a full n-gram
+#: after another one, a text's first, END (a text's last words, a history that nothing follows), WHOLE (a text that is just a
+#: history). With HOT, tail tells the hot history and gram the word.
+LATER, FIRST, END, WHOLE, HOT = range(5)
 #: bucket and kind are never null: conditions on that would be pushed below the exchange, which then could not be shared.
 PACKED = T.StructType([T.StructField("bucket", T.IntegerType(), False), T.StructField("kind", T.IntegerType(), False), *[T.StructField(n, T.ArrayType(t), False) for n, t in (("doc", T.LongType()), ("gram", T.LongType()), ("tail", T.ShortType()))]])
 CHARS = 4_000_000
@@ -112,29 +115,33 @@ def hot_histories(docs: DataFrame, order: int, every: int, parts: int) -> np.nda
     return np.sort(np.array([r.p for r in top], np.int64).view(np.uint64))
 
 
-def packed_rows(docs: DataFrame, order: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """The n-grams of all texts, as PACKED and its kinds tell; 48 bits of the history and 32 of the word tell n-grams of a bucket apart."""
+def packed_rows(docs: DataFrame, order: int, labels_: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """The n-grams of all texts, as PACKED and its kinds tell; 48 bits of the history and 32 of the word tell n-grams of a bucket
+    apart. labels_: the number of each bucket."""
+    buckets = len(labels_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, waiting = TaskContext.get().partitionId() << 36, [np.empty(0, np.uint64), np.empty(0, np.int64)]
+        part = TaskContext.get().partitionId()
+        row, waiting = part << 36, [np.empty(0, np.uint64), np.empty(0, np.int64)]
 
         def batch(parts: list) -> pa.RecordBatch:
             """parts: bucket, kind, doc, gram, tail, as arrays; doc_ids, which may be null, have a mask in place of the tail."""
             bucket, kind = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             doc, gram, tail = (np.concatenate([np.asarray(p[i]).astype(np.int64) for p in parts]) for i in (2, 3, 4))
-            key = bucket.astype(np.int64) * 32 + kind
+            key = bucket.astype(np.int64) * 8 + kind
             order_ = np.argsort(key, kind="stable")
             begin = np.flatnonzero(np.diff(key[order_], prepend=-1))
             offsets = pa.array(np.append(begin, len(key)).astype(np.int32))
+            labels = labels_[bucket[order_[begin]].astype(np.int64)]
             lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array(doc[order_]), pa.array(gram[order_], mask=(kind == DOC)[order_] & (tail[order_] != 0)), pa.array(tail[order_].astype(np.int16)))]
             first = order_[begin]
-            return pa.record_batch([pa.array(bucket[first].astype(np.int32)), pa.array(kind[first].astype(np.int32)), *lists], names=["bucket", "kind", "doc", "gram", "tail"])
+            return pa.record_batch([pa.array(labels), pa.array(kind[first].astype(np.int32)), *lists], names=["bucket", "kind", "doc", "gram", "tail"])
 
-        def of(kind, p, doc, w=None):
+        def of(code, p, doc, w=None):
             """Entries of histories p and words w; w is None where nothing follows."""
-            p, kind = np.asarray(p, np.uint64), np.full(len(p), kind) if np.isscalar(kind) else kind
+            p, code = np.asarray(p, np.uint64), np.full(len(p), code) if np.isscalar(code) else code
             word = np.zeros(len(p), np.uint64) if w is None else w & np.uint64(0xFFFFFFFF)
             bucket = ((p >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             gram = (p << np.uint64(16)) | (word >> np.uint64(16))
@@ -142,9 +149,9 @@ def packed_rows(docs: DataFrame, order: int, buckets: int, hot: np.ndarray) -> D
             if len(hot):
                 at = np.searchsorted(hot, p).clip(max=len(hot) - 1)
                 is_hot = hot[at] == p
-                bucket, kind = np.where(is_hot, doc.astype(np.uint64) % np.uint64(buckets), bucket), np.where(is_hot, HOT + kind, kind)
+                bucket, code = np.where(is_hot, doc.astype(np.uint64) % np.uint64(buckets), bucket), np.where(is_hot, HOT + code, code)
                 gram, tail = np.where(is_hot, 0 if w is None else w, gram), np.where(is_hot, at.astype(np.uint64), tail)
-            return bucket, kind, doc, gram.view(np.int64), tail.astype(np.uint16).view(np.int16)
+            return bucket, np.full(len(p), GRAMS), doc * 8 + code, gram.view(np.int64), tail.astype(np.uint16).view(np.int16)
 
         def small(kind, gram, doc):
             """Entries of whole hashes."""
@@ -167,7 +174,7 @@ def packed_rows(docs: DataFrame, order: int, buckets: int, hot: np.ndarray) -> D
             owner, last = np.repeat(np.arange(len(n)), n), np.cumsum(n) - 1
             rows = row + np.arange(len(n))
             row += len(n)
-            spread = (rows % buckets).astype(np.uint64)
+            spread = np.full(len(n), (part + row) % buckets, np.uint64)  # one packed row
             none = np.array([x is None for x in names])
             parts = [(spread, np.full(len(n), DOC), rows, np.array([x or 0 for x in names], np.int64), none), (spread, np.full(len(n), SIZE), rows, n, np.zeros(len(n)))]
             if order == 1:
@@ -191,33 +198,43 @@ def packed_rows(docs: DataFrame, order: int, buckets: int, hot: np.ndarray) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PACKED)
 
 
+def bucket_labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of `parts` partitions the smallest number that Spark's hash deals to it, so that buckets are dealt evenly, one each."""
+    to = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    found = {r.t: r.label for r in spark.range(64 * parts).groupBy(to.alias("t")).agg(F.min("id").alias("label")).collect()}
+    return np.array([found.get(t, 64 * parts + t) for t in range(parts)], np.int32)
+
+
 def known_scores(docs: DataFrame, order: int, sample_every: int) -> DataFrame:
     """row, doc_id, n_words and the sum of the logarithms, without those of the number of all words."""
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    packed = packed_rows(docs, order, 8 * parts, hot_histories(docs, order, sample_every, parts)).repartition(parts, "bucket")
+    spark, parts = docs.sparkSession, 2 * partitions(docs.sparkSession)  # a partition's tables and rows are sorted in memory
+    packed = packed_rows(docs, order, bucket_labels(spark, parts), hot_histories(docs, order, sample_every, parts)).repartition(parts, "bucket")
 
-    def entries(*kinds: int) -> DataFrame:
-        """The rows of some kinds; chosen where they are exploded, so that all read the one exchange."""
-        rows = packed.select("bucket", "kind", F.inline_outer(F.when(F.col("kind").isin(*kinds), F.arrays_zip("doc", "gram", "tail"))))
+    def entries(kind: int) -> DataFrame:
+        """The rows of a kind; chosen where they are exploded, so that all read the one exchange."""
+        rows = packed.select("bucket", F.inline_outer(F.when(F.col("kind") == kind, F.arrays_zip("doc", "gram", "tail"))))
         return rows.filter("doc is not null")
 
-    def scored(rows: DataFrame, gram: list[str], history: list[str], same_bucket: bool) -> DataFrame:
+    def scored(rows: DataFrame, gram: list[str], history: list[str], hot: bool) -> DataFrame:
         counts = rows.groupBy(*dict.fromkeys([*history, *gram])).agg(F.count(F.lit(1)).alias("c"))
-        if same_bucket:
-            counts = counts.withColumn("h", F.sum("c").over(W.partitionBy(*history)))
+        if hot:
+            few = counts.groupBy(*history).agg(F.sum("c").alias("h"))  # a row a hot history, at most 4 a partition
+            counts = counts.join(F.broadcast(few), history)
         else:
-            counts = counts.join(counts.groupBy(*history).agg(F.sum("c").alias("h")), history)
+            counts = counts.withColumn("h", F.sum("c").over(W.partitionBy(*history)))
         joined = rows.join(counts.select(*gram, "c", "h").hint("merge"), gram)  # both sides grow with the corpus: never broadcast
-        kind = F.col("kind") % HOT
-        value = F.when(kind == LATER, F.ln("c") - F.ln("h")).when(kind == FIRST, F.ln("c")).when(kind == WHOLE, F.ln("h")).otherwise(0.0)
+        value = F.when(F.col("code") == LATER, F.ln("c") - F.ln("h")).when(F.col("code") == FIRST, F.ln("c")).when(F.col("code") == WHOLE, F.ln("h")).otherwise(0.0)
         return joined.select("doc", value.alias("value"))
 
-    ended = F.col("kind").isin(END, WHOLE, HOT + END, HOT + WHOLE).alias("ended")
-    plain = entries(LATER, FIRST, END, WHOLE).select("bucket", "kind", "doc", "gram", "tail", F.shiftrightunsigned("gram", 16).alias("p"), ended)
-    hot = entries(*(HOT + k for k in (LATER, FIRST, END, WHOLE))).select("kind", "doc", "gram", "tail", ended)
+    code = F.col("doc").bitwiseAND(3).cast("int")
+    # an n-gram's last bits, and whether nothing follows the history
+    last = F.col("tail").cast("int") * 2 + code.isin(END, WHOLE).cast("int")
+    rows = entries(GRAMS).select("bucket", F.shiftright("doc", 3).alias("doc"), code.alias("code"), "gram", "tail", last.alias("last"), (F.col("doc").bitwiseAND(HOT) != 0).alias("hot"))
+    plain = rows.filter("not hot").select("bucket", "doc", "code", "gram", "last", F.shiftrightunsigned("gram", 16).alias("p"))
+    hot = rows.filter("hot").select("doc", "code", "gram", "tail", "last")
     totals = entries(COUNT).groupBy("gram", "bucket").agg(F.sum("doc").alias("c"))
     short = entries(SHORT).join(totals, ["gram", "bucket"]).select("doc", F.ln("c").alias("value"))
-    values = scored(plain, ["gram", "tail", "ended", "bucket"], ["p", "bucket"], True).unionByName(scored(hot, ["gram", "tail", "ended"], ["tail"], False)).unionByName(short)
+    values = scored(plain, ["gram", "last", "bucket"], ["p", "bucket"], False).unionByName(scored(hot, ["gram", "last"], ["tail"], True)).unionByName(short)
     null = F.lit(None).cast("long")
     whole = entries(DOC).select("doc", F.col("gram").alias("doc_id"), null.alias("n_words"), F.lit(0.0).alias("value"))
     whole = whole.unionByName(entries(SIZE).select("doc", null.alias("doc_id"), F.col("gram").alias("n_words"), F.lit(0.0).alias("value")))
