@@ -75,8 +75,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, digits: int = 64, files_pe
     slim = spark.read.schema(SLIM).parquet(digests)
     if slim.isEmpty():
         return slim.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "locator")
-    keep = stream_groups(spark, folder, files_per_batch).select("digest", F.bitwise_not("best.rev_id").alias("keep_id"), F.col("best.locator").alias("keep_at"), "group_size")
+    # staged, so that the join below deals both sides itself and Spark can split a hot digest
+    keep = staged(stream_groups(spark, folder, files_per_batch).select("digest", F.bitwise_not("best.rev_id").alias("keep_id"), F.col("best.locator").alias("keep_at"), "group_size"), "dedup-groups")
     result = staged(slim.join(keep, "digest"), "dedup-tagged")
+    discard(keep)
     differ = unequal(result, located(content))
     if not differ.isEmpty():
         every = spark.read.schema(SLIM).option("recursiveFileLookup", "true").parquet(f"{folder}/digests")
