@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
 class EngineConfig:
     """Defaults of the score, state machine, trend and portfolio. Every operator takes its values as arguments; this is their source."""
 
+    #: Fixed values from here on: thresholds, weights, tiers and tables of the rules.
     enter_2: float = 2.0
     enter_1: float = 3.5
     leave_2: float = 2.0
@@ -37,4 +40,17 @@ class EngineConfig:
     tz: str = "UTC"
 
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ, prefix: str = "TIDEMARK_") -> EngineConfig:
+        """The defaults with the plain values that variables like TIDEMARK_TREND_WINDOW set; a value that does not fit raises ValueError."""
+        found = {}
+        for f in fields(cls):
+            text, kind = env.get(prefix + f.name.upper()), type(f.default)
+            if text is not None and kind in (int, float, bool, str):
+                if kind is bool and text.lower() not in ("1", "0", "true", "false"):
+                    raise ValueError(f"{prefix}{f.name.upper()}: {text!r} is neither true nor false")
+                found[f.name] = text.lower() in ("1", "true") if kind is bool else kind(text)
+        return replace(cls(), **found)
+
+
 DEFAULT = EngineConfig()

@@ -45,7 +45,7 @@ def canonical_series(raw: Column, aliases: dict[str, str]) -> Column:
 
 
 def csv_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def safe_log(x: Column) -> Column:
@@ -97,3 +97,13 @@ def bias_label(net: Column) -> Column:
 
 def clock_angle(months: Column, period: Column) -> Column:
     return -90 + 360 * clip(1 - months / F.nullif(period, F.lit(0.0)), 0, 1)
+
+
+def truncated(text: Column, limit: int = 1800) -> Column:
+    """The text with a mark at its end if it was longer than limit; null as empty."""
+    mark = "\u2026(truncated)"
+    return F.when(text.isNull(), "").when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 15), F.lit(mark)))
+
+
+def preview(text: Column, limit: int = 500) -> Column:
+    return F.when(text.isNull(), "").when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("\u2026")))

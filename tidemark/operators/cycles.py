@@ -44,6 +44,19 @@ def band_component(rows: DataFrame, value: str, name: str, window: int, shortest
     return rows.withColumns({f"{name}_amp": F.sqrt(F.col(name) * F.col(name) + F.col("_s") * F.col("_s")), f"{name}_phase": F.atan2("_s", name)}).drop("_x", "_a", "_m", "_s")
 
 
+#: Name -> what is filtered, the window, the shortest and longest period, in months.
+BANDS = {"wave_3y": ("price_cycle", 120, 24.0, 48.0), "wave_7y": ("price_cycle", 240, 60.0, 108.0), "vol_wave_10y": ("vol_12m", 240, 96.0, 168.0)}
+
+
+def cycle_table(monthly: DataFrame) -> DataFrame:
+    """The monthly indicators in one table: detrended(), the three waves with phase and size, and risk_multiplier."""
+    rows = detrended(monthly)
+    for name, (value, window, shortest, longest) in BANDS.items():
+        rows = band_component(rows, value, name, window, shortest, longest)
+    rows = rows.withColumn("_mom", diff(F.col("wave_7y"), by("series_id", "month_end")))
+    return rows.withColumn("risk_multiplier", risk_multiplier(F.col("vol_z"), F.col("wave_7y"), F.col("_mom"))).drop("_mom")
+
+
 def phase_fit(rows: DataFrame, phase: str, name: str, window: int) -> DataFrame:
     """Least-squares slope of the unwrapped phase over trailing windows without a gap: name_omega (> 0), name_period, name_r2."""
     w = by("series_id", "month_end")
@@ -79,6 +92,15 @@ def outlook(rows: DataFrame, phase: str, amp: str, name: str, fit: int) -> DataF
     return rows.withColumns(flags).drop("_p", "_m", f"_{name}_omega", f"_{name}_period", f"_{name}_r2")
 
 
+def fear_and_euphoria(cycles: DataFrame, fit_fear: int = 120, fit_euphoria: int = 60) -> DataFrame:
+    """cycles: cycle_table(). Fear peaks with the long volatility wave, euphoria with the short price wave. Adds outlook() of both, their
+    phases, and `confidence`, the mean of the two (an unknown one counts 0)."""
+    rows = outlook(cycles, "vol_wave_10y_phase", "vol_wave_10y_amp", "fear", fit_fear)
+    rows = outlook(rows, "wave_3y_phase", "wave_3y_amp", "euphoria", fit_euphoria)
+    both = [F.coalesce(f"confidence_{n}", F.lit(0.0)) for n in ("fear", "euphoria")]
+    return rows.withColumns({"confidence": clip((both[0] + both[1]) / 2, 0, 1), "fear_phase": F.col("vol_wave_10y_phase"), "euphoria_phase": F.col("wave_3y_phase")})
+
+
 def daily_expansion(days: DataFrame, monthly: DataFrame, values: Sequence[str]) -> DataFrame:
     """Each day takes its month end's row, filled forward."""
     w = by("series_id", "date")
@@ -122,9 +144,36 @@ def month_calendar(events: DataFrame, horizon: int = 60, lookback: int = 12) ->
 
 def ics_lines(events: DataFrame) -> DataFrame:
     """events: uid, summary, day. The text of an all-day event at the month's start of each, in calendar format."""
-    start = F.trunc("day", "month")
-    text = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "uid"), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format(start, "yyyyMMdd")), F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add(start, 1), "yyyyMMdd")), F.concat(F.lit("SUMMARY:"), "summary"), F.lit("END:VEVENT"))
-    return events.select("uid", text.alias("event"))
+    return events.select("uid", ics_event(F.col("uid"), F.col("summary"), F.col("day"), "\r\n").alias("event"))
+
+
+def ics_event(uid: Column, summary: Column, day: Column, newline: str = "\n", text: str | None = None) -> Column:
+    """Null where there is no day."""
+    start = F.trunc(day, "month")
+    lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), uid), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format(start, "yyyyMMdd")), F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add(start, 1), "yyyyMMdd")), F.concat(F.lit("SUMMARY:"), summary)]
+    lines += [F.lit(f"DESCRIPTION:{text}")] * (text is not None) + [F.lit("END:VEVENT")]
+    return F.when(day.isNotNull(), F.concat_ws(newline, *lines))
+
+
+#: The events of a calendar file in order: identifier, summary, text, which peak, and how many months before it.
+CALENDAR = (
+    ("fear-window36-start", "FEAR window start (36m)", "Cycle-based forecast window begins", "fear", 36), ("fear-window24-start", "FEAR window start (24m)", "Closer approach to FEAR peak", "fear", 24), ("fear-peak", "FEAR peak (cycle forecast)", "Predicted volatility cycle peak", "fear", 0),
+    ("euph-window36-start", "EUPH window start (36m)", "Cycle-based forecast window begins", "euphoria", 36), ("euph-window24-start", "EUPH window start (24m)", "Closer approach to EUPH trough", "euphoria", 24), ("euph-trough", "EUPH trough (cycle forecast)", "Predicted volatility cycle trough", "euphoria", 0),
+)
+
+
+def calendar_file(events: DataFrame, host: str = "tidemark", product: str = "-//Tidemark//Cycles//EN") -> DataFrame:
+    """events: as_of, months_until_fear, months_until_euphoria and keys. Adds ics, the text of a whole calendar file of each row with its
+    header and at most six events; an unknown or negative distance gives none."""
+    peak = lambda m: F.when(F.col(m) >= 0, F.add_months("as_of", F.bround(m).cast("int")))
+    parts = [ics_event(F.lit(f"{uid}@{host}"), F.lit(summary), F.add_months(peak(f"months_until_{which}"), -before), text=text) for uid, summary, text, which, before in CALENDAR]
+    return events.withColumn("ics", F.concat(F.concat_ws("\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.lit(f"PRODID:{product}"), *parts, F.lit("END:VCALENDAR")), F.lit("\n")))
+
+
+def next_months(calendar: DataFrame, n: int = 48, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """calendar: month_calendar() with as_of. The first n months from as_of's month on."""
+    ahead = calendar.filter(F.trunc("month_end", "month") >= F.trunc("as_of", "month"))
+    return ahead.withColumn("_n", F.row_number().over(by(list(keys), "month_end"))).filter(F.col("_n") <= n).drop("_n")
 
 
 def near_phase(phase: Column, tolerance: float = math.pi / 10) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from .prep import as_of
 from .windows import by, cumulative_product, drawdown, ffill, mean, pct_change, std, upto
 
 
@@ -23,12 +24,19 @@ def bond_index(yields: DataFrame, duration: float, carry: bool = True, keys: Seq
     return rows.select(*keys, "date", "y", ret.alias("r")).select(*keys, "date", F.when(F.col("y").isNotNull(), cumulative_product(1 + F.col("r"), w)).alias("value"))
 
 
-def price_grid(daily: DataFrame) -> DataFrame:
-    """Every asset on every date of any: an asset without a price has null there, as windows must see the gap."""
-    dates = daily.select("date").distinct()
-    assets = daily.select("series_id").distinct()
-    each = assets.agg(F.collect_set("series_id").alias("ids"))  # the assets of one portfolio
-    return dates.join(F.broadcast(each)).select("date", F.explode("ids").alias("series_id")).join(daily, ["date", "series_id"], "left")
+def price_grid(daily: DataFrame, assets: Sequence[str]) -> DataFrame:
+    """Every asset on every date of any: an asset without a price has null there, as windows must see the gap. The assets are given, so
+    a date's rows are made where the date is."""
+    known = daily.filter(F.col("series_id").isin(*assets))
+    each = known.select("date").distinct().select("date", F.explode(F.array(*[F.lit(a) for a in assets])).alias("series_id"))
+    return each.join(known, ["date", "series_id"], "left")
+
+
+def with_multiplier(grid: DataFrame, multipliers: DataFrame) -> DataFrame:
+    """Adds to each date the latest risk_multiplier of a table by date; 1 before the first and where it is unknown."""
+    one = F.lit(1).alias("_k")
+    days = as_of(grid.select("date", one).distinct(), multipliers.select("date", "risk_multiplier", one), ["_k"], ["risk_multiplier"])  # a row a calendar day
+    return grid.join(days.select("date", F.coalesce("risk_multiplier", F.lit(1.0)).alias("risk_multiplier")), "date")
 
 
 def asset_weights(grid: DataFrame, macro: Column, risk_assets: Sequence[str], cap: Column | float = DEFAULT.portfolio_cap, ma_window: int = 200, vol_window: int = 20, target: float = DEFAULT.portfolio_target) -> DataFrame:

@@ -40,9 +40,23 @@ def monthly_last(daily: DataFrame) -> DataFrame:
     return found.groupBy("series_id", F.last_day("date").alias("month_end")).agg(F.max_by("value", "date").alias("value"))
 
 
-def pivot_wide(daily: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """One row a date, one column a series; ids are given, so the plan needs no extra pass."""
-    return daily.groupBy("date").pivot("series_id", list(ids)).agg(F.max("value"))
+def pivot_wide(daily: DataFrame, ids: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row a date, one column a series; ids are given, so the plan needs no extra pass. Of several values of a series and date
+    the last by `order` counts; without one daily must hold a single value."""
+    value = F.max("value") if order is None else F.max_by("value", order)
+    return daily.groupBy("date").pivot("series_id", list(ids)).agg(value)
+
+
+def without_test_rows(ledger: DataFrame, series: str, value: float) -> DataFrame:
+    """Leaves out a series' rows that hold exactly the value of a test; a null value stays."""
+    return ledger.filter(~F.coalesce((F.col("series_id") == series) & (F.col("value") == value), F.lit(False)))
+
+
+def future_rows(ledger: DataFrame, now_ms: Column | int, n: int = 5, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Of each series the n latest rows that are dated after now."""
+    now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
+    w = W.partitionBy(*keys).orderBy(F.desc("time_utc_ms"), F.desc("seq"))
+    return ledger.filter(F.col("time_utc_ms") > now).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def unpivot_long(wide: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from .prep import as_of
+from .prep import as_of, contiguity
 from .windows import all_of_last, by, cross_up, ewma_std, mean, pct_change, slope, std
 
 STATE_SCHEMA = "state string, raw_score double, score double, held boolean, prev_state string, ge_2 int, ge_1 int, lt_2 int, le_1 int"
@@ -138,14 +138,49 @@ def resume_states(days: DataFrame, stored: DataFrame, key: str = "scenario", con
     return days.select(key, *_INPUT).groupBy(key).cogroup(last.groupBy(key)).applyInPandas(run, f"{key} {kind}, date date, {STATE_SCHEMA}")
 
 
-def reasons(rows: DataFrame) -> DataFrame:
-    """Nested records of a day: reasons (scores, streaks, triggers, trend, allocation) and their JSON text."""
+def check_contiguous(stored: DataFrame, key: str = "scenario") -> None:
+    """Raises ValueError if a scenario's stored days have a gap or a day twice: then only a full recomputation helps."""
+    bad = contiguity(stored, [key]).filter("not contiguous").select(key).limit(5).collect()
+    if bad:
+        raise ValueError(f"stored states have gaps: {', '.join(str(r[0]) for r in bad)}; recompute with reset")
+
+
+def recompute_states(days: DataFrame, stored: DataFrame | None, key: str = "scenario", config: EngineConfig = DEFAULT, reset: bool = False) -> DataFrame:
+    """resume_states() after check_contiguous(), or all days anew with reset or without stored rows."""
+    if reset or stored is None:
+        return fold_states(days, key, config)
+    check_contiguous(stored, key)
+    return resume_states(days, stored, key, config)
+
+
+def health(sensors_by_day: DataFrame) -> DataFrame:
+    """One record a day of how old each sensor's value is: date, stale_critical (names), health_json."""
+    one = F.struct("series_id", F.struct("as_of", "have", "age", "late", "stale").alias("h"))
+    stale = F.array_sort(F.collect_list(F.when(F.col("critical") & F.col("stale") & (F.col("have") > 0), F.col("series_id"))))
+    return sensors_by_day.groupBy("date").agg(stale.alias("stale_critical"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(one)))).alias("health_json"))
+
+
+def reasons(rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Nested records of a day: reasons (scores, streaks, triggers, trend, allocation, thresholds) and their JSON text. With the column
+    stale_critical (health()) the record names these sensors, and a held score says so among the triggers."""
     allocation = F.struct("action", "equity", F.bround(F.col("equity") * 100, 1).alias("equity_pct"))
     streaks = F.struct("ge_2", "ge_1", "lt_2", "le_1")
-    record = F.struct(F.filter(F.split("triggers", r" \| "), lambda x: x != "").alias("triggers"), "raw_score", F.col("score").alias("effective_score"), F.col("held").alias("held_last_score"), "prev_state", streaks.alias("streaks"), F.struct("signal", "price", "ma").alias("trend"), allocation.alias("allocation"))
+    stale = F.col("stale_critical") if "stale_critical" in rows.columns else F.array().cast("array<string>")
+    note = F.when(F.col("held") & (F.size(stale) > 0), F.array(F.concat(F.lit("Held last score (DEFCON safety) due to stale: "), F.array_join(stale, ", ")))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(F.filter(F.split("triggers", r" \| "), lambda x: x != ""), note)
+    thresholds = F.struct(*[F.lit(getattr(config, n)).alias(n) for n in ("enter_2", "enter_1", "leave_2", "leave_1")])
+    record = F.struct(found.alias("triggers"), "raw_score", F.col("score").alias("effective_score"), F.col("held").alias("held_last_score"), stale.alias("stale_critical_series"), "prev_state", streaks.alias("streaks"), F.struct("signal", "price", "ma").alias("trend"), allocation.alias("allocation"), thresholds.alias("thresholds"))
     return rows.withColumn("reasons", record).withColumn("reasons_json", F.to_json("reasons"))
 
 
+def trend_as_of(days: DataFrame, trends: DataFrame, valid_days: int = DEFAULT.valid_days["1D"]) -> DataFrame:
+    """days: series_id, date. Each day's latest trend(); a price older than valid_days gives UNKNOWN and no values."""
+    seen = as_of(days, trends, ["series_id"], ["price", "ma", "vol_ann", "signal"])
+    fresh = F.coalesce(F.datediff("date", "as_of") <= valid_days, F.lit(False))
+    values = {c: F.when(fresh, F.col(c)) for c in ("price", "ma", "vol_ann")}
+    return seen.withColumns({**values, "signal": F.when(fresh, F.col("signal")).otherwise("UNKNOWN")})
+
+
 def trend(daily: DataFrame, window: int = 200, vol_window: int = 20, live: bool = False, trading_days: int = 252) -> DataFrame:
     """Per series and day: price, ma, signal (UP when the price is at least its average, DOWN below, UNKNOWN without one) and vol_ann."""
     w = by("series_id", "date")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, half_up
+from .prep import as_of
 from .windows import by, islands
 
 STATES = ("NORMAL", "DEFCON2", "DEFCON1", "WARMUP")
@@ -50,11 +51,38 @@ def flag_ranges(points: DataFrame, flag: str, key: str = "scenario") -> DataFram
 
 
 def page(rows: DataFrame, number: int, size: int = 200, order: str = "date", tie: str | None = None) -> DataFrame:
-    """One page, newest first. Numbers too large give the last page."""
-    n = max(1, -(-rows.count() // size))
-    number = min(max(1, number), n)
-    ordered = rows.orderBy(F.desc(order), *([tie] if tie else [])).limit(number * size)
-    return ordered.offset((number - 1) * size)
+    """One page, newest first. Numbers too large give the last page.
+
+    The rows of each day are counted first (a row a calendar day reaches the driver), so only the page's own days are sorted."""
+    days = rows.groupBy(order).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(order)).collect()
+    pages = max(1, -(-sum(d.n for d in days) // size))
+    skip, first, last = (min(max(1, number), pages) - 1) * size, None, None
+    left, before = skip + size, 0
+    for d in days:
+        if before + d.n > skip:
+            first, last = (first or (d[order], before)), d[order]
+        before += d.n
+        if before >= left:
+            break
+    if first is None:
+        return rows.limit(0)
+    near = rows.filter(F.col(order).between(F.lit(last), F.lit(first[0])))
+    return near.orderBy(F.desc(order), *([tie] if tie else [])).offset(skip - first[1]).limit(size)
+
+
+def portfolio_text(weights: DataFrame, key: str = "date") -> DataFrame:
+    """weights: key, series_id, weight, gross, cash. A line of each date that a search can look through, largest weight first."""
+    one = F.transform(F.sort_array(F.collect_list(F.when(F.col("weight") > 0, F.struct((-F.col("weight")).alias("w"), "series_id")))), lambda x: F.format_string("%s %.1f%%", x["series_id"], -x["w"] * 100))
+    text = F.concat_ws(" | ", F.col("parts"), F.format_string("CASH %.1f%%", F.col("cash") * 100), F.format_string("GROSS %.2fx", F.col("gross")))
+    rows = weights.groupBy(key).agg(one.alias("parts"), F.max("cash").alias("cash"), F.max("gross").alias("gross"))
+    return rows.select(key, text.alias("text"))
+
+
+def portfolio_search(states: DataFrame, texts: DataFrame, text: str, key: str = "scenario") -> DataFrame:
+    """Days whose portfolio, the latest up to the day, holds the text, whatever its case. states: key, date; texts: date, text."""
+    one = F.lit(1).alias("_k")
+    seen = as_of(states.select("date", one).distinct(), texts.select("date", "text", one), ["_k"], ["text"]).drop("_k")  # a row a calendar day
+    return states.join(text_search(seen, text, ["text"]), "date")
 
 
 def in_range(rows: DataFrame, start, end, states: Sequence[str]) -> DataFrame:

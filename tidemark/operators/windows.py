@@ -37,8 +37,8 @@ def std(x: Column, w: WindowSpec, n: int, least: int | None = None, population:
     return enough((F.stddev_pop if population else F.stddev_samp)(x).over(f), x, f, least or n)
 
 
-def zscore(x: Column, w: WindowSpec, n: int, least: int | None = None, population: bool = True, null_flat: bool = True) -> Column:
-    """null_flat: a frame without spread gives null, else the division's result, which is null too in SQL."""
+def zscore(x: Column, w: WindowSpec, n: int, least: int | None = None, population: bool = True) -> Column:
+    """A frame without spread gives null."""
     s = std(x, w, n, least, population)
     return (x - mean(x, w, n, least)) / F.nullif(s, F.lit(0.0))
 
@@ -61,17 +61,19 @@ def ffill(x: Column, w: WindowSpec) -> Column:
 
 
 def ewma_std(x: Column, w: WindowSpec, span: int = 20, n: int = 21) -> Column:
-    """Bias-corrected exponentially weighted deviation of the last n values; null with fewer than two."""
+    """Bias-corrected exponentially weighted deviation of the last n values; null with fewer than two.
+
+    One pass over the frame from its oldest value, which decays all sums by each newer one; nulls are not collected."""
     decay = 1 - 2 / (span + 1)
-    xs = F.filter(F.collect_list(x).over(last_rows(w, n)), lambda v: v.isNotNull())
-    weights = F.transform(xs, lambda v, i: F.pow(F.lit(decay), F.size(xs) - 1 - i))
-    add = lambda a, b: a + b
-    zero = F.lit(0.0)
-    sw, sw2 = F.aggregate(weights, zero, add), F.aggregate(weights, zero, lambda a, v: a + v * v)
-    swx = F.aggregate(F.zip_with(xs, weights, lambda v, k: v * k), zero, add)
-    swxx = F.aggregate(F.zip_with(xs, weights, lambda v, k: v * v * k), zero, add)
-    variance = (swxx / sw - (swx / sw) * (swx / sw)) * sw * sw / F.nullif(sw * sw - sw2, zero)
-    return F.when(F.size(xs) >= 2, F.sqrt(F.greatest(variance, zero)))
+    xs, zero = F.collect_list(x).over(last_rows(w, n)), F.lit(0.0)
+    step = lambda a, v: F.struct((a["w"] * decay + 1).alias("w"), (a["w2"] * decay**2 + 1).alias("w2"), (a["x"] * decay + v).alias("x"), (a["xx"] * decay + v * v).alias("xx"), (a["n"] + 1).alias("n"))
+
+    def finish(a: Column) -> Column:
+        mean_ = a["x"] / a["w"]
+        variance = (a["xx"] / a["w"] - mean_ * mean_) * a["w"] * a["w"] / F.nullif(a["w"] * a["w"] - a["w2"], zero)
+        return F.when(a["n"] >= 2, F.sqrt(F.greatest(variance, zero)))
+
+    return F.aggregate(xs, F.struct(zero.alias("w"), zero.alias("w2"), zero.alias("x"), zero.alias("xx"), F.lit(0).alias("n")), step, finish)
 
 
 def cumulative_product(x: Column, w: WindowSpec) -> Column:
@@ -82,15 +84,8 @@ def drawdown(x: Column, w: WindowSpec) -> Column:
     return x / F.max(x).over(upto(w)) - 1
 
 
-def streak(flag: Column, w: WindowSpec) -> Column:
-    """Rows in a row, up to this one, whose flag is true; null breaks."""
-    n = F.row_number().over(w)
-    broken = F.max(F.when(~F.coalesce(flag, F.lit(False)), n)).over(upto(w))
-    return n - F.coalesce(broken, F.lit(0))
-
-
 def with_streak(df: DataFrame, flag: Column, keys, order: str, name: str) -> DataFrame:
-    """As streak(), in two steps, since a window can't hold another."""
+    """Rows in a row, up to each, whose flag is true; null breaks."""
     w = by(keys, order)
     df = df.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.when(~F.coalesce(flag, F.lit(False)), F.col("_n")))
     return df.withColumn(name, F.col("_n") - F.coalesce(F.max("_b").over(upto(w)), F.lit(0))).drop("_n", "_b")

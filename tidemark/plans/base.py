@@ -70,3 +70,14 @@ monthly AS (SELECT series_id, last_day(date) AS month_end, arg_max(value, date)
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
     return prep.monthly_last(daily(spark, sf))
+
+
+#: Forty years of months, as long windows need them: the order's key picks the month, of a month's orders the last key counts.
+LONG_MONTHLY_SQL = DAILY_SQL + """,
+monthly AS (SELECT o_orderpriority AS series_id, CAST(last_day(DATE '1962-01-01' + to_months(CAST(o_orderkey % 480 AS INT))) AS DATE) AS month_end, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY ALL)"""
+
+
+def long_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    month = F.last_day(F.add_months(F.lit("1962-01-01").cast("date"), (F.col("o_orderkey") % 480).cast("int")))
+    return o.groupBy(F.col("o_orderpriority").alias("series_id"), month.alias("month_end")).agg(F.max_by("o_totalprice", "o_orderkey").alias("value"))

@@ -1,9 +1,8 @@
-"""Queries of cycles, windows and triggers, calendars, timing and forecasts. Windows are short, as the tables span some 80 months."""
+"""Queries of cycles, windows and triggers, calendars and timing, with the windows that the operators default to."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +12,13 @@ from ..operators import cycles as C
 from ..operators import models as M
 
 from ..operators import windows as W
-from .base import DAILY_SQL, MONTHLY_SQL, ORACLES, daily, monthly, query, r, table
+from .base import DAILY_SQL, LONG_MONTHLY_SQL, ORACLES, daily, long_monthly, query, r, table
 
 _OVER = "OVER (PARTITION BY series_id ORDER BY month_end ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 _W = "OVER (PARTITION BY series_id ORDER BY month_end)"
 _DOVER = "OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 _DW = "OVER (PARTITION BY series_id ORDER BY date)"
-TREND, SMOOTH, BAND, SHORT, LONG, FIT = 24, 6, 24, 6.0, 12.0, 12
+TREND, SMOOTH, LEAST = 120, 12, 40
 
 
 def win(f: str, x: str, n: int, least: int, over: str = _OVER) -> str:
@@ -27,13 +26,13 @@ def win(f: str, x: str, n: int, least: int, over: str = _OVER) -> str:
 
 
 def detrended(spark, sf) -> DataFrame:
-    return C.detrended(monthly(spark, sf), TREND, SMOOTH)
+    return C.detrended(long_monthly(spark, sf))
 
 
-DETREND_SQL = f"""{MONTHLY_SQL}, m1 AS (SELECT *, ln(CASE WHEN value > 0 THEN value END) AS logp FROM monthly),
+DETREND_SQL = f"""{LONG_MONTHLY_SQL}, m1 AS (SELECT *, ln(CASE WHEN value > 0 THEN value END) AS logp FROM monthly),
 m2 AS (SELECT *, logp - lag(logp) {_W} AS logret, {win("avg", "logp", TREND, TREND // 2)} AS trend_logp FROM m1),
 m3 AS (SELECT *, abs(logret) AS vol_1m, logp - trend_logp AS price_cycle FROM m2), m4 AS (SELECT *, {win("avg", "vol_1m", SMOOTH, SMOOTH)} AS vol_12m FROM m3),
-det AS (SELECT *, (price_cycle - {win("avg", "price_cycle", TREND, 10)}) / nullif({win("stddev_pop", "price_cycle", TREND, 10)}, 0) AS price_cycle_z, (vol_12m - {win("avg", "vol_12m", TREND, 10)}) / nullif({win("stddev_pop", "vol_12m", TREND, 10)}, 0) AS vol_z FROM m4)"""
+det AS (SELECT *, (price_cycle - {win("avg", "price_cycle", TREND, LEAST)}) / nullif({win("stddev_pop", "price_cycle", TREND, LEAST)}, 0) AS price_cycle_z, (vol_12m - {win("avg", "vol_12m", TREND, LEAST)}) / nullif({win("stddev_pop", "vol_12m", TREND, LEAST)}, 0) AS vol_z FROM m4)"""
 
 
 @query(f"WITH {DETREND_SQL} SELECT series_id, month_end, round(logp, 6) + 0.0 AS logp, round(vol_1m, 6) + 0.0 AS vol_1m, round(price_cycle, 6) + 0.0 AS price_cycle, round(price_cycle_z, 5) + 0.0 AS price_cycle_z, round(vol_12m, 6) + 0.0 AS vol_12m, round(vol_z, 5) + 0.0 AS vol_z FROM det")
@@ -42,66 +41,98 @@ def cycle_detrend(spark, sf):
     return d.select("series_id", "month_end", r("logp", 6).alias("logp"), r("vol_1m", 6).alias("vol_1m"), r("price_cycle", 6).alias("price_cycle"), r("price_cycle_z", 5).alias("price_cycle_z"), r("vol_12m", 6).alias("vol_12m"), r("vol_z", 5).alias("vol_z"))
 
 
-def waves(spark, sf) -> DataFrame:
-    return C.band_component(detrended(spark, sf), "price_cycle", "wave", BAND, SHORT, LONG)
+def band_sql(name: str) -> str:
+    """CTEs <name>_0 to <name>_2 and <name>: series_id, month_end, c and s, the two parts of a wave, as sums over the window's rows and the band's bins."""
+    value, window, shortest, longest = C.BANDS[name]
+    angle = f"2 * pi() * k * age / {window}"
+    return f"""{name}_0 AS (SELECT series_id, month_end, last_value({value} IGNORE NULLS) {_W} AS x, row_number() {_W} AS rn FROM det),
+{name}_1 AS (SELECT a.series_id, a.month_end, b.x, a.rn - b.rn AS age, avg(b.x) OVER (PARTITION BY a.series_id, a.rn) AS m FROM {name}_0 a JOIN {name}_0 b ON a.series_id = b.series_id AND b.rn BETWEEN a.rn - {window - 1} AND a.rn),
+{name}_2 AS (SELECT series_id, month_end, count(DISTINCT age) AS n, 2.0 / {window} * sum(coalesce(x - m, 0) * cos({angle})) AS c, 2.0 / {window} * sum(coalesce(x - m, 0) * sin({angle})) AS s, count(m) AS seen_m
+ FROM {name}_1 CROSS JOIN (SELECT unnest([{", ".join(map(str, C.bins(window, shortest, longest)))}]) AS k) GROUP BY ALL),
+{name} AS (SELECT series_id, month_end, CASE WHEN n = {window} AND seen_m > 0 THEN c END AS c, CASE WHEN n = {window} AND seen_m > 0 THEN s END AS s FROM {name}_2)"""
 
 
-BAND_SQL = f"""{DETREND_SQL}, b0 AS (SELECT *, last_value(price_cycle IGNORE NULLS) {_W} AS x, row_number() {_W} AS rn FROM det),
-b1 AS (SELECT a.series_id, a.month_end, a.rn, b.x, a.rn - b.rn AS age, avg(b.x) OVER (PARTITION BY a.series_id, a.rn) AS m FROM b0 a JOIN b0 b ON a.series_id = b.series_id AND b.rn BETWEEN a.rn - {BAND - 1} AND a.rn),
-ks AS (SELECT unnest([{", ".join(map(str, C.bins(BAND, SHORT, LONG)))}]) AS k),
-b2 AS (SELECT series_id, month_end, count(DISTINCT age) AS n, 2.0 / {BAND} * sum(coalesce(x - m, 0) * cos(2 * pi() * k * age / {BAND})) AS c, 2.0 / {BAND} * sum(coalesce(x - m, 0) * sin(2 * pi() * k * age / {BAND})) AS s, count(m) AS seen_m FROM b1 CROSS JOIN ks GROUP BY ALL),
-band AS (SELECT series_id, month_end, CASE WHEN n = {BAND} AND seen_m > 0 THEN c END AS wave, CASE WHEN n = {BAND} AND seen_m > 0 THEN s END AS s FROM b2)"""
+def waves(spark, sf) -> DataFrame:
+    return C.cycle_table(long_monthly(spark, sf))
 
 
-@query(f"WITH {BAND_SQL} SELECT series_id, month_end, round(wave, 6) + 0.0 AS wave, round(sqrt(wave * wave + s * s), 6) + 0.0 AS wave_amp, round(atan2(s, wave), 4) + 0.0 AS wave_phase FROM band")
+@query(f"WITH {DETREND_SQL}, {band_sql('wave_3y')} SELECT series_id, month_end, round(c, 6) + 0.0 AS wave, round(sqrt(c * c + s * s), 6) + 0.0 AS wave_amp, round(atan2(s, c), 4) + 0.0 AS wave_phase FROM wave_3y")
 def band_component(spark, sf):
-    return waves(spark, sf).select("series_id", "month_end", r("wave", 6).alias("wave"), r("wave_amp", 6).alias("wave_amp"), r("wave_phase").alias("wave_phase"))
+    b = C.band_component(detrended(spark, sf), C.BANDS["wave_3y"][0], "wave", *C.BANDS["wave_3y"][1:])
+    return b.select("series_id", "month_end", r("wave", 6).alias("wave"), r("wave_amp", 6).alias("wave_amp"), r("wave_phase").alias("wave_phase"))
+
+
+BANDS_SQL = ", ".join([DETREND_SQL, *map(band_sql, C.BANDS)])
+
+
+@query(f"""WITH {BANDS_SQL} SELECT a.series_id, a.month_end, {", ".join(f"round({t}.c, 6) + 0.0 AS {n}, round(sqrt({t}.c * {t}.c + {t}.s * {t}.s), 6) + 0.0 AS {n}_amp, round(atan2({t}.s, {t}.c), 4) + 0.0 AS {n}_phase" for n, t in zip(C.BANDS, "abc"))}
+FROM wave_3y a JOIN wave_7y b USING (series_id, month_end) JOIN vol_wave_10y c USING (series_id, month_end)""")
+def cycle_bands(spark, sf):
+    """The three waves of the table that is exported."""
+    w = waves(spark, sf)
+    return w.select("series_id", "month_end", *[r(f"{n}{x}", k).alias(f"{n}{x}") for n in C.BANDS for x, k in (("", 6), ("_amp", 6), ("_phase", 4))])
 
 
 def outlooks(spark, sf) -> DataFrame:
-    w = C.band_component(waves(spark, sf), "vol_12m", "vol_wave", BAND, SHORT, LONG)
-    return C.outlook(C.outlook(w, "wave_phase", "wave_amp", "euphoria", FIT), "vol_wave_phase", "vol_wave_amp", "fear", FIT)
+    return C.fear_and_euphoria(waves(spark, sf))
+
 
+def fit_sql(name: str, band: str, fit: int) -> str:
+    """CTEs of the unwrapped phase's line: <name>: p (phase), amp, med, w (slope), r2, months."""
+    line = lambda f: f"CASE WHEN count(u) {_OVER.format(n=fit - 1)} = {fit} THEN {f}(u, rn) {_OVER.format(n=fit - 1)} END"
+    wide, least = max(60, 2 * fit), max(30, fit // 2)
+    turn = lambda d: f"({d} + pi() - 2 * pi() * floor(({d} + pi()) / (2 * pi())) - pi())"
+    return f"""{name}_0 AS (SELECT series_id, month_end, sqrt(c * c + s * s) AS amp, last_value(atan2(s, c) IGNORE NULLS) {_W} AS p, row_number() {_W} AS rn FROM {band}),
+{name}_1 AS (SELECT *, p - lag(p) {_W} AS d FROM {name}_0), {name}_2 AS (SELECT *, p + sum(coalesce({turn("d")} - d, 0)) {_W} AS u FROM {name}_1),
+{name}_3 AS (SELECT *, {line("regr_slope")} AS w, {line("regr_r2")} AS r2, CASE WHEN count(amp) {_OVER.format(n=wide - 1)} >= {least} THEN quantile_cont(amp, 0.5) {_OVER.format(n=wide - 1)} END AS med FROM {name}_2),
+{name} AS (SELECT *, CASE WHEN abs({turn("p")}) <= pi() / 10 THEN 0.0 ELSE (-p - 2 * pi() * floor(-p / (2 * pi()))) / CASE WHEN w > 0 THEN w END END AS months,
+ least(1, greatest(0, 0.6 * coalesce(least(1, greatest(0, (amp / nullif(med, 0) - 0.7) / 0.6)), 0) + 0.4 * coalesce(least(1, greatest(0, r2)), 0))) AS conf FROM {name}_3)"""
 
-FIT_SQL = f"""{BAND_SQL}, p0 AS (SELECT series_id, month_end, sqrt(wave * wave + s * s) AS amp, last_value(atan2(s, wave) IGNORE NULLS) {_W} AS p, row_number() {_W} AS rn FROM band),
-p1 AS (SELECT *, p - lag(p) {_W} AS d FROM p0),
-p2 AS (SELECT *, p + sum(coalesce(d + pi() - 2 * pi() * floor((d + pi()) / (2 * pi())) - pi() - d, 0)) {_W} AS u FROM p1),
-p3 AS (SELECT *, CASE WHEN count(u) {_OVER.format(n=FIT - 1)} = {FIT} THEN regr_slope(u, rn) {_OVER.format(n=FIT - 1)} END AS w, CASE WHEN count(u) {_OVER.format(n=FIT - 1)} = {FIT} THEN regr_r2(u, rn) {_OVER.format(n=FIT - 1)} END AS r2 FROM p2)"""
 
+FIT_SQL = f"{BANDS_SQL}, {fit_sql('eu', 'wave_3y', 60)}, {fit_sql('fe', 'vol_wave_10y', 120)}"
 
-@query(f"WITH {FIT_SQL} SELECT series_id, month_end, round(CASE WHEN w > 0 THEN w END, 5) + 0.0 AS omega, round(CASE WHEN w > 0 THEN 2 * pi() / w END, 3) + 0.0 AS period, round(r2, 5) + 0.0 AS r2 FROM p3")
+
+@query(f"WITH {FIT_SQL} SELECT series_id, month_end, round(CASE WHEN w > 0 THEN w END, 5) + 0.0 AS omega, round(CASE WHEN w > 0 THEN 2 * pi() / w END, 3) + 0.0 AS period, round(r2, 5) + 0.0 AS r2 FROM eu")
 def phase_fit(spark, sf):
-    f = C.phase_fit(waves(spark, sf), "wave_phase", "f", FIT)
+    f = C.phase_fit(waves(spark, sf), "wave_3y_phase", "f", 60)
     return f.select("series_id", "month_end", r("f_omega", 5).alias("omega"), r("f_period", 3).alias("period"), r("f_r2", 5).alias("r2"))
 
 
-@query(f"""WITH {FIT_SQL}, q AS (SELECT *, CASE WHEN abs(p + pi() - 2 * pi() * floor((p + pi()) / (2 * pi())) - pi()) <= pi() / 10 THEN 0.0 ELSE (-p - 2 * pi() * floor(-p / (2 * pi()))) / CASE WHEN w > 0 THEN w END END AS months,
- CASE WHEN count(amp) {_OVER.format(n=59)} >= 30 THEN quantile_cont(amp, 0.5) {_OVER.format(n=59)} END AS med FROM p3)
-SELECT series_id, month_end, round(months, 3) + 0.0 AS months_until, CAST(coalesce(months <= 24, false) AS INT) AS window_24m, round(least(1, greatest(0, 0.6 * coalesce(least(1, greatest(0, (amp / nullif(med, 0) - 0.7) / 0.6)), 0) + 0.4 * coalesce(least(1, greatest(0, r2)), 0))), 4) + 0.0 AS confidence FROM q""")
+@query(f"""WITH {FIT_SQL} SELECT series_id, month_end, round(months, 3) + 0.0 AS months_until, CAST(coalesce(months <= 24, false) AS INT) AS window_24m, round(conf, 4) + 0.0 AS confidence FROM eu""")
 def fear_windows(spark, sf):
     o = outlooks(spark, sf)
     return o.select("series_id", "month_end", r("months_until_euphoria", 3).alias("months_until"), F.col("euphoria_window_24m").alias("window_24m"), r("confidence_euphoria").alias("confidence"))
 
 
-@query(f"""WITH {BAND_SQL}, j AS (SELECT d.series_id, d.month_end, d.vol_z, b.wave, b.wave - lag(b.wave) OVER (PARTITION BY d.series_id ORDER BY d.month_end) AS mom FROM det d JOIN band b USING (series_id, month_end))
-SELECT series_id, month_end, round(least(1.15, greatest(0.6, CASE WHEN vol_z > 1 THEN 0.75 WHEN vol_z > 0.5 THEN 0.85 WHEN vol_z < -0.5 THEN 1.05 ELSE 1.0 END * CASE WHEN wave > 0 AND mom < 0 THEN 0.9 WHEN wave < 0 AND mom > 0 THEN 1.05 ELSE 1.0 END)), 6) + 0.0 AS multiplier FROM j""")
+@query(f"""WITH {FIT_SQL} SELECT e.series_id, e.month_end, round(f.months, 3) + 0.0 AS months_until_fear, CAST(coalesce(f.months <= 36, false) AS INT) AS fear_window_36m, round(CASE WHEN f.w > 0 THEN 2 * pi() / f.w END, 3) + 0.0 AS fear_period_months,
+ round(f.conf, 4) + 0.0 AS confidence_fear, round((e.conf + f.conf) / 2, 4) + 0.0 AS confidence FROM eu e JOIN fe f USING (series_id, month_end)""")
+def fear_outlook(spark, sf):
+    """The fear side, from the long volatility wave, and the mean confidence."""
+    o = outlooks(spark, sf)
+    return o.select("series_id", "month_end", r("months_until_fear", 3).alias("months_until_fear"), "fear_window_36m", r("fear_period_months", 3).alias("fear_period_months"), r("confidence_fear").alias("confidence_fear"), r("confidence").alias("confidence"))
+
+
+MULT_SQL = f"""{BANDS_SQL}, j AS (SELECT d.series_id, d.month_end, d.vol_z, b.c AS wave, b.c - lag(b.c) OVER (PARTITION BY d.series_id ORDER BY d.month_end) AS mom FROM det d JOIN wave_7y b USING (series_id, month_end)),
+mult AS (SELECT series_id, month_end, least(1.15, greatest(0.6, CASE WHEN vol_z > 1 THEN 0.75 WHEN vol_z > 0.5 THEN 0.85 WHEN vol_z < -0.5 THEN 1.05 ELSE 1.0 END * CASE WHEN wave > 0 AND mom < 0 THEN 0.9 WHEN wave < 0 AND mom > 0 THEN 1.05 ELSE 1.0 END)) AS multiplier FROM j)"""
+
+
+@query(f"""WITH {MULT_SQL}
+SELECT series_id, month_end, round(multiplier, 6) + 0.0 AS multiplier FROM mult""")
 def risk_multiplier(spark, sf):
-    w = W.by("series_id", "month_end")
-    rows = waves(spark, sf).withColumn("mom", W.diff(F.col("wave"), w))
-    return rows.select("series_id", "month_end", r(C.risk_multiplier(F.col("vol_z"), F.col("wave"), F.col("mom")), 6).alias("multiplier"))
+    return waves(spark, sf).select("series_id", "month_end", r("risk_multiplier", 6).alias("multiplier"))
 
 
-@query(f"WITH {BAND_SQL} SELECT d.series_id, d.date, round(last_value(b.wave IGNORE NULLS) OVER (PARTITION BY d.series_id ORDER BY d.date), 6) + 0.0 AS wave FROM daily d LEFT JOIN band b ON b.series_id = d.series_id AND b.month_end = last_day(d.date)")
+@query(f"WITH {DETREND_SQL}, {band_sql('wave_7y')} SELECT d.series_id, d.date, round(last_value(b.c IGNORE NULLS) OVER (PARTITION BY d.series_id ORDER BY d.date), 6) + 0.0 AS wave FROM daily d LEFT JOIN wave_7y b ON b.series_id = d.series_id AND b.month_end = last_day(d.date)")
 def cycle_daily(spark, sf):
     days = daily(spark, sf).select("series_id", "date")
-    return C.daily_expansion(days, waves(spark, sf), ["wave"]).select("series_id", "date", r("wave", 6).alias("wave"))
+    return C.daily_expansion(days, waves(spark, sf), ["wave_7y"]).select("series_id", "date", r("wave_7y", 6).alias("wave"))
 
 
 TRIG_SQL = f"""{DAILY_SQL}, t0 AS (SELECT series_id, date, value, CASE WHEN day(date) % 3 = 0 THEN 'DEFCON2' WHEN day(date) % 3 = 1 THEN 'NORMAL' END AS st, CAST(month(date) % 2 AS INT) AS e36, CAST(month(date) % 3 = 0 AS INT) AS e24, CAST(month(date) AS DOUBLE) * 2 AS mu FROM daily),
-t1 AS (SELECT *, {win("avg", "value", 20, 10, _DOVER)} AS sma, value / nullif(lag(value) {_DW}, 0) - 1 AS ret, value / nullif(lag(value, 3) {_DW}, 0) - 1 AS mf, value / nullif(lag(value, 12) {_DW}, 0) - 1 AS ms, value / nullif(lag(value, 25) {_DW}, 0) - 1 AS runup, last_value(st IGNORE NULLS) {_DW} AS state FROM t0),
-t2 AS (SELECT *, value / nullif(sma, 0) - 1 AS ox, {win("stddev_samp", "ret", 10, 4, _DOVER)} * sqrt(252) AS va FROM t1),
-t3 AS (SELECT *, (ox - {win("avg", "ox", 25, 12, _DOVER)}) / nullif({win("stddev_samp", "ox", 25, 12, _DOVER)}, 0) AS oz, (va - {win("avg", "va", 25, 12, _DOVER)}) / nullif({win("stddev_samp", "va", 25, 12, _DOVER)}, 0) AS vz FROM t2),
-t4 AS (SELECT *, coalesce(oz > 0.5, false) AS ov, coalesce(mf < 0 AND ms > 0, false) AS slowing, coalesce(runup > 0.2, false) AS ran, coalesce(value < sma, false) AS broken, coalesce(vz > 1, false) AS wild, coalesce(vz <= 0.75, false) AS calm, coalesce(state IN ('DEFCON1', 'DEFCON2'), false) AS macro, mu <= 12 AS near FROM t3),
+t1 AS (SELECT *, {win("avg", "value", 200, 100, _DOVER)} AS sma, value / nullif(lag(value) {_DW}, 0) - 1 AS ret, value / nullif(lag(value, 21) {_DW}, 0) - 1 AS mf, value / nullif(lag(value, 126) {_DW}, 0) - 1 AS ms, value / nullif(lag(value, 252) {_DW}, 0) - 1 AS runup, last_value(st IGNORE NULLS) {_DW} AS state FROM t0),
+t2 AS (SELECT *, value / nullif(sma, 0) - 1 AS ox, {win("stddev_samp", "ret", 63, 21, _DOVER)} * sqrt(252) AS va FROM t1),
+t3 AS (SELECT *, (ox - {win("avg", "ox", 252, 126, _DOVER)}) / nullif({win("stddev_samp", "ox", 252, 126, _DOVER)}, 0) AS oz, (va - {win("avg", "va", 252, 126, _DOVER)}) / nullif({win("stddev_samp", "va", 252, 126, _DOVER)}, 0) AS vz FROM t2),
+t4 AS (SELECT *, coalesce(oz > 1.6, false) AS ov, coalesce(mf < 0 AND ms > 0, false) AS slowing, coalesce(runup > 0.2, false) AS ran, coalesce(value < sma, false) AS broken, coalesce(vz > 1, false) AS wild, coalesce(vz <= 0.75, false) AS calm, coalesce(state IN ('DEFCON1', 'DEFCON2'), false) AS macro, mu <= 12 AS near FROM t3),
 trig AS (SELECT *, CAST(macro AND (broken OR wild) AS INT) AS fear_trigger, CAST((e36 = 1 AND calm AND ov AND slowing AND ran) OR (e24 = 1 AND calm AND ov AND slowing) OR (near AND calm AND ov AND slowing) AS INT) AS euphoria_trigger,
  least(3, macro::INT + broken::INT + wild::INT) AS fear_level, near::INT + ov::INT + coalesce(runup > 0.35, false)::INT AS euphoria_level, macro::INT AS macro_risk FROM t4)"""
 
@@ -109,7 +140,7 @@ trig AS (SELECT *, CAST(macro AND (broken OR wild) AS INT) AS fear_trigger, CAST
 def trigger_days(spark, sf) -> DataFrame:
     k, m = F.dayofmonth("date") % 3, F.month("date")
     rows = daily(spark, sf).withColumns({"state": F.when(k == 0, "DEFCON2").when(k == 1, "NORMAL"), "euphoria_window_36m": m % 2, "euphoria_window_24m": (m % 3 == 0).cast("int"), "months_until_euphoria": m.cast("double") * 2})
-    return C.triggers(rows, 20, 10, 25, 12, 3, 12, 10, 4, 25, z_over=0.5)
+    return C.triggers(rows)
 
 
 @query(f"WITH {TRIG_SQL} SELECT series_id, date, fear_trigger, euphoria_trigger, fear_level, euphoria_level, macro_risk FROM trig")
@@ -152,26 +183,33 @@ def _erf(x: str) -> str:
 _CDF = lambda h, mu, sg: f"0.5 * (1 + {_erf(f'(({math.log(h)} - {mu}) / ({sg} * sqrt(2.0)))')})"
 
 
-@query(f"""WITH {TRIG_SQL}, x AS (SELECT series_id, date, fear_trigger, fear_level, euphoria_trigger, euphoria_level, macro_risk, mu AS me, CASE WHEN day(date) % 7 <> 0 THEN mu * 3 END AS mf, (day(date) % 10) / 10.0 AS cf FROM trig),
+TIMING_SQL = f"""{TRIG_SQL}, x AS (SELECT series_id, date, fear_trigger, fear_level, euphoria_trigger, euphoria_level, macro_risk, mu AS me, CASE WHEN day(date) % 7 <> 0 THEN mu * 3 END AS mf, (day(date) % 10) / 10.0 AS cf FROM trig),
 y AS (SELECT *, CASE WHEN mf IS NOT NULL THEN greatest(1.0, greatest(mf * 21, 30) * CASE WHEN fear_trigger > 0 OR fear_level > 0 OR macro_risk > 0 THEN 0.35 ELSE 1.0 END) END AS med, 0.25 + (1 - cf) AS sg, greatest(1.0, greatest(me * 21, 7) * CASE WHEN euphoria_trigger > 0 OR euphoria_level > 0 THEN 0.35 ELSE 1.0 END) AS mede FROM x),
-z AS (SELECT *, ln(med) AS lm, ln(mede) AS le FROM y)
+z AS (SELECT *, ln(med) AS lm, ln(mede) AS le FROM y)"""
+
+
+@query(f"""WITH {TIMING_SQL}
 SELECT series_id, date, CASE WHEN mf IS NULL THEN 'NO_FEATURES' WHEN cf < 0.25 THEN 'LOW_CONF' ELSE 'OK' END AS status_crisis, round(CASE WHEN mf IS NULL THEN NULL WHEN macro_risk = 1 THEN 1.0 ELSE least(1, greatest(0, {_CDF(63, "lm", "sg")})) END, 6) + 0.0 AS p_crisis_3m,
  round(CASE WHEN euphoria_trigger = 1 THEN 1.0 ELSE least(1, greatest(0, {_CDF(252, "le", "0.95")})) END, 6) + 0.0 AS p_euphoria_1y, round_even(med, 0) AS eta_days, date + CAST(floor(med) AS INT) AS eta_date, date + CAST(floor(exp(lm - sg * 0.6744897501960817)) AS INT) AS mode_start FROM z""")
 def timing_probs(spark, sf):
+    t = timing_days(spark, sf)
+    return t.select("series_id", "date", "status_crisis", r("p_crisis_within_3m", 6).alias("p_crisis_3m"), r("p_euphoria_within_1y", 6).alias("p_euphoria_1y"), F.col("eta_crisis_median_days").alias("eta_days"), F.col("eta_crisis_median_date").alias("eta_date"), F.col("crisis_mode_start").alias("mode_start"))
+
+
+def timing_days(spark, sf) -> DataFrame:
     day = F.dayofmonth("date")
     rows = trigger_days(spark, sf).withColumns({"months_until_fear": F.when(day % 7 != 0, F.col("months_until_euphoria") * 3), "confidence_fear": (day % 10) / 10.0, "confidence_euphoria": F.lit(0.3)})
-    t = M.timing(rows)
-    return t.select("series_id", "date", "status_crisis", r("p_crisis_within_3m", 6).alias("p_crisis_3m"), r("p_euphoria_within_1y", 6).alias("p_euphoria_1y"), F.col("eta_crisis_median_days").alias("eta_days"), F.col("eta_crisis_median_date").alias("eta_date"), F.col("crisis_mode_start").alias("mode_start"))
+    return M.timing(rows)
 
 
 FEAT_SQL = f"""{DAILY_SQL}, c0 AS (SELECT series_id, date, CASE WHEN series_id IN ('1-URGENT', '2-HIGH') THEN ln(CASE WHEN value > 0 THEN value END) ELSE value END AS x FROM daily),
-c1 AS (SELECT *, x - {win("avg", "x", 60, 30, _DOVER)} AS resid, x - lag(x) {_DW} AS dx FROM c0),
-c2 AS (SELECT *, resid / nullif({win("stddev_pop", "resid", 60, 30, _DOVER)}, 0) AS cycle_z, {win("stddev_pop", "dx", 12, 10, _DOVER)} AS vol FROM c1),
-feats AS (SELECT *, cycle_z - lag(cycle_z, 5) {_DW} AS slope_1m, (vol - {win("avg", "vol", 60, 30, _DOVER)}) / nullif({win("stddev_pop", "vol", 60, 30, _DOVER)}, 0) AS vol_z FROM c2)"""
+c1 AS (SELECT *, x - {win("avg", "x", 756, 378, _DOVER)} AS resid, x - lag(x) {_DW} AS dx FROM c0),
+c2 AS (SELECT *, resid / nullif({win("stddev_pop", "resid", 756, 378, _DOVER)}, 0) AS cycle_z, {win("stddev_pop", "dx", 63, 31, _DOVER)} AS vol FROM c1),
+feats AS (SELECT *, cycle_z - lag(cycle_z, 21) {_DW} AS slope_1m, (vol - {win("avg", "vol", 756, 378, _DOVER)}) / nullif({win("stddev_pop", "vol", 756, 378, _DOVER)}, 0) AS vol_z FROM c2)"""
 
 
 def features(spark, sf) -> DataFrame:
-    return M.cycle_features(daily(spark, sf), ["1-URGENT", "2-HIGH"], 60, 5, 12)
+    return M.cycle_features(daily(spark, sf), ["1-URGENT", "2-HIGH"])
 
 
 @query(f"WITH {FEAT_SQL} SELECT series_id, date, round(cycle_z, 5) + 0.0 AS cycle_z, round(slope_1m, 5) + 0.0 AS slope_1m, round(vol_z, 5) + 0.0 AS vol_z FROM feats")
@@ -190,24 +228,3 @@ def auc_score(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("series_id"), "o_orderkey", F.col("o_totalprice").alias("p"))
     rows = o.withColumn("y", (((F.col("o_orderkey") * 7919) % 11 < 3) | (F.col("p") > 350000)).cast("int"))
     return M.auc(rows, "y", "p", "o_orderkey", ["series_id"]).select("series_id", r("auc", 6).alias("auc"))
-
-
-@query()
-def logit_probs(spark, sf):
-    """Probability of a high price in 21 observations, from each series' own features; WARMUP without one for series of under 100 labels."""
-    rows = features(spark, sf).withColumn("label", (F.col("value") > 150000).cast("double"))
-    rows = M.lead_label(rows, "label", [21], "series_id")
-    ids = sorted(s for (s,) in rows.select("series_id").distinct().collect())
-    parts = [forecast(rows.filter(F.col("series_id") == s)) for s in ids]
-    return reduce(DataFrame.unionByName, parts) if parts else forecast(rows)
-
-
-def forecast(rows: DataFrame) -> DataFrame:
-    """One series' model and its probabilities."""
-    rows = M.standardised(rows, ["cycle_z", "slope_1m", "vol_z"])
-    model = M.ridge_logit(rows, ["cycle_z", "slope_1m", "vol_z"], "label_21", least=100)
-    if model is None:
-        return rows.select("series_id", "date", F.lit(None).cast("double").alias("p"), F.lit("WARMUP").alias("status"))
-    return M.predict(rows, model, ["cycle_z", "slope_1m", "vol_z"]).select("series_id", "date", r("p", 6).alias("p"), F.lit("OK").alias("status"))
-
-

@@ -17,7 +17,7 @@ SENSORS = (
     S.Sensor("CURVE", "curve"), S.Sensor("2-HIGH", "spread", 150000.0), S.Sensor("3-MEDIUM", "activity", 170000.0, "1W", True),
     S.Sensor("4-NOT SPECIFIED", "ratio", 0.0, "1W", True), S.Sensor("5-LOW", "sentiment", 200000.0, "1D", True), S.Sensor("1-URGENT", "hard", 480000.0),
 )
-MA, BACK = 20, 5
+MA, BACK = 200, 20
 
 _OVER = "OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 _W = "OVER (PARTITION BY series_id ORDER BY date)"
@@ -113,17 +113,17 @@ def reasons_record(spark, sf):
 
 
 TREND_SQL = f"""rets AS (SELECT series_id, date, value, value / nullif(lag(value) {_W}, 0) - 1 AS ret FROM daily),
-trend0 AS (SELECT series_id, date, value AS price, CASE WHEN count(value) {_OVER.format(n=19)} >= 20 THEN avg(value) {_OVER.format(n=19)} END AS ma, CASE WHEN count(ret) {_OVER.format(n=19)} >= 20 THEN stddev_samp(ret) {_OVER.format(n=19)} * sqrt(252) END AS vol_ann FROM rets),
+trend0 AS (SELECT series_id, date, value AS price, CASE WHEN count(value) {_OVER.format(n=199)} >= 200 THEN avg(value) {_OVER.format(n=199)} END AS ma, CASE WHEN count(ret) {_OVER.format(n=19)} >= 20 THEN stddev_samp(ret) {_OVER.format(n=19)} * sqrt(252) END AS vol_ann FROM rets),
 trend AS (SELECT *, CASE WHEN price >= ma THEN 'UP' WHEN price < ma THEN 'DOWN' ELSE 'UNKNOWN' END AS signal FROM trend0)"""
 
 
 def trends(spark, sf) -> DataFrame:
-    return S.trend(daily(spark, sf), 20, 20)
+    return S.trend(daily(spark, sf))
 
 
-@query(f"WITH {DAILY_SQL}, {TREND_SQL} SELECT series_id, date, round(price, 4) + 0.0 AS price, round(ma, 4) + 0.0 AS ma, signal, round(vol_ann, 5) + 0.0 AS vol_ann FROM trend")
+@query(f"WITH {DAILY_SQL}, {TREND_SQL} SELECT series_id, date, round(price, 4) + 0.0 AS price, round(ma, 6) + 0.0 AS ma, signal, round(vol_ann, 5) + 0.0 AS vol_ann FROM trend")
 def trend_signal(spark, sf):
-    return trends(spark, sf).select("series_id", "date", r("price").alias("price"), r("ma").alias("ma"), "signal", r("vol_ann", 5).alias("vol_ann"))
+    return trends(spark, sf).select("series_id", "date", r("price").alias("price"), r("ma", 6).alias("ma"), "signal", r("vol_ann", 5).alias("vol_ann"))
 
 
 ALLOC_SQL = f"""{DAILY_SQL}, {TREND_SQL}, st AS (SELECT *, CASE day(date) % 4 WHEN 0 THEN 'NORMAL' WHEN 1 THEN 'DEFCON2' WHEN 2 THEN 'DEFCON1' ELSE 'WARMUP' END AS state FROM trend)"""
@@ -161,17 +161,30 @@ def bond_index(spark, sf):
     return P.bond_index(y, DEFAULT.bond2_duration).select("series_id", "date", r("value", 5).alias("value"))
 
 
-PORT_SQL = f"""{DAILY_SQL}, ds AS (SELECT DISTINCT date FROM daily), ids AS (SELECT DISTINCT series_id FROM daily), grid AS (SELECT ds.date, ids.series_id, value FROM ds CROSS JOIN ids LEFT JOIN daily USING (date, series_id)),
+#: Assets for the portfolio: three groups of orders, whose lines ship on nearly every day, as windows of 200 rows need them.
+PRICE_SQL = "daily AS (SELECT 'A' || (l_orderkey % 3) AS series_id, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL)"
+ASSETS, RISK = ("A0", "A1", "A2"), ("A0", "A1")
+
+
+def prices(spark, sf) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    return lines.groupBy(F.concat(F.lit("A"), (F.col("l_orderkey") % 3).cast("string")).alias("series_id"), F.col("l_shipdate").cast("date").alias("date")).agg(F.max("l_extendedprice").alias("value"))
+
+
+PORT_SQL = f"""{PRICE_SQL}, ds AS (SELECT DISTINCT date FROM daily), ids AS (SELECT DISTINCT series_id FROM daily), grid AS (SELECT ds.date, ids.series_id, value FROM ds CROSS JOIN ids LEFT JOIN daily USING (date, series_id)),
 g1 AS (SELECT *, value / nullif(lag(value) {_W}, 0) - 1 AS ret FROM grid),
-g2 AS (SELECT *, CASE WHEN count(value) {_OVER.format(n=3)} >= 4 THEN avg(value) {_OVER.format(n=3)} END AS ma, CASE WHEN count(ret) {_OVER.format(n=2)} >= 3 THEN stddev_samp(ret) {_OVER.format(n=2)} * sqrt(252) END AS vol_ann FROM g1),
-g3 AS (SELECT *, greatest(0, CASE WHEN coalesce(value >= ma, false) AND coalesce(vol_ann > 0, false) THEN least(2.0, 5.0 / vol_ann) ELSE 0 END * CASE WHEN series_id IN ('1-URGENT', '2-HIGH') THEN CASE WHEN day(date) % 4 = 3 THEN 0.0 ELSE 1.0 END ELSE 1.0 END) AS raw_weight FROM g2),
+g2 AS (SELECT *, CASE WHEN count(value) {_OVER.format(n=199)} >= 200 THEN avg(value) {_OVER.format(n=199)} END AS ma, CASE WHEN count(ret) {_OVER.format(n=19)} >= 20 THEN stddev_samp(ret) {_OVER.format(n=19)} * sqrt(252) END AS vol_ann FROM g1),
+g3 AS (SELECT *, greatest(0, CASE WHEN coalesce(value >= ma, false) AND coalesce(vol_ann > 0, false) THEN least(2.0, 0.35 / vol_ann) ELSE 0 END * CASE WHEN series_id IN ('A0', 'A1') THEN CASE WHEN day(date) % 4 = 3 THEN 0.0 ELSE 1.0 END ELSE 1.0 END) AS raw_weight FROM g2),
 g4 AS (SELECT *, sum(raw_weight) OVER (PARTITION BY date) AS total FROM g3),
 port AS (SELECT *, CASE WHEN total > 2.0 THEN raw_weight * 2.0 / total ELSE raw_weight END AS weight FROM g4)"""
 
 
-def portfolio(spark, sf) -> DataFrame:
-    rows = with_state(P.price_grid(daily(spark, sf)))
-    return P.scale_gross(P.asset_weights(rows, P.macro_multiplier(F.col("state")), ["1-URGENT", "2-HIGH"], ma_window=4, vol_window=3, target=5.0)).withColumn("portfolio", F.lit("all"))
+def portfolio(spark, sf, multipliers: DataFrame | None = None) -> DataFrame:
+    """multipliers: date, risk_multiplier; the latest of each day scales the risk assets."""
+    rows, macro = with_state(P.price_grid(prices(spark, sf), ASSETS)), P.macro_multiplier(F.col("state"))
+    if multipliers is not None:
+        rows, macro = P.with_multiplier(rows, multipliers), macro * F.col("risk_multiplier")
+    return P.scale_gross(P.asset_weights(rows, macro, RISK)).withColumn("portfolio", F.lit("all"))
 
 
 @query(f"WITH {PORT_SQL} SELECT date, series_id, round(weight, 6) + 0.0 AS weight, round(sum(weight) OVER (PARTITION BY date), 6) + 0.0 AS gross, round(1 - sum(weight) OVER (PARTITION BY date), 6) + 0.0 AS cash FROM port")

@@ -77,7 +77,8 @@ def ratio_fill(spark, sf):
     return prep.ratio_fill(p, "ratio", "1-URGENT", "2-HIGH").select("date", r("ratio", 6).alias("ratio"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, upper(event_type) AS s, epoch_us(ts) // 1000 AS ms, event_id % 4 AS k FROM events) SELECT event_id, k <> 3 AS valid, CASE WHEN k <> 3 THEN CASE s WHEN 'VIEW' THEN 'PAGE_VIEW' ELSE s END END AS series_id,
+CASE WHEN k = 1 THEN ms WHEN k <> 3 THEN ms // 1000 * 1000 END AS time_utc_ms FROM e""")
 def json_loose_parse(spark, sf):
     """Payloads of four shapes made from the events: aliases, bare times, epoch seconds, and broken text."""
     e = table(spark, sf, "events")

@@ -58,11 +58,17 @@ def sniff_assets(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", head.alias("head")).filter(hit).select("path").orderBy("path")
 
 
-def observations(wide: DataFrame, time: str, columns: dict[str, str], interval: str) -> DataFrame:
-    """Long observations from a wide table of text: columns maps a column to its series; cells that are no number are left out."""
+def observations(wide: DataFrame, time: str, columns: dict[str, str], interval: str, intervals: dict[str, str] | None = None, whole_days: bool = False) -> DataFrame:
+    """Long observations from a wide table of text: columns maps a column to its series; cells that are no number are left out.
+
+    intervals: series whose interval is another one; whole_days: times are set to 00:00 UTC of their day."""
     picked = wide.select(F.col(time).alias("time"), *[F.col(c).cast("string").alias(s) for c, s in columns.items()])
     long = picked.unpivot(["time"], list(columns.values()), "series_id", "text")
-    out = long.select("series_id", to_ms(F.col("time").cast("string")).alias("time_utc_ms"), F.lit(interval).alias("interval"), num(F.col("text")).alias("value"))
+    ms, own = to_ms(F.col("time").cast("string")), F.lit(interval)
+    for series, i in (intervals or {}).items():
+        own = F.when(F.col("series_id") == series, i).otherwise(own)
+    ms = ms - F.pmod(ms, F.lit(86400000)) if whole_days else ms
+    out = long.select("series_id", ms.alias("time_utc_ms"), own.alias("interval"), num(F.col("text")).alias("value"))
     return out.filter("time_utc_ms is not null and value is not null")
 
 
@@ -87,8 +93,9 @@ def read_combined(spark: SparkSession, paths: dict[str, str], columns: dict[str,
     return out.groupBy("series_id", "interval", day.cast("long").alias("day")).agg(F.max_by("value", "time_utc_ms").alias("value"), F.max("time_utc_ms").alias("time_utc_ms")).select("series_id", "time_utc_ms", "interval", "value")
 
 
-def read_any(spark: SparkSession, path: str, interval: str = "1D", columns: dict[str, str] | None = None, series: str | None = None) -> DataFrame | None:
-    """A file of any of three shapes: wide assets (every column a series), combined (columns given), or a single series with close; else None."""
+def read_any(spark: SparkSession, path: str, interval: str = "1D", columns: dict[str, str] | None = None, series: str | None = None, intervals: dict[str, str] | None = None) -> DataFrame | None:
+    """A file of any of three shapes: wide assets (every column a series), combined (columns given, with the intervals of some
+    series), or a single series with close; else None."""
     df = read_csv(spark, path)
     names = [c for c in df.columns if c != "time"]
     if "time" not in df.columns:
@@ -96,7 +103,7 @@ def read_any(spark: SparkSession, path: str, interval: str = "1D", columns: dict
     if any(m in c for c in names for m in ASSET_MARKS):
         return observations(df, "time", {c: c for c in names}, "1D")
     if columns and (known := {c: s for c, s in columns.items() if c in names}):
-        return observations(df, "time", known, interval)
+        return observations(df, "time", known, interval, intervals)
     if "close" in names and series:
         return observations(df, "time", {"close": series}, interval)
     return None
@@ -113,3 +120,34 @@ def restore_states(csv: DataFrame) -> DataFrame:
     flag = lambda c: F.coalesce(num(F.col(c)) > 0, F.lower(c) == "true", F.lit(False))
     reasons = F.struct(num(F.col("score")).alias("raw_score"), F.filter(F.split("triggers", r" \| "), lambda x: x != "").alias("triggers"), flag("hard_defcon1").alias("hard"), F.struct(F.col("action"), num(F.col("equity_weight")).alias("equity_weight")).alias("allocation"))
     return csv.select(F.col("as_of_date").try_cast("date").alias("as_of_date"), "state", num(F.col("score")).alias("score"), F.to_json(reasons).alias("reasons")).filter("as_of_date is not null")
+
+
+def find_folder(spark: SparkSession, base: str, names: Sequence[str], escaped: str | None = None) -> str:
+    """The first of the named folders below base that exists; else one that an archive's escapes left (its name starts with #U and holds
+    `escaped`); else the first name, which may not exist. base may be in any store that Spark reads."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        path = f"{base.rstrip('/')}/{name}"
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+            return path
+    if escaped and files.exists(root):
+        left = sorted(s.getPath().getName() for s in files.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("#U") and escaped in s.getPath().getName())
+        if left:
+            return f"{base.rstrip('/')}/{left[0]}"
+    return f"{base.rstrip('/')}/{names[0]}"
+
+
+def preferred(first: DataFrame | None, second: DataFrame | None) -> DataFrame | None:
+    """The first source if it has rows, else the second."""
+    return second if first is None or (second is not None and first.isEmpty()) else first
+
+
+def read_timing_input(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of daily features for timing(): its key is `date`, else `time`, else the first column; numbers are parsed, and what is no
+    number is null. None where the file has no rows."""
+    df = read_csv(spark, path)
+    if not df.columns or df.isEmpty():
+        return None
+    key = next((c for c in ("date", "time") if c in df.columns), df.columns[0])
+    return df.select(F.substring(F.col(f"`{key}`"), 1, 10).try_cast("date").alias("date"), *[num(F.col(f"`{c}`")).alias(c) for c in df.columns if c != key]).filter("date is not null")
