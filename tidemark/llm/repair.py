@@ -32,51 +32,65 @@ SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 
 
+def frequent_pairs(seq: np.ndarray, ends: np.ndarray, turn: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to `most` pairs of neighbours that recur at least `least` times, by counts under a hash, another one each turn: the pairs,
+    their places in seq, and the pair at each place. Of pairs that share a hash one is found, most likely the frequent one."""
+    slot = seq[:-1] * np.uint32(0x9E3779B1 + 2 * turn)
+    slot ^= slot >> np.uint32(15)
+    slot += seq[1:]
+    slot *= np.uint32(0x85EBCA77)
+    slot = (slot >> np.uint32(32 - SLOT_BITS)).view(np.int32)
+    slot[ends[:-1] - 1] = SLOTS  # pairs across two documents
+    counts = np.bincount(slot, minlength=SLOTS + 1)[:SLOTS]
+    top = np.flatnonzero(counts >= least)
+    if len(top) > most:
+        top = top[np.argpartition(counts[top], -most)[-most:]]
+    hot = np.zeros(SLOTS + 1, bool)
+    hot[top] = True
+    at = np.flatnonzero(hot[slot])
+    own, mine = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1], slot[at]
+    shown = np.zeros(SLOTS, np.uint64)
+    shown[mine] = own
+    fits = shown[mine] == own
+    at, mine = at[fits], mine[fits]
+    counts = np.bincount(mine, minlength=SLOTS)
+    top = top[counts[top] >= least]
+    number = np.full(SLOTS, -1, np.int32)
+    number[top] = np.arange(len(top))
+    where = number[mine]
+    return shown[top], at[where >= 0], where[where >= 0]
+
+
+def exact_pairs(seq: np.ndarray, ends: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with every pair counted by itself."""
+    at = np.ones(len(seq) - 1, bool)
+    at[ends[:-1] - 1] = False
+    at = np.flatnonzero(at)
+    pairs, which, n = np.unique((seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1], return_inverse=True, return_counts=True)
+    top = np.flatnonzero(n >= least)
+    if len(top) > most:
+        top = top[np.argpartition(n[top], -most)[-most:]]
+    number = np.full(len(pairs), -1, np.int32)
+    number[top] = np.arange(len(top))
+    where = number[which]
+    return pairs[top], at[where >= 0], where[where >= 0]
+
+
 def compress(seq: np.ndarray, ends: np.ndarray, first: int, per_round: int, least: int, symbols: int = 1 << 16):
     """seq: ids; ends: index after each document's last id. Gives rules (n x 2), lengths, the rewritten seq and its ends.
 
-    Pairs are counted by a hash, another one each round. It ends when no count reaches least, so no pair does, or at `symbols` symbols."""
+    Pairs are counted by a hash, as long as that finds many, then exactly. It ends when no pair recurs `least` times, or at `symbols` symbols."""
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    seq, turn = seq.astype(np.uint32), 0
+    seq, turn, exact = seq.astype(np.uint32), 0, False
     while len(seq) > 1 and first + len(rules) < symbols:
-        slot = seq[:-1] * np.uint32(0x9E3779B1 + 2 * turn)
-        slot ^= slot >> np.uint32(15)
-        slot += seq[1:]
-        slot *= np.uint32(0x85EBCA77)
-        slot = (slot >> np.uint32(32 - SLOT_BITS)).view(np.int32)
-        turn += 1
-        slot[ends[:-1] - 1] = SLOTS  # pairs across two documents
-        counts = np.bincount(slot, minlength=SLOTS + 1)[:SLOTS]
         most = min(per_round, symbols - first - len(rules))
-        top = np.flatnonzero(counts >= least)
-        if len(top) > most:
-            top = top[np.argpartition(counts[top], -most)[-most:]]
-        if not len(top):
+        pairs, at, where = exact_pairs(seq, ends, most, least) if exact else frequent_pairs(seq, ends, turn, most, least)
+        turn += 1
+        if not exact and 4 * len(pairs) < most:
+            exact = True
+            continue
+        if not len(pairs):
             break
-        hot = np.zeros(SLOTS + 1, bool)
-        hot[top] = True
-        at = np.flatnonzero(hot[slot])
-        own, mine = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1], slot[at]
-        shown = np.zeros(SLOTS, np.uint64)
-        shown[mine] = own  # one pair speaks for its slot, most likely the frequent one; the others wait for another round's hash
-        fits = shown[mine] == own
-        counts = np.bincount(mine[fits], minlength=SLOTS)
-        top = top[counts[top] >= least]
-        if not len(top):  # the slots' counts were those of several pairs: take the pair of the highest count, if one reaches least
-            pairs, n = np.unique(own, return_counts=True)
-            if n.max() < least:
-                if hot.sum() < most:
-                    break
-                per_round *= 2
-                continue
-            best = pairs[n.argmax()]
-            fits, top = own == best, mine[own == best][:1]
-            shown[top] = best
-        at, mine = at[fits], mine[fits]
-        number = np.full(SLOTS, -1, np.int32)
-        number[top] = np.arange(len(top))
-        pairs, where = shown[top], number[mine]
-        at, where = at[where >= 0], where[where >= 0]
         begin = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of runs of overlapping pairs; every second of a run is replaced
         odd = (np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) & 1
         at, where = at[odd == 0], where[odd == 0]
