@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, staged, table
+from .common import discard, n_words, staged, table
 
 #: The contract's weights, repeated along the sorted sources.
 WEIGHTS = (3, 1, 2)
@@ -85,7 +85,19 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("shard", F.inline("node"))
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = 16, seed: int = 7, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def within_groups(rows: DataFrame, per_salt: int) -> DataFrame:
+    """Numbers the rows of each group (sk, key, size; m rows) from 0 as nth. Large groups are numbered salt by salt, about per_salt rows each."""
+    key = ["sk", "key", "size"]
+    alone = rows.filter("m = 1").withColumn("nth", F.lit(0).cast("long"))
+    several = rows.filter("m > 1").withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / per_salt)).cast("int"))
+    sizes = several.groupBy(*key, "salt").agg(F.count(F.lit(1)).alias("in_salt"))
+    offsets = sizes.select(*key, "salt", F.coalesce(F.sum("in_salt").over(W.partitionBy(*key).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    number = F.row_number().over(W.partitionBy(*key, "salt").orderBy("row")) - 1
+    numbered = several.withColumn("number", number).join(offsets, [*key, "salt"]).withColumn("nth", (F.col("number") + F.col("offset")).cast("long"))
+    return alone.unionByName(numbered.select(alone.columns))
+
+
+def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = 16, seed: int = 7, share: float = 1.5, most: float = 2.0, per_salt: int = 10_000) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, copies, taken, shards, and the columns of carry.
 
     size counts runs of other characters than white space (null text: 0); taken is copies times size, shards holds the
@@ -102,10 +114,16 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = 16, seed: in
     source = staged(source.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "mix-sources")
     earlier = W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = buckets.select("sk", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"))
-    inside = W.partitionBy("sk", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    ranked = rows.withColumns({"run": F.sum("size").over(inside) - F.col("size"), "nth": F.row_number().over(inside) - 1}).join(starts, ["sk", "bucket"]).join(source, "sk")
-    extra = (F.col("rest") > 0) & (F.col("words_before") + F.col("run") + F.col("size") / 2 <= F.col("rest"))
-    ranked = ranked.withColumns({"rank": F.col("n_before") + F.col("nth"), "extra": extra.cast("int")})
+    # rows of one key and size are interchangeable: they are ranked as one group, so that no task holds all rows of a repeated id
+    inside = W.partitionBy("sk", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    groups = rows.groupBy("sk", "bucket", "key", "size").agg(F.count(F.lit(1)).alias("m"))
+    groups = groups.withColumns({"words_in": F.coalesce(F.sum(F.col("size") * F.col("m")).over(inside), F.lit(0)), "n_in": F.coalesce(F.sum("m").over(inside), F.lit(0))})
+    groups = staged(groups.join(starts, ["sk", "bucket"]).drop("bucket"), "mix-groups")
+    placed = within_groups(rows.drop("bucket").join(groups, ["sk", "key", "size"]), per_salt).join(source, "sk")
+    discard(buckets)
+    run = F.col("words_before") + F.col("words_in") + F.col("nth") * F.col("size")
+    extra = (F.col("rest") > 0) & (run + F.col("size") / 2 <= F.col("rest"))
+    ranked = placed.withColumns({"rank": F.col("n_before") + F.col("n_in") + F.col("nth"), "extra": extra.cast("int")})
     ranked = staged(ranked.select("sk", "doc_id", "size", "source_size", "target", "n_docs", "full", "extra", "rank", "row"), "mix-ranked")
     quotas = ranked.groupBy("sk").agg((F.max("full") * F.max("n_docs") + F.sum("extra")).cast("long").alias("q"))
     runs = split_quotas(quotas, shards, seed).withColumn("end", F.sum("n").over(W.partitionBy("sk").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)))

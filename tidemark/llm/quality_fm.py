@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, epochs: in
                 cut = lambda a, kind: pa.array([a[i:j].astype(kind).tobytes() for i, j in zip(indptr, indptr[1:])], pa.binary())  # noqa: E731, B023
                 yield pa.record_batch([part["doc_id"], part["quality"], cut(indices, "<u2"), cut(values, "<f4")], names=["doc_id", "quality", "indices", "values"])
 
-    found = rows.select("doc_id", "text", "n_chars", F.col("quality").cast("int").alias("quality")).mapInArrow(extract, "doc_id bigint, quality int, indices binary, `values` binary").orderBy("doc_id").limit(2 * train_rows).toArrow().to_pylist()
+    found = rows.select("doc_id", "text", "n_chars", F.col("quality").cast("int").alias("quality")).mapInArrow(extract, "doc_id bigint, quality int, indices binary, `values` binary").orderBy("doc_id", "indices", "values").limit(2 * train_rows).toArrow().to_pylist()
     return fit([(np.frombuffer(r["indices"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), r["quality"]) for r in found], epochs)
 
 
@@ -143,7 +143,9 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7, carry: tuple[str
 
 
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.7) -> DataFrame:
-    """Fits on the labels and scores every document. An empty table gives no rows; other columns and the labels never enter a score."""
+    """Fits on the labels and scores every document: doc_id, held_out, score, predicted. An empty table gives no rows, a table without
+    usable labels the same score for all; other columns and the labels never enter a score. A null text counts as empty, a null doc_id has no
+    label and is not held out; repeated rows are scored each, the same."""
     return score(docs, train(docs, labels, train_rows), threshold)
 
 

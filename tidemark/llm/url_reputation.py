@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, staged, table
 
 #: Fixed values: (verdict, host, path) of the contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -55,7 +55,8 @@ def strength(children: DataFrame, low: float = 2.0, high: float = 1000.0) -> flo
 def host_reputation(pages: DataFrame, z: float = 1.645) -> DataFrame:
     """pages: host and good (1, 0 or null for unlabelled). One row for each host: n, good, mean and bound of its posterior."""
     domain, suffix = levels(F.col("host"))
-    hosts = pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).withColumns({"domain": domain, "suffix": suffix})
+    hosts = pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    hosts = staged(hosts.withColumns({"domain": domain, "suffix": suffix}), "url-hosts")  # a row a host; all that follows reads only these
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
