@@ -143,8 +143,8 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7, carry: tuple[str
 
 
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, threshold: float = 0.7) -> DataFrame:
-    """Fits on the labels and scores every document: doc_id, held_out, score, predicted. An empty table gives no rows, a table without
-    usable labels the same score for all; other columns and the labels never enter a score. A null text counts as empty, a null doc_id has no
+    """Fits on the labels and scores every document: doc_id, held_out, score, predicted. An empty table gives no rows; without
+    usable labels all scores are about one half; other columns and the labels never enter a score. A null text counts as empty, a null doc_id has no
     label and is not held out; repeated rows are scored each, the same."""
     return score(docs, train(docs, labels, train_rows), threshold)
 
