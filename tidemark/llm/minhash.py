@@ -141,29 +141,23 @@ def set_table(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 sets = shingle_sets(batch.slice(at, GROUP)["text"].to_pylist())
-                yield pa.record_batch([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "items"])
+                ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                items = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.record_batch([pa.array([digest_of(s) for s in sets], pa.binary()), items], names=["class", "items"])
 
     wanted = nodes.join(needed, "node", "left_semi").select("node", "doc_id", "class")
     texts = docs.select(named(docs), "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")  # both sides grow with the corpus: never broadcast
-    sets = texts.mapInArrow(run, "class binary, items binary").join(wanted.select("class", "node").hint("merge"), "class")
+    sets = texts.mapInArrow(run, "class binary, items array<bigint>").join(wanted.select("class", "node").hint("merge"), "class")
     return staged(sets.groupBy("class").agg(F.first("node").alias("node"), F.first("items").alias("items")).select("node", "items"), "near-sets")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs a, b whose full sets have 100 times the intersection at least 75 times the union."""
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["xs"], b["ys"]):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-            yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     sets = set_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
     x, y = sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), sets.select(F.col("node").alias("b"), F.col("items").alias("ys"))
-    links = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "xs", "ys").mapInArrow(confirm, "a bigint, b bigint"), "near-links")
+    # the union is both sizes less the intersection
+    enough = 175 * F.size(F.array_intersect("xs", "ys")).cast("long") >= 75 * (F.size("xs") + F.size("ys")).cast("long")
+    links = staged(pairs.join(x, "a").join(y, "b").filter(enough).select("a", "b"), "near-links")
     discard(sets)
     return links
 
@@ -259,7 +253,7 @@ def within_families(family: DataFrame, label: DataFrame, nodes: DataFrame, docs:
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links between the left and the right block of one key, by the full sets."""
-        sets = [np.frombuffer(b, np.uint64) for b in pdf["items"]]
+        sets = [np.asarray(b, np.int64) for b in pdf["items"]]
         size, side = np.array([len(s) for s in sets]), pdf["left"].to_numpy()
         keys_, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         member = np.repeat(np.arange(len(sets)), size)
