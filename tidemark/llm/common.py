@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
@@ -69,3 +71,18 @@ def ascii_lower(c: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of maximal runs of other characters than WHITE; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def ranked(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """rows with `rank`, from 0 in each group by `order`, and `n`, the group's rows. The last column of order tells all rows apart.
+
+    Rows are dealt by ranges of group and order, so a hot group is spread over many tasks; each task numbers its own sorted rows, and the
+    counts of the ranges before give the rest: a row a range and group. rows is read twice (ranges are sampled), so stage it before."""
+    keys = [group, *order]
+    sorted_ = rows.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    placed = staged(sorted_.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(group).orderBy("_range")
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("_n").over(W.partitionBy(group))})
+    numbered = placed.join(counts.drop("_n"), [group, "_range"])
+    return numbered.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_first", "_before", "_range")
