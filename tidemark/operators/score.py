@@ -78,31 +78,36 @@ def day_scores(sensors_by_day: DataFrame, config: EngineConfig = DEFAULT, batch:
     return day.select("date", ready.alias("ready"), F.when(ready, F.col("points")).alias("raw"), (ready & F.col("hard")).alias("hard"), (ready & F.col("stale_critical")).alias("stale_critical"), F.concat_ws(" | ", "triggers").alias("triggers"))
 
 
+def step(before: tuple, day: tuple, c: EngineConfig) -> tuple[tuple, tuple]:
+    """before: state, raw score and the four streaks; day: ready, raw, hard, stale_critical. What the next day starts from, and the day's row."""
+    state, last, *counts = before
+    ready, raw, hard, stale = day
+    if not ready or raw is None or math.isnan(raw):
+        return ("WARMUP", None, 0, 0, 0, 0), ("WARMUP", None, None, False, state, 0, 0, 0, 0)
+    prev = "NORMAL" if state == "WARMUP" else state
+    held = bool(c.hold_last_score and stale and prev in ("DEFCON1", "DEFCON2") and last is not None and raw < last)
+    raw = last if held else raw
+    tests = (raw >= c.enter_2, raw >= c.enter_1, raw < c.leave_2, raw <= c.leave_1)
+    counts = [n + 1 if t else 0 for n, t in zip(counts, tests)]
+    state = prev
+    if hard or counts[1] >= c.days_enter and prev != "DEFCON1":
+        state = "DEFCON1"
+    elif prev == "NORMAL" and counts[0] >= c.days_enter:
+        state = "DEFCON2"
+    elif prev == "DEFCON2" and counts[2] >= c.days_leave_2:
+        state = "NORMAL"
+    elif prev == "DEFCON1" and counts[3] >= c.days_leave_1:
+        state = "DEFCON2"
+    return (state, raw, *counts), (state, raw, max(raw, c.hard_floor) if hard else raw, held, prev, *counts)
+
+
 def _fold(pdf: pd.DataFrame, key: str, c: EngineConfig, seed: tuple) -> pd.DataFrame:
-    """One scenario's days in order. seed: state, raw score and the four streaks of the day before the first."""
+    """One scenario's days in order. seed: what the first starts from."""
     pdf = pdf.sort_values("date")
-    state, before, counts, out = seed[0], seed[1], list(seed[2:]), []
-    for ready, raw, hard, stale in zip(pdf.ready, pdf.raw, pdf.hard, pdf.stale_critical):
-        if not ready or raw is None or math.isnan(raw):
-            counts, before, prev, state = [0, 0, 0, 0], None, state, "WARMUP"
-            out.append((state, None, None, False, prev, *counts))
-            continue
-        prev = "NORMAL" if state == "WARMUP" else state
-        held = bool(c.hold_last_score and stale and prev in ("DEFCON1", "DEFCON2") and before is not None and raw < before)
-        raw = before if held else raw
-        tests = (raw >= c.enter_2, raw >= c.enter_1, raw < c.leave_2, raw <= c.leave_1)
-        counts = [n + 1 if t else 0 for n, t in zip(counts, tests)]
-        state = prev
-        if hard or counts[1] >= c.days_enter and prev != "DEFCON1":
-            state = "DEFCON1"
-        elif prev == "NORMAL" and counts[0] >= c.days_enter:
-            state = "DEFCON2"
-        elif prev == "DEFCON2" and counts[2] >= c.days_leave_2:
-            state = "NORMAL"
-        elif prev == "DEFCON1" and counts[3] >= c.days_leave_1:
-            state = "DEFCON2"
-        out.append((state, raw, max(raw, c.hard_floor) if hard else raw, held, prev, *counts))
-        before = raw
+    out = []
+    for day in zip(pdf.ready, pdf.raw, pdf.hard, pdf.stale_critical):
+        seed, row = step(seed, day, c)
+        out.append(row)
     names = [x.split()[0] for x in STATE_SCHEMA.split(", ")]
     return pd.concat([pdf[[key, "date"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 

@@ -128,6 +128,15 @@ def trading_day(date: Column) -> Column:
     return ~F.dayofweek(date).isin(1, 7) & ~F.array_contains(holidays, date)
 
 
+def turn(before: tuple | None, date, value: float, fall: float, rise: float) -> tuple[tuple, tuple | None]:
+    """before: regime, start and level of the open segment, None before the first value. The open segment after the value, and the one that it closes."""
+    regime, start, level = before or ("BULL", date, value)
+    level = max(level, value) if regime == "BULL" else min(level, value)
+    if value <= level * fall if regime == "BULL" else value >= level * rise:
+        return ("BEAR" if regime == "BULL" else "BULL", date, value), (regime, start, date, False)
+    return (regime, start, level), None
+
+
 def bull_bear(closes: DataFrame, fall: float = 0.8, rise: float = 1.2, key: str = "series_id") -> DataFrame:
     """closes: key, date, value. Segments: regime, start, end, days, open. BULL turns at `fall` of its peak, BEAR at `rise` of its trough.
 
@@ -138,13 +147,11 @@ def bull_bear(closes: DataFrame, fall: float = 0.8, rise: float = 1.2, key: str
         out, names = [], [key, "regime", "start", "end", "open"]
         if len(pdf) < 2:
             return pd.DataFrame(out, columns=names)
-        name, regime, start, level = pdf[key].iloc[0], "BULL", pdf.date.iloc[0], pdf.value.iloc[0]
+        name, segment = pdf[key].iloc[0], None
         for date, value in zip(pdf.date, pdf.value):
-            level = max(level, value) if regime == "BULL" else min(level, value)
-            if value <= level * fall if regime == "BULL" else value >= level * rise:
-                out.append((name, regime, start, date, False))
-                regime, start, level = ("BEAR" if regime == "BULL" else "BULL"), date, value
-        out.append((name, regime, start, pdf.date.iloc[-1], True))
+            segment, closed = turn(segment, date, value, fall, rise)
+            out += [(name, *closed)] if closed else []
+        out.append((name, *segment[:2], pdf.date.iloc[-1], True))
         return pd.DataFrame(out, columns=names)
 
     rows = closes.select(key, "date", "value").groupBy(key).applyInPandas(run, f"{key} string, regime string, start date, end date, open boolean")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,10 +32,11 @@ def triggers_recompute(series: Column, ids: tuple[str, ...] = ()) -> Column:
     return series.isin(*ids) | series.rlike("IXIC|NASDAQ|BTC|COPPER")
 
 
-def start_ledger(spark: SparkSession, source: str, out: str, checkpoint: str, aliases: dict[str, str] | None = None, files_per_batch: int = 1000) -> StreamingQuery:
+def start_ledger(spark: SparkSession, source: str, out: str, checkpoint: str, aliases: dict[str, str] | None = None, files_per_batch: int = 1000, then: Callable[[int], None] | None = None) -> StreamingQuery:
     """Appends accepted payloads of text files to out, each batch under its number, so that a batch run again replaces itself.
 
-    No watermark: late rows are kept, and read_ledger() takes the last write of each key. Refused payloads go to out/rejected."""
+    No watermark: late rows are kept, and read_ledger() takes the last write of each key. Refused payloads go to out/rejected. then is
+    called with a batch's number once its rows are written, again if the batch is run again."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source).withColumn("received_at", F.current_timestamp())
 
     def write(batch: DataFrame, n: int) -> None:
@@ -41,14 +44,20 @@ def start_ledger(spark: SparkSession, source: str, out: str, checkpoint: str, al
         rows.filter("reject is null").drop("reject", "raw").write.mode("overwrite").parquet(f"{out}/accepted/batch={n}")
         rows.filter("reject is not null").select("raw", "reject").write.mode("overwrite").parquet(f"{out}/rejected/batch={n}")
         rows.unpersist()
+        if then:
+            then(n)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def accepted(spark: SparkSession, out: str) -> DataFrame:
+    """All accepted rows and the number of their batch."""
+    return spark.read.parquet(f"{out}/accepted")
+
+
 def read_ledger(spark: SparkSession, out: str) -> DataFrame:
     """The last write of each (series, time, interval): the later arrival, then the later batch and row."""
-    rows = spark.read.parquet(f"{out}/accepted")
-    return dedupe_lww(rows, order=("received_at", "batch", "seq"))
+    return dedupe_lww(accepted(spark, out), order=("received_at", "batch", "seq"))
 
 
 def windowed_counts(events: DataFrame, late: str = "2 hours", length: str = "1 day") -> DataFrame:
