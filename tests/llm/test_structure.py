@@ -204,7 +204,7 @@ def test_a_bucket_is_bounded_by_its_bytes(spark):
 
 def test_every_place_of_a_shuffle_is_as_likely(spark):
     """Over 4000 shuffles of five numbers, each number stands in each place about 800 times (five deviations are 127)."""
-    perms = spark.range(4000).select(sharding.fisher_yates(F.lit(5), lambda i: F.pmod(F.xxhash64("id", i), (i + 1).cast("long")).cast("int")).alias("p")).collect()
+    perms = spark.range(4000).select(sharding.fisher_yates(F.sequence(F.lit(0), F.lit(4)), lambda i: F.pmod(F.xxhash64("id", i), (i + 1).cast("long")).cast("int")).alias("p")).collect()
     assert all(sorted(r.p) == list(range(5)) for r in perms)
     counts = Counter((k, x) for r in perms for k, x in enumerate(r.p))
     assert len(counts) == 25 and all(abs(c - 800) < 127 for c in counts.values())

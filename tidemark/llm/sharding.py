@@ -16,17 +16,21 @@ from .common import new_path, staged, table
 GROUP = 4096
 
 
-def fisher_yates(n: Column, draw) -> Column:
-    """A permutation of 0 .. n - 1: from the last place down, draw(i) names one of the i + 1 numbers left, which takes place i, and the last
-    of them moves to where it was. Places are filled from the back, so the array of those taken grows at its front."""
+def fisher_yates(items: Column, draw) -> Column:
+    """A permutation of an array of integers: from the last place down, draw(i) names one of the i + 1 that are left, which takes place i, and
+    the last of them moves to where it was."""
 
     def step(a: Column, i: Column) -> Column:
-        j, left = draw(i), a["left"]
-        rest = F.when(j < i, F.concat(F.slice(left, F.lit(1), j), F.array(F.get(left, i)), F.slice(left, j + 2, F.greatest(i - j - 1, F.lit(0))))).otherwise(F.slice(left, F.lit(1), i))
-        return F.struct(rest.alias("left"), F.concat(F.array(F.get(left, j)), a["taken"]).alias("taken"))
+        left = a["left"]
 
-    start = F.struct(F.sequence(F.lit(0), n - 1).alias("left"), F.array().cast("array<int>").alias("taken"))
-    return F.aggregate(F.sequence(n - 1, F.lit(0)), start, step)["taken"]
+        def swap(j: Column) -> Column:
+            rest = F.when(j < i, F.concat(F.slice(left, F.lit(1), j), F.array(F.get(left, i)), F.slice(left, j + 2, i - j - 1))).otherwise(F.slice(left, F.lit(1), i))
+            return F.struct(rest.alias("left"), F.array_append(a["taken"], F.get(left, j)).alias("taken"))
+
+        return F.transform(F.array(draw(i)), swap)[0]  # binds the draw
+
+    start = F.struct(items.alias("left"), F.array().cast("array<int>").alias("taken"))
+    return F.reverse(F.aggregate(F.sequence(F.size(items) - 1, F.lit(0)), start, step)["taken"])
 
 
 def bucket_of(seed: int, buckets: int) -> Column:
@@ -34,7 +38,7 @@ def bucket_of(seed: int, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "place.file", "place.at"), F.lit(buckets)).cast("long")
 
 
-def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, bucket_rows: int = 1024, bucket_bytes: int = 16 << 20, in_files: bool = False) -> DataFrame:
+def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, bucket_rows: int = 512, bucket_bytes: int = 16 << 20, in_files: bool = False) -> DataFrame:
     """One row for each document: shard (0 to shards - 1), slot (from 0 without a gap), doc (a struct of all its columns).
 
     Law `rows`: numbers of rows of any two shards differ by at most one. Rows are dealt one by one, equal ones and those of one id too; their
@@ -57,10 +61,10 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, bucket_rows: int =
     starts = counts.join(groups, "group").select("bucket", (F.col("before") + F.coalesce(F.sum("m").over(inside), F.lit(0))).alias("start"))
     held = dealt.repartition("bucket").groupBy("bucket").agg(F.collect_list("place").alias("places"), F.collect_list("doc").alias("docs"))
     # rows arrive in any order: the shuffle starts from the order of their places
-    sorted_ = F.sort_array(F.transform("places", lambda p, i: F.struct(p.alias("place"), i.alias("i"))))
-    order = fisher_yates(F.size("places"), lambda i: F.pmod(F.xxhash64(F.lit(seed), "bucket", i), (i + 1).cast("long")).cast("int"))
-    held = held.join(starts, "bucket").select("start", "docs", sorted_.alias("sorted"), order.alias("order")).withColumn("order", F.transform("order", lambda k: F.get("sorted", k)["i"]))
-    mixed = held.select("start", F.posexplode(F.transform("order", lambda k: F.get("docs", k))).alias("nth", "doc"))
+    inorder = F.transform(F.sort_array(F.transform("places", lambda p, i: F.struct(p.alias("place"), i.alias("i")))), lambda x: x["i"])
+    order = fisher_yates(inorder, lambda i: F.pmod(F.xxhash64(F.lit(seed), "bucket", i), (i + 1).cast("long")).cast("int"))
+    held = held.join(starts, "bucket").select("start", F.transform(order, lambda k: F.get("docs", k)).alias("docs"))
+    mixed = held.select("start", F.posexplode("docs").alias("nth", "doc"))
     placed = mixed.select((F.col("start") + F.col("nth")).alias("at"), "doc").withColumn("shard", F.expr(f"at * {shards} div {max(1, n)}"))
     return placed.select(F.col("shard").cast("int").alias("shard"), (F.col("at") - F.expr(f"(shard * {n} + {shards - 1}) div {shards}")).alias("slot"), "doc")
 
