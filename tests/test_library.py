@@ -215,3 +215,48 @@ def test_weights_never_exceed_cap(spark, cap):
     grid = spark.createDataFrame(rows, "series_id string, date date, value double")
     out = P.scale_gross(P.asset_weights(grid, F.lit(1.0), ["a"], cap, 20, 10), cap).toPandas()
     assert (out.weight >= 0).all() and (out.gross <= cap + 1e-9).all() and np.allclose(out.gross + out.cash, 1)
+
+
+@pytest.mark.parametrize("n", [48, 60, 200])
+def test_long_frames_are_those_read_row_by_row(spark, n):
+    """Series with gaps, shorter than a block, without spread, and without a value at their beginning; large values with a small spread."""
+    rng, frames = np.random.default_rng(1), []
+    for name, size in (("a", 500), ("b", 49), ("c", 3), ("flat", 410), ("late", 300), ("edge", 2 * n)):
+        x = rng.normal(1e6, 5, size)
+        x[rng.random(size) < 0.1] = np.nan
+        if name == "flat":
+            x[:] = 3.3
+        if name == "late":
+            x[:170] = np.nan
+        frames.append(pd.DataFrame({"series_id": name, "date": days(size), "value": x}))
+    df, v, w = prep.nan_to_null(spark.createDataFrame(pd.concat(frames))).repartition(3), F.col("value"), windows.by("series_id", "date")
+    direct = {"m": windows.mean(v, w, n, 20), "s": windows.std(v, w, n), "p": windows.std(v, w, n, 20, True), "zs": windows.zscore(v, w, n, 20, False), "zp": windows.zscore(v, w, n, 20), "total": F.sum(v).over(windows.last_rows(w, n)), "med": windows.median(v, w, n, 20)}
+    want = df.select("series_id", "date", *[c.alias(k) for k, c in direct.items()]).orderBy("series_id", "date").toPandas()
+    got = windows.rolling(df, "series_id", "date", n, {"m": ("mean", v, 20), "s": ("std", v), "p": ("std_pop", v, 20), "zs": ("z", v, 20), "zp": ("z_pop", v, 20)})
+    got = windows.rolling_median(windows.rolling_sums(got, "series_id", "date", n, {"total": v}), "series_id", "date", n, "med", v, 20, block_rows=n + 7)
+    assert got.columns == ["series_id", "date", "value", "m", "s", "p", "zs", "zp", "total", "med"]
+    got = got.orderBy("series_id", "date").toPandas()
+    for k in direct:
+        assert np.allclose(got[k].astype(float), want[k].astype(float), rtol=1e-9, atol=1e-7, equal_nan=True), k
+    flat = got[got.series_id == "flat"]
+    assert set(flat.p.dropna()) == {0.0} and flat.zp.isna().all() and set(flat.m.dropna()) == {3.3}
+
+
+def test_band_component_slides(spark):
+    """The component of each window, computed anew from the window's own values less their mean; values missing at the beginning and between."""
+    rng, n, window = np.random.default_rng(3), 300, 60
+    x = 5 + np.sin(np.arange(n) / 4) + rng.normal(0, 0.3, n)
+    x[:30] = np.nan
+    x[rng.random(n) < 0.05] = np.nan
+    df = prep.nan_to_null(spark.createDataFrame(pd.DataFrame({"series_id": "a", "month_end": days(n), "value": x})))
+    got = C.band_component(df, "value", "wave", window, 10.0, 30.0).orderBy("month_end").toPandas()
+    filled, ks = pd.Series(x).ffill().to_numpy(), C.bins(window, 10.0, 30.0)
+    for t in range(n):
+        own = filled[max(0, t - window + 1) : t + 1]
+        if len(own) < window or np.isnan(own).all():
+            assert np.isnan(got.wave.astype(float)[t])
+            continue
+        own = np.nan_to_num(own - np.nanmean(own))
+        ages = np.arange(window)[::-1]
+        z = 2 / window * sum((own * np.exp(1j * S.TAU * k * ages / window)).sum() for k in ks)
+        assert np.allclose([got.wave[t], got.wave_amp[t]], [z.real, abs(z)], atol=1e-9) and np.isclose(np.angle(np.exp(1j * (got.wave_phase[t] - np.angle(z)))), 0, atol=1e-7)

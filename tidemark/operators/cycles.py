@@ -10,17 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TAU, circular_distance, clip
-from .windows import by, diff, ffill, last_rows, mean, median, pct_change, std, upto, zscore
+from .windows import by, diff, ffill, last_rows, mean, pct_change, rolling, rolling_median, rolling_sums, upto
 
 
 def detrended(monthly: DataFrame, trend: int = 120, smooth: int = 12) -> DataFrame:
     """monthly: series_id, month_end, value. Adds logp, logret, vol_1m, trend_logp, price_cycle(_z), vol_12m, vol_z."""
     w, c = by("series_id", "month_end"), F.col
     rows = monthly.withColumn("logp", F.ln(F.when(c("value") > 0, c("value"))))
-    rows = rows.withColumns({"logret": diff(c("logp"), w), "trend_logp": mean(c("logp"), w, trend, trend // 2)})
-    rows = rows.withColumns({"vol_1m": F.abs("logret"), "price_cycle": c("logp") - c("trend_logp")})
-    rows = rows.withColumns({"price_cycle_z": zscore(c("price_cycle"), w, trend, max(10, trend // 3)), "vol_12m": mean(c("vol_1m"), w, smooth)})
-    return rows.withColumn("vol_z", zscore(c("vol_12m"), w, trend, max(10, trend // 3)))
+    rows = rolling(rows.withColumn("logret", diff(c("logp"), w)), "series_id", "month_end", trend, {"trend_logp": ("mean", c("logp"), trend // 2)})
+    rows = rows.withColumns({"vol_1m": F.abs("logret"), "price_cycle": c("logp") - c("trend_logp")}).withColumn("vol_12m", mean(c("vol_1m"), w, smooth))
+    least = max(10, trend // 3)
+    return rolling(rows, "series_id", "month_end", trend, {"price_cycle_z": ("z_pop", c("price_cycle"), least), "vol_z": ("z_pop", c("vol_12m"), least)})
 
 
 def bins(window: int, shortest: float, longest: float) -> list[int]:
@@ -30,18 +30,26 @@ def bins(window: int, shortest: float, longest: float) -> list[int]:
 def band_component(rows: DataFrame, value: str, name: str, window: int, shortest: float, longest: float) -> DataFrame:
     """Band-pass and analytic signal at the last sample of each trailing window: name, name_phase, name_amp.
 
-    Only few frequencies lie in the band, so the inverse transform at one sample is a sum over them: two dot products of the
-    window, less its mean, with fixed kernels. Needs a full window with some value; inputs are filled forward."""
-    ks, t = bins(window, shortest, longest), [window - 1 - i for i in range(window)]
-    kernel = lambda f: F.array(*[F.lit(2 / window * sum(f(TAU * k * a / window) for k in ks)) for a in t])
-    w = by("series_id", "month_end")
-    rows = rows.withColumn("_x", ffill(F.col(value), w))
-    rows = rows.withColumn("_a", F.collect_list(F.struct(F.col("_x").alias("x"))).over(last_rows(w, window))).withColumn("_m", F.avg("_x").over(last_rows(w, window)))
-    centred = F.transform("_a", lambda s: F.coalesce(s["x"] - F.col("_m"), F.lit(0.0)))
-    dot = lambda k: F.aggregate(F.zip_with(centred, k, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    full = (F.size("_a") == window) & F.col("_m").isNotNull()
-    rows = rows.withColumns({name: F.when(full, dot(kernel(math.cos))), "_s": F.when(full, dot(kernel(math.sin)))})
-    return rows.withColumns({f"{name}_amp": F.sqrt(F.col(name) * F.col(name) + F.col("_s") * F.col("_s")), f"{name}_phase": F.atan2("_s", name)}).drop("_x", "_a", "_m", "_s")
+    Only few frequencies lie in the band. For each, the window's sums of the values turned by their row's angle slide with the row and are
+    turned back by the last row's angle, so a row costs the same whatever the window. The window's mean is taken off, and rows before
+    the first value count as the mean; what these leave out of a full turn is a geometric sum. Needs a full window with some value; inputs
+    are filled forward."""
+    w, c = by("series_id", "month_end"), F.col
+    rows = rows.withColumns({"_v": ffill(c(value), w), "_t": F.row_number().over(w)})
+    angles = {k: F.lit(TAU * k / window) * F.pmod("_t", F.lit(window)) for k in bins(window, shortest, longest)}
+    sums = {"_q": F.when(c("_v").isNotNull(), 1.0), "_m": c("_v")}
+    sums |= {f"_{p}{k}": c("_v") * f(angle) for k, angle in angles.items() for p, f in (("c", F.cos), ("s", F.sin))}
+    rows = rolling_sums(rows, "series_id", "month_end", window, sums)
+    mean_ = c("_m") / c("_q")
+    real = imag = F.lit(0.0)
+    for k, angle in angles.items():
+        half = math.pi * k / window
+        arc, turn = F.sin(half * c("_q")) / math.sin(half), half * (c("_q") - 1)
+        real = real + F.cos(angle) * c(f"_c{k}") + F.sin(angle) * c(f"_s{k}") - mean_ * arc * F.cos(turn)
+        imag = imag + F.sin(angle) * c(f"_c{k}") - F.cos(angle) * c(f"_s{k}") - mean_ * arc * F.sin(turn)
+    full = (c("_t") >= window) & c("_m").isNotNull()
+    rows = rows.withColumns({name: F.when(full, real * (2 / window)), "_i": F.when(full, imag * (2 / window))})
+    return rows.withColumns({f"{name}_amp": F.sqrt(c(name) * c(name) + c("_i") * c("_i")), f"{name}_phase": F.atan2("_i", name)}).drop("_v", "_t", "_i", *sums)
 
 
 #: Name -> what is filtered, the window, the shortest and longest period, in months.
@@ -84,7 +92,7 @@ def outlook(rows: DataFrame, phase: str, amp: str, name: str, fit: int) -> DataF
     """Adds months_until_<name>, <name>_window_24m and _36m (0 or 1) and confidence_<name> from a component's phase and size."""
     w = by("series_id", "month_end")
     rows = phase_fit(rows, phase, f"_{name}", fit).withColumn("_p", ffill(F.col(phase), w))
-    rows = rows.withColumn("_m", median(F.col(amp), w, max(60, 2 * fit), max(30, fit // 2)))
+    rows = rolling_median(rows, "series_id", "month_end", max(60, 2 * fit), "_m", F.col(amp), max(30, fit // 2))
     size = clip((F.col(amp) / F.nullif(F.col("_m"), F.lit(0.0)) - 0.7) / 0.6, 0, 1)
     sure = clip(0.6 * F.coalesce(size, F.lit(0.0)) + 0.4 * F.coalesce(clip(F.col(f"_{name}_r2"), 0, 1), F.lit(0.0)), 0, 1)
     rows = rows.withColumns({f"months_until_{name}": months_until(F.col("_p"), F.col(f"_{name}_omega")), f"confidence_{name}": sure, f"{name}_period_months": F.col(f"_{name}_period")})
@@ -111,9 +119,10 @@ def daily_expansion(days: DataFrame, monthly: DataFrame, values: Sequence[str])
 def triggers(daily: DataFrame, sma: int = 200, sma_least: int = 100, z_rows: int = 252, z_least: int = 126, fast: int = 21, slow: int = 126, vol: int = 63, vol_least: int = 21, run: int = 252, z_over: float = 1.6, z_vol: float = 1.0, z_calm: float = 0.75, run_least: float = 0.2) -> DataFrame:
     """daily: series_id, date, value, state, euphoria_window_36m, euphoria_window_24m, months_until_euphoria. Adds the day's flags and levels."""
     w, c = by("series_id", "date"), F.col
-    rows = daily.withColumns({"sma": mean(c("value"), w, sma, sma_least), "ret": pct_change(c("value"), w), "mom_fast": pct_change(c("value"), w, fast), "mom_slow": pct_change(c("value"), w, slow), "runup": pct_change(c("value"), w, run), "state": ffill(c("state"), w)})
-    rows = rows.withColumns({"overext": c("value") / F.nullif(c("sma"), F.lit(0.0)) - 1, "vol_ann": std(c("ret"), w, vol, vol_least) * math.sqrt(252)})
-    rows = rows.withColumns({"overext_z": zscore(c("overext"), w, z_rows, z_least, population=False), "vol_z": zscore(c("vol_ann"), w, z_rows, z_least, population=False)})
+    rows = daily.withColumns({"ret": pct_change(c("value"), w), "mom_fast": pct_change(c("value"), w, fast), "mom_slow": pct_change(c("value"), w, slow), "runup": pct_change(c("value"), w, run), "state": ffill(c("state"), w)})
+    rows = rolling(rolling(rows, "series_id", "date", sma, {"sma": ("mean", c("value"), sma_least)}), "series_id", "date", vol, {"vol_ann": ("std", c("ret"), vol_least)})
+    rows = rows.withColumns({"overext": c("value") / F.nullif(c("sma"), F.lit(0.0)) - 1, "vol_ann": c("vol_ann") * math.sqrt(252)})
+    rows = rolling(rows, "series_id", "date", z_rows, {"overext_z": ("z", c("overext"), z_least), "vol_z": ("z", c("vol_ann"), z_least)})
     yes = lambda x: F.coalesce(x, F.lit(False))
     over, slowing, ran = yes(c("overext_z") > z_over), yes((c("mom_fast") < 0) & (c("mom_slow") > 0)), yes(c("runup") > run_least)
     broken, wild, calm = yes(c("value") < c("sma")), yes(c("vol_z") > z_vol), yes(c("vol_z") <= z_calm)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from .prep import as_of
-from .windows import by, cumulative_product, drawdown, ffill, mean, pct_change, std, upto
+from .windows import by, cumulative_product, drawdown, ffill, pct_change, rolling, std, upto
 
 
 def bond_index(yields: DataFrame, duration: float, carry: bool = True, keys: Sequence[str] = ("series_id",)) -> DataFrame:
@@ -43,7 +43,7 @@ def asset_weights(grid: DataFrame, macro: Column, risk_assets: Sequence[str], ca
     """grid: series_id, date, value, and columns of macro and cap. Adds ret, ma, vol_ann, up and raw_weight; windows need all their values."""
     w = by("series_id", "date")
     rows = grid.withColumns({"ret": pct_change(F.col("value"), w)})
-    rows = rows.withColumns({"ma": mean(F.col("value"), w, ma_window), "vol_ann": std(F.col("ret"), w, vol_window) * math.sqrt(252)})
+    rows = rolling(rows, "series_id", "date", ma_window, {"ma": ("mean", F.col("value"))}).withColumn("vol_ann", std(F.col("ret"), w, vol_window) * math.sqrt(252))
     rows = rows.withColumn("up", F.coalesce(F.col("value") >= F.col("ma"), F.lit(False)))
     cap = F.lit(cap) if isinstance(cap, (int, float)) else cap
     size = F.when(F.col("up") & (F.col("vol_ann") > 0), F.least(cap, target / F.nullif(F.col("vol_ann"), F.lit(0.0)))).otherwise(0.0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from .prep import as_of, contiguity
-from .windows import all_of_last, by, cross_up, ewma_std, mean, pct_change, slope, std
+from .windows import all_of_last, by, cross_up, ewma_std, mean, pct_change, rolling, slope, std
 
 STATE_SCHEMA = "state string, raw_score double, score double, held boolean, prev_state string, ge_2 int, ge_1 int, lt_2 int, le_1 int"
 
@@ -32,7 +32,7 @@ def sensor_features(daily: DataFrame, sensors: Sequence[Sensor], ma_window: int
     """Per series and observation: value, its crossing, slope, mean of 4, and below-average run; keyed by series, so one shuffle."""
     w = by("series_id", "date")
     found = daily.filter(F.col("series_id").isin(*[s.series_id for s in sensors]))
-    found = found.select("*", F.count("value").over(w).alias("have"), mean(F.col("value"), w, ma_window).alias("ma"))
+    found = rolling(found, "series_id", "date", ma_window, {"ma": ("mean", F.col("value"))}).withColumn("have", F.count("value").over(w))
     below = F.col("ma").isNotNull() & (F.col("value") < F.col("ma"))
     return found.select(
         "series_id", "date", "value", "have", "ma", cross_up(F.col("value"), w).alias("crossed"), slope(F.col("value"), w, back).alias("slope"),
@@ -190,8 +190,9 @@ def trend(daily: DataFrame, window: int = 200, vol_window: int = 20, live: bool
     """Per series and day: price, ma, signal (UP when the price is at least its average, DOWN below, UNKNOWN without one) and vol_ann."""
     w = by("series_id", "date")
     rows = daily.select("*", pct_change(F.col("value"), w).alias("ret"))
+    rows = rolling(rows, "series_id", "date", window, {"ma": ("mean", F.col("value"))})
     vol = ewma_std(F.col("ret"), w) if live else std(F.col("ret"), w, vol_window)
-    rows = rows.select("series_id", "date", F.col("value").alias("price"), mean(F.col("value"), w, window).alias("ma"), (vol * math.sqrt(trading_days)).alias("vol_ann"))
+    rows = rows.select("series_id", "date", F.col("value").alias("price"), "ma", (vol * math.sqrt(trading_days)).alias("vol_ann"))
     return rows.withColumn("signal", F.when(F.col("price") >= F.col("ma"), "UP").when(F.col("price") < F.col("ma"), "DOWN").otherwise("UNKNOWN"))
 
 

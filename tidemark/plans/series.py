@@ -122,7 +122,8 @@ def sma_full(spark, sf):
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(120)} >= 60 THEN round(value / nullif(avg(value) {over(120)}, 0), 7) + 0.0 END AS to_ma FROM daily")
 def sma_partial(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(F.col("value") / F.nullif(W.mean(F.col("value"), w(), 120, 60), F.lit(0.0)), 7).alias("to_ma"))
+    rows = W.rolling(daily(spark, sf), "series_id", "date", 120, {"ma": ("mean", F.col("value"), 60)})
+    return rows.select("series_id", "date", r(F.col("value") / F.nullif("ma", F.lit(0.0)), 7).alias("to_ma"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(20)} >= 20 THEN round(stddev_samp(value) {over(20)}, 3) + 0.0 END AS sd FROM daily")
@@ -132,17 +133,20 @@ def roll_std_samp(spark, sf):
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(63)} >= 21 THEN round(stddev_pop(value) {over(63)}, 3) + 0.0 END AS sd FROM daily")
 def roll_std_pop(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.std(F.col("value"), w(), 63, 21, population=True), 3).alias("sd"))
+    rows = W.rolling(daily(spark, sf), "series_id", "date", 63, {"sd": ("std_pop", F.col("value"), 21)})
+    return rows.select("series_id", "date", r("sd", 3).alias("sd"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(60)} >= 20 THEN round((value - avg(value) {over(60)}) / nullif(stddev_pop(value) {over(60)}, 0), 6) + 0.0 END AS z FROM daily")
 def roll_zscore(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.zscore(F.col("value"), w(), 60, 20), 6).alias("z"))
+    rows = W.rolling(daily(spark, sf), "series_id", "date", 60, {"z": ("z_pop", F.col("value"), 20)})
+    return rows.select("series_id", "date", r("z", 6).alias("z"))
 
 
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, CASE WHEN count(value) {over(60)} >= 30 THEN round(quantile_cont(value, 0.5) {over(60)}, 4) + 0.0 END AS med FROM daily")
 def roll_median(spark, sf):
-    return daily(spark, sf).select("series_id", "date", r(W.median(F.col("value"), w(), 60, 30)).alias("med"))
+    rows = W.rolling_median(daily(spark, sf), "series_id", "date", 60, "med", F.col("value"), 30)
+    return rows.select("series_id", "date", r("med").alias("med"))
 
 
 @query(f"""WITH {DAILY_SQL}, a AS (SELECT series_id, date, value / nullif(lag(value) {DAY}, 0) - 1 AS ret FROM daily),
