@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators import score as S
 from ..streaming import recompute, states
 from ..streaming.folders import shared_folder
-from . import market, views
-from .base import ORACLES, ms_of, query, table
+from . import market, series, views  # noqa: F401  series has the SQL of the ledger
+from .base import ORACLES, events_ledger, ms_of, query, r, table
 
 PIECES = 3
 
@@ -65,3 +66,13 @@ def daily_states_late(spark, sf):
         query_ = recompute.start_live_states(spark, f"{folder}/source/*", f"{folder}/ledger", f"{folder}/checkpoint", f"{folder}/states", market.SENSORS, derive=with_curve)
         query_.awaitTermination()
     return recompute.read_states(spark, f"{folder}/states").drop("scenario", "month")
+
+
+@query(ORACLES["dedupe_lww"])
+def ledger_upsert(spark, sf):
+    """The ledger's last writes from a table that three batches are put into, each of which rewrites only the buckets that it touches."""
+    rows, root = events_ledger(spark, sf), shared_folder(spark, "ledger-store")
+    store.create(spark, root, ", ".join(f"{n} {t}" for n, t in rows.dtypes), ["series_id", "time_utc_ms", "interval"], ["received_at", "seq"], 8)
+    for k in range(3):
+        store.upsert(spark, root, rows.filter(F.col("seq") % 3 == k))
+    return store.read(spark, root).select("series_id", "time_utc_ms", "interval", r("value").alias("value"), "seq")

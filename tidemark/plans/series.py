@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import prep
+from ..operators import prep, scans
 from ..operators import windows as W
-from .base import DAILY_SQL, LEDGER_SQL, MONTHLY_SQL, daily, events_ledger, monthly, ms_of, orders_obs, query, r, table
+from .base import DAILY_SQL, LEDGER_SQL, MONTHLY_SQL, ORACLES, daily, events_ledger, monthly, ms_of, orders_obs, query, r, table
 
 
 
@@ -270,6 +270,35 @@ def nearest_join_all(spark, sf):
     return prep.nearest(days, facts, ["series_id"], ["value"]).select("series_id", "date", "as_of", r("value").alias("value"))
 
 
+#: Rows of a block in the queries that cut series into blocks, so that the given tables have several.
+BLOCK = 1500
+
+
+@query(ORACLES["asof_join_all"])
+def asof_join_blocks(spark, sf):
+    """The same join for series of any length: no task reads a whole one."""
+    days, facts = all_probes(spark, sf)
+    return scans.as_of(days, facts, ["series_id"], ["value"], rows_per_block=BLOCK).select("series_id", "date", "as_of", r("value").alias("value"))
+
+
+@query(ORACLES["nearest_join_all"])
+def nearest_join_blocks(spark, sf):
+    days, facts = all_probes(spark, sf)
+    return scans.nearest(days, facts, ["series_id"], ["value"], rows_per_block=BLOCK).select("series_id", "date", "as_of", r("value").alias("value"))
+
+
+@query(f"""WITH {DAILY_SQL}, a AS (SELECT *, CASE WHEN day(date) % 3 <> 0 THEN value END AS v, value > 150000 AS f, row_number() {DAY} AS n FROM daily)
+SELECT series_id, date, round(last_value(v IGNORE NULLS) {DAY}, 4) + 0.0 AS filled, round(sum(v) {DAY}, 2) + 0.0 AS total, round(product(1 + 0.001 * coalesce(v / 200000 - 1, 0)) {DAY}, 5) + 0.0 AS curve, round(value / max(value) {DAY} - 1, 6) + 0.0 AS dd,
+ n - coalesce(max(CASE WHEN NOT f THEN n END) {DAY}, 0) AS streak FROM a""")
+def series_scans(spark, sf):
+    """Forward fill, sum, product, drawdown and streak of series that are cut into blocks."""
+    c, rows = F.col, daily(spark, sf).withColumn("v", F.when(F.dayofmonth("date") % 3 != 0, F.col("value")))
+    growth = 1 + 0.001 * F.coalesce(c("v") / 200000 - 1, F.lit(0.0))
+    stats = {"filled": ("ffill", c("v")), "total": ("sum", c("v")), "curve": ("product", growth), "top": ("max", c("value")), "streak": ("streak", c("value") > 150000)}
+    rows = scans.scan(rows, ["series_id"], "date", scans.time_blocks(rows, "date", BLOCK), stats)
+    return rows.select("series_id", "date", r("filled").alias("filled"), r("total", 2).alias("total"), r("curve", 5).alias("curve"), r(c("value") / c("top") - 1, 6).alias("dd"), "streak")
+
+
 @query(f"""WITH {DAILY_SQL}, s AS (SELECT series_id, date, CASE WHEN value > 200000 THEN 'DEFCON2' ELSE 'NORMAL' END AS state FROM daily WHERE day(date) = 15)
 SELECT d.series_id, d.date, coalesce(last_value(s.state IGNORE NULLS) OVER (PARTITION BY d.series_id ORDER BY d.date), 'WARMUP') AS state FROM daily d LEFT JOIN s USING (series_id, date)""")
 def state_ffill_join(spark, sf):
