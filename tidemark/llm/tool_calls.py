@@ -80,21 +80,58 @@ def together(parts: list[DataFrame], most: int = 24) -> list[DataFrame]:
     return parts if len(parts) < most else [staged(reduce(DataFrame.unionByName, parts), "calls-parts")]
 
 
-def problems(name: Column, text: Column, parsed: Column, schemas: dict) -> Column:
-    """Errors of a call's arguments (their text, and the variant of it) against its schema."""
+#: A run of digits that may be longer than the 38 that a variant keeps exactly, and a number with an exponent; both may as well be part of a string.
+LONG_RUN, WITH_EXPONENT = r"[0-9][0-9.]{38}", r"[0-9][eE][-+]?[0-9]"
+STRINGS_AND_REST, NUMBERS_AND_REST = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]+|"', r"[-+.0-9eE]+|[^-+.0-9eE]+"
+
+
+def in_numbers(text: Column, change) -> Column:
+    """The pieces of a JSON text, its strings as they are and its numbers changed."""
+    tokens = lambda piece: F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(NUMBERS_AND_REST), F.lit(0)), change), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(STRINGS_AND_REST), F.lit(0)), lambda p: F.when(p.startswith('"'), p).otherwise(tokens(p))), "")
+
+
+def plain_number(token: Column) -> Column:
+    """A number with an exponent without it, where it is one of 20 digits before the point and 18 after it; anything else as it is."""
+    value = token.try_cast("decimal(38,18)")
+    plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    same = token.rlike(r"^-?[0-9]+(\.[0-9]+)?[eE][-+]?[0-9]+$") & (value.cast("double") == token.try_cast("double"))
+    return F.when(same, F.when(value == 0, "0").otherwise(plain)).otherwise(token)
+
+
+def inexact(text: Column) -> Column:
+    """Whether a JSON text holds a number of more digits than 38, which no type here keeps."""
+    rest = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(STRINGS_AND_REST), F.lit(0)), lambda p: ~p.startswith('"')), " ")
+    return F.when(text.rlike(LONG_RUN), rest.rlike(LONG_RUN)).otherwise(False)
+
+
+def parsed_arguments(text: Column) -> tuple[Column, Column]:
+    """The variant of a text that is one JSON value and no more, else null; and why it is null though the text begins with a JSON object.
+
+    The text is parsed as the first element of an array whose second is a digest of it, so what follows the value can't be taken for the end."""
+    seal = F.md5(text)
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+    alone = F.try_variant_get(whole, "$[1]", "string") == seal
+    value = F.when(alone & ~inexact(text), F.try_variant_get(whole, "$[0]", "variant"))
+    why = F.when(F.coalesce(alone, F.lit(False)), "inexact number").when(F.try_parse_json(text).isNull(), "duplicate key").otherwise("trailing text")
+    return value, why
+
+
+def problems(name: Column, text: Column, parsed: Column, why: Column, schemas: dict) -> Column:
+    """Errors of a call's arguments (parsed_arguments() of their text) against its schema. Arguments that can't be read have that one error."""
     keys, out = F.json_object_keys(text), F.array(F.lit("unknown tool"))
-    of_any = [F.when(keys.isNull(), "not an object"), F.when(keys.isNotNull() & parsed.isNull(), "duplicate key")]
+    of_any = [F.when(keys.isNull(), "not an object"), F.when(keys.isNotNull() & parsed.isNull(), why)]
     for tool, schema in sorted(schemas.items()):
         known = F.array(*[F.lit(a) for a in sorted(schema)])
-        found = [*of_any, F.when(F.size(F.array_except(keys, known)) > 0, "unknown argument")]
+        found = [*of_any, F.when(parsed.isNotNull() & (F.size(F.array_except(keys, known)) > 0), "unknown argument")]
         for a, (kind, required, least) in sorted(schema.items()):
             path = f"$['{a}']"
             value = F.try_variant_get(parsed, path, {"string": "string", "boolean": "boolean", "integer": "decimal(38,0)", "number": "double"}[kind])
-            there, typed = F.array_contains(keys, a) & parsed.isNotNull(), F.schema_of_variant(F.try_variant_get(parsed, path, "variant")).rlike(TYPES[kind])
+            there, typed = F.array_contains(keys, a), F.schema_of_variant(F.try_variant_get(parsed, path, "variant")).rlike(TYPES[kind])
             fits = F.coalesce(typed & value.isNotNull() & (F.abs(value) < float("inf") if kind == "number" else F.lit(True)), F.lit(False))
             if required:
-                found.append(F.when(~there, f"{a}: missing"))
-            found.append(F.when(there & ~fits, f"{a}: not {kind}"))
+                found.append(F.when(parsed.isNotNull() & ~there, f"{a}: missing"))
+            found.append(F.when(parsed.isNotNull() & there & ~fits, f"{a}: not {kind}"))
             if kind != "boolean":
                 found.append(F.when(there & fits & ((F.length(value) if kind == "string" else value) < least), f"{a}: below {least}"))
         out = F.when(name == tool, F.array_compact(F.array(*found))).otherwise(out)
@@ -110,17 +147,19 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, edges: DataFrame, sche
     Of repeated calls or results with one id the smallest counts; n_results tells how many there were. Calls and results without
     an id and edges to unknown calls are left out. A null content counts as a result. Other columns are not read.
 
-    Types are JSON's: a number is no string, a present null is of no type but there, 1.0 is an integer. The JSON has sorted keys
-    at every depth, no spaces, and numbers in their shortest form; what follows the first JSON value of a text is ignored, and
-    arguments that are no JSON, or hold a key twice at any depth (an error: no value may be chosen), are given as a string."""
+    Types are JSON's: a number is no string, a present null is of no type but there, 1.0 and 1e2 are integers. The JSON has sorted keys
+    at every depth, no spaces, and numbers in their shortest form without an exponent where 38 digits hold them; no number changes its
+    value, but for fractions with an exponent beyond these, which are taken as doubles. Arguments that are no JSON, are followed by
+    other text, hold a key twice at any depth (no value may be chosen) or a number of over 38 digits have that one error, and are given as a string."""
     one = calls.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct("conv_id", "turn", "name", "arguments")).alias("c")).select("call_id", "c.*")
     one = staged(one, "calls")
     known = one.select("call_id")
     edges = edges.select("call_id", "dep").join(known, "call_id", "left_semi").join(known.withColumnRenamed("call_id", "dep"), "dep", "left_semi")
     answers = results.filter("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min("content").alias("content"))
-    placed = one.join(levels(one, edges), "call_id", "left").withColumn("parsed", F.try_parse_json("arguments")).withColumn("called", F.lit(True))
+    value, why = parsed_arguments(F.when(F.col("arguments").rlike(WITH_EXPONENT), in_numbers(F.col("arguments"), plain_number)).otherwise(F.col("arguments")))
+    placed = one.join(levels(one, edges), "call_id", "left").withColumns({"parsed": value, "why": why, "called": F.lit(True)})
     joined = placed.join(answers, "call_id", "full")
-    errors = F.concat(problems(F.col("name"), F.col("arguments"), F.col("parsed"), schemas), F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
+    errors = F.concat(problems(F.col("name"), F.col("arguments"), F.col("parsed"), F.col("why"), schemas), F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     null = F.lit("null")
     json = F.concat(
         F.lit('{"arguments":'), F.coalesce(F.to_json("parsed"), quoted(F.col("arguments")), null), F.lit(',"id":'), quoted(F.col("call_id")),
