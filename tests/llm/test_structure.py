@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.test_queries import rows as in_order
-from tidemark.llm import common, conversation_repair, manifest, sharding
+from tidemark.llm import common, conversation_repair, manifest, mixing, sharding
 from tidemark.llm.registry import ORACLES, QUERIES
 
 ROWS = "conv_id long, turn long, role string, text string, g string, rank string, kind string"
@@ -298,3 +298,19 @@ def test_ranks_of_groups_over_many_tasks(spark):
     for found in got.values():
         found.sort()
         assert [x[0] for x in found] == list(range(len(found))) and {x[1] for x in found} == {len(found)} and [x[2:] for x in found] == sorted(x[2:] for x in found)
+
+
+def test_the_mixture_uses_as_many_tasks_as_there_are_partitions(spark):
+    """Half of the rows have no id and are equal; they are spread like the others."""
+    docs = spark.createDataFrame([(None if k % 2 else k, f"s{k % 3}", "same words here" if k % 2 else f"words of {k}", 1) for k in range(6000)], "doc_id long, source string, text string, part int").repartition(4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "400")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = mixing.mixed_rows(docs).withColumn("task", F.spark_partition_id()).groupBy("task", F.col("doc_id").isNull().alias("no_id")).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len({r.task for r in rows}) > 350
+    sizes = [r["count"] for r in rows if r.no_id]
+    assert len(sizes) > 300 and max(sizes) < 6 * sum(sizes) / 400

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, n_words, staged, table
+from .common import discard, n_words, partitions, staged, table
 
 #: The contract's weights, repeated along the sorted sources.
 WEIGHTS = (3, 1, 2)
@@ -98,7 +98,7 @@ def within_groups(rows: DataFrame, per_salt: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = 16, seed: int = 7, share: float = 1.5, most: float = 2.0, per_salt: int = 10_000) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, copies, taken, shards, and the columns of carry.
+    """One row for each document: doc_id, size, source_size, target, copies, taken, shards, and with carry row (a number of its own) and these columns.
 
     size counts runs of other characters than white space (null text: 0); taken is copies times size, shards holds the
     output shard of each copy. A null source is a source of its own, after all others; sources without a word get and
@@ -133,19 +133,21 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = 16, seed: in
     result = ranked.join(ends, "sk").withColumns({"copies": copies, "shards": F.when(copies > 0, place).otherwise(F.array().cast("array<int>"))})
     if carry:
         result = result.join(whole.select("row", "carried"), "row")
-    return result.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", *["carried.*"] * bool(carry))
+    return result.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", *["row", "carried.*"] * bool(carry))
 
 
 def mixed_rows(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
-    """The mixture itself, with the columns of docs: one row for each copy, each shard shuffled locally by a keyed hash.
+    """The mixture itself, with the columns of docs: one row for each copy, each shard shuffled locally by a keyed hash of row and copy.
 
-    Shards are dealt to tasks by shard and a salt, so a shard may be spread over several tasks, each shuffled for itself."""
+    Shards are dealt to tasks in parts, four times as many in all as there are shuffle partitions, so tasks are as many as the owner
+    of the cluster wants for the data. Equal rows and rows without an id are dealt like any others; names that clash do no harm, and
+    an empty table gives no rows."""
     names = docs.columns
     carried = [f"in_{i}" for i in range(len(names))]
     named = docs.select("*").toDF(*names).select("doc_id", "source", "text", *[F.col(c).alias(k) for c, k in zip(names, carried)])
-    draws = mix(named, tuple(carried), shards, seed).select(F.posexplode("shards").alias("copy", "shard"), *carried)
-    order = F.xxhash64(F.lit(seed), "copy", F.col(carried[names.index("doc_id")]))
-    dealt = draws.withColumns({"order": order, "salt": F.pmod(order, F.lit(8))}).repartition("shard", "salt").sortWithinPartitions("shard", "order")
+    draws = mix(named, tuple(carried), shards, seed).select("row", F.posexplode("shards").alias("copy", "shard"), *carried)
+    order, parts = F.xxhash64(F.lit(seed), "copy", "row"), -(-4 * partitions(docs.sparkSession) // shards)
+    dealt = draws.withColumn("order", order).withColumn("part", F.pmod("order", F.lit(parts))).repartition("shard", "part").sortWithinPartitions("shard", "order")
     return dealt.select(*[F.col(k).alias(c) for c, k in zip(names, carried)])
 
 
