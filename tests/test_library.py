@@ -260,3 +260,27 @@ def test_band_component_slides(spark):
         ages = np.arange(window)[::-1]
         z = 2 / window * sum((own * np.exp(1j * S.TAU * k * ages / window)).sum() for k in ks)
         assert np.allclose([got.wave[t], got.wave_amp[t]], [z.real, abs(z)], atol=1e-9) and np.isclose(np.angle(np.exp(1j * (got.wave_phase[t] - np.angle(z)))), 0, atol=1e-7)
+
+
+def test_scans_ranges_and_price_files(spark, tmp_path):
+    ledger_ = spark.createDataFrame([("a", "1D", 1.0), ("a", "1W", 2.0), ("b", "1D", 3.0), ("", "1D", 4.0)], "series_id string, interval string, value double")
+    found = lambda ids, i=None: sorted(r.value for r in files.scan_series(ledger_, ids, i).collect())
+    assert found(["a", "", None]) == [1.0, 2.0] and found(["a", "b"], "1D") == [1.0, 3.0] and found([]) == found(["", None]) == found(["nothing"]) == [] and found(["a"], "") == [1.0, 2.0]
+    assert [r[0] for r in spark.createDataFrame([("1970-01-02",)], "t string").select(S.to_ms(F.col("t"))).collect()] == [86400000]
+
+    only = spark.createDataFrame([("x", D(2020, 2, 29), "WARMUP"), ("y", D(2021, 5, 1), None), ("y", D(2021, 5, 2), "NORMAL")], "scenario string, date date, state string")
+    got = {(r.scenario, r.preset): (r.start, r.end) for r in views.range_presets(only).collect()}
+    assert got["x", "default"] == got["x", "1y"] == got["x", "max"] == (D(2020, 2, 29), D(2020, 2, 29))
+    assert got["y", "default"] == (D(2021, 5, 2), D(2021, 5, 2)) and got["y", "10y"] == (D(2021, 5, 1), D(2021, 5, 2))
+    seen = views.relaxed_pages(only, F.col("date").isNull(), ["NORMAL"], F.lit(None).cast("boolean"), size=1)
+    assert {(r.date.day, r.dropped, r.page) for r in seen.collect()} == {(29, 3, 0), (1, 3, 1), (2, 3, 0)}
+
+    (tmp_path / "p.csv").write_text("time,close,XAUUSD_GOLD,US10Y,US02Y,COPPER1,COPPER2\n2020-01-01,1,10,4.0,2.0,7,8\n2020-01-01T12:00:00Z,2,11,4.0,2.0,7,8\nbad,9,9,9,9,9,9\n2020-01-02,3,,4.1,,,8\n")
+    rows = {(r.series_id, r.date.day): r.value for r in files.price_matrix(spark, f"{tmp_path}/p.csv", carry=False).collect()}
+    assert math.isclose(rows.pop(("UST10Y", 2)), 1 - 8.5 * 0.1 / 100)
+    assert rows == {("NASDAQ", 1): 2.0, ("NASDAQ", 2): 3.0, ("GOLD", 1): 11.0, ("COPPER", 1): 7.0, ("UST10Y", 1): 1.0, ("UST2Y", 1): 1.0}
+    (tmp_path / "q.csv").write_text("time,open\n2020-01-01,1\n")
+    with pytest.raises(ValueError, match="lacks the columns"):
+        files.price_matrix(spark, f"{tmp_path}/q.csv")
+    sinks.export_parquet(only, f"{tmp_path}/out", ["date"])
+    assert spark.read.parquet(f"{tmp_path}/out").dtypes == only.dtypes

@@ -19,9 +19,10 @@ def num(text: Column) -> Column:
 
 
 def to_ms(text: Column) -> Column:
-    """Epoch milliseconds: a number above 1e10 is milliseconds, another seconds (truncated to ms); else ISO-8601, UTC without an offset."""
+    """Epoch milliseconds: a number above 1e10 is milliseconds, another seconds (truncated to ms); else ISO-8601, UTC without an offset, midnight without a time."""
     x = num(text)
-    iso = F.unix_millis(F.try_to_timestamp(F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))))
+    zoned = F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    iso = F.unix_millis(F.try_to_timestamp(zoned))
     return F.when(x > 1e10, x.cast("long")).when(x.isNotNull(), (x * 1000).cast("long")).otherwise(iso)
 
 
@@ -107,3 +108,9 @@ def truncated(text: Column, limit: int = 1800) -> Column:
 
 def preview(text: Column, limit: int = 500) -> Column:
     return F.when(text.isNull(), "").when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("\u2026")))
+
+
+def event_time(time_utc_ms: Column, received_at: Column, by_arrival: bool) -> Column:
+    """When an observation counts: at its own time, or at its arrival where that is known and can be read."""
+    own = F.timestamp_millis(time_utc_ms)
+    return F.coalesce(received_at.try_cast("timestamp"), own) if by_arrival else own

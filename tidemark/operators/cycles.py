@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TAU, circular_distance, clip
+from .prep import calendar
 from .windows import by, diff, ffill, last_rows, mean, pct_change, rolling, rolling_median, rolling_sums, upto
 
 
@@ -116,6 +117,12 @@ def daily_expansion(days: DataFrame, monthly: DataFrame, values: Sequence[str])
     return joined.select("series_id", "date", *[ffill(F.col(v), w).alias(v) for v in values])
 
 
+def calendar_expansion(daily: DataFrame, monthly: DataFrame, values: Sequence[str]) -> DataFrame:
+    """daily_expansion() over every day of the calendar between a series' first and last observation."""
+    bounds = daily.groupBy("series_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return daily_expansion(calendar(bounds), monthly, values)
+
+
 def triggers(daily: DataFrame, sma: int = 200, sma_least: int = 100, z_rows: int = 252, z_least: int = 126, fast: int = 21, slow: int = 126, vol: int = 63, vol_least: int = 21, run: int = 252, z_over: float = 1.6, z_vol: float = 1.0, z_calm: float = 0.75, run_least: float = 0.2) -> DataFrame:
     """daily: series_id, date, value, state, euphoria_window_36m, euphoria_window_24m, months_until_euphoria. Adds the day's flags and levels."""
     w, c = by("series_id", "date"), F.col

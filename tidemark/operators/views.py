@@ -35,11 +35,53 @@ def rollup(states: DataFrame, period: str, key: str = "scenario") -> DataFrame:
     return out.select(key, "bucket", F.coalesce("traded", "last.date").alias("date"), "state", "score", "n_days", text.alias("triggers"))
 
 
-def segments(states: DataFrame, key: str = "scenario", value: str = "state") -> DataFrame:
-    """Runs of equal state: start, end (the next run's start, or the day after the last), days."""
+def segments(states: DataFrame, key: str = "scenario", value: str = "state", past_end: bool = True, only: Sequence[str] | None = None) -> DataFrame:
+    """Runs of equal state: start, end (the next run's start; of the last run the day after its last day, or without past_end that day), days.
+
+    only: the states whose runs are returned, once all runs are cut."""
     runs = islands(states, value, key, "date").groupBy(key, "run", value).agg(F.min("date").alias("start"), F.max("date").alias("last"))
-    end = F.coalesce(F.lead("start").over(by(key, "run")), F.date_add("last", 1))
-    return runs.select(key, value, "start", end.alias("end")).withColumn("days", F.datediff("end", "start"))
+    end = F.coalesce(F.lead("start").over(by(key, "run")), F.date_add("last", int(past_end)))
+    out = runs.select(key, value, "start", end.alias("end")).withColumn("days", F.datediff("end", "start"))
+    return out if only is None else out.filter(F.col(value).isin(*only))
+
+
+#: Years of the presets of a range; `max` is all days, and `default` starts with the first day that is not WARMUP.
+PRESETS = {"1y": 1, "5y": 5, "10y": 10}
+
+
+def clamp_range(first: Column, last: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """start and end within first and last; an end before the start gives the start's day alone."""
+    low = F.greatest(first, start)
+    return low, F.greatest(low, F.least(last, end))
+
+
+def range_presets(states: DataFrame, key: str = "scenario", by_calendar: bool = True) -> DataFrame:
+    """The days that each preset shows of a key: key, preset, start, end. Years are those of the calendar, or 365 days each."""
+    ready = F.when(F.col("state").isNotNull() & (F.col("state") != "") & (F.col("state") != "WARMUP"), F.col("date"))
+    bounds = states.groupBy(key).agg(F.min("date").alias("first"), F.max("date").alias("last"), F.min(ready).alias("ready"))
+    back = lambda n: F.add_months("last", -12 * n) if by_calendar else F.date_sub("last", 365 * n)
+    starts = {"max": F.col("first"), "default": F.coalesce("ready", "first"), **{name: back(n) for name, n in PRESETS.items()}}
+    rows = bounds.select(key, "first", "last", F.inline(F.array(*[F.struct(F.lit(name).alias("preset"), start.alias("from")) for name, start in starts.items()])))
+    start, end = clamp_range(F.col("first"), F.col("last"), F.col("from"), F.col("last"))
+    return rows.select(key, "preset", start.alias("start"), end.alias("end"))
+
+
+def relaxed_pages(rows: DataFrame, found: Column, states: Sequence[str], trading: Column, key: str = "scenario", size: int = 200) -> DataFrame:
+    """How many filters must go until each day can be seen, and the page (from 0, newest first) that it is on then: key, date, dropped, page.
+
+    The filters are a search (found), the states shown, and trading days alone (trading). dropped 0: the day is seen with all
+    of them; 1: without the search; 2: its own state is shown too; 3: all days are shown. One shuffle counts for every day at once."""
+    c, shown = F.col, F.coalesce(F.col("state").isin(*states), F.lit(False))
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    rows = rows.select(key, "date", "state", yes(found).alias("_found"), shown.alias("_shown"), yes(trading).alias("_open"))
+    kept = [c("_found") & c("_shown") & c("_open"), c("_shown") & c("_open"), c("_open"), F.lit(True)]
+    newer, own = W.partitionBy(key).orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(key, "state").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, -1)
+    count = lambda test, w: F.count(F.when(test, 1)).over(w)
+    more = lambda test: count(c("_shown") & test, newer) + F.when(c("_shown"), 0).otherwise(count(test, own))  # noqa: E731  a state that is shown for a day shows all of its days
+    before = [count(kept[0], newer), count(kept[1], newer), more(c("_open")), more(F.lit(True))]
+    dropped = F.when(kept[0], 0).when(kept[1], 1).when(kept[2], 2).otherwise(3)
+    rows = rows.select(key, "date", dropped.alias("dropped"), F.array(*before).alias("_before"))
+    return rows.select(key, "date", "dropped", F.floor(F.get("_before", F.col("dropped")) / size).cast("int").alias("page"))
 
 
 def flag_ranges(points: DataFrame, flag: str, key: str = "scenario") -> DataFrame:

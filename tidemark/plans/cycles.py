@@ -128,6 +128,13 @@ def cycle_daily(spark, sf):
     return C.daily_expansion(days, waves(spark, sf), ["wave_7y"]).select("series_id", "date", r("wave_7y", 6).alias("wave"))
 
 
+@query(f"""WITH {DETREND_SQL}, {band_sql('wave_7y')}, bd AS (SELECT series_id, min(date) AS a, max(date) AS z FROM daily GROUP BY 1), c AS (SELECT series_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM bd)
+SELECT c.series_id, c.date, round(last_value(b.c IGNORE NULLS) OVER (PARTITION BY c.series_id ORDER BY c.date), 6) + 0.0 AS wave FROM c LEFT JOIN wave_7y b ON b.series_id = c.series_id AND b.month_end = last_day(c.date)""")
+def cycle_calendar_days(spark, sf):
+    """The same on every day of the calendar."""
+    return C.calendar_expansion(daily(spark, sf), waves(spark, sf), ["wave_7y"]).select("series_id", "date", r("wave_7y", 6).alias("wave"))
+
+
 TRIG_SQL = f"""{DAILY_SQL}, t0 AS (SELECT series_id, date, value, CASE WHEN day(date) % 3 = 0 THEN 'DEFCON2' WHEN day(date) % 3 = 1 THEN 'NORMAL' END AS st, CAST(month(date) % 2 AS INT) AS e36, CAST(month(date) % 3 = 0 AS INT) AS e24, CAST(month(date) AS DOUBLE) * 2 AS mu FROM daily),
 t1 AS (SELECT *, {win("avg", "value", 200, 100, _DOVER)} AS sma, value / nullif(lag(value) {_DW}, 0) - 1 AS ret, value / nullif(lag(value, 21) {_DW}, 0) - 1 AS mf, value / nullif(lag(value, 126) {_DW}, 0) - 1 AS ms, value / nullif(lag(value, 252) {_DW}, 0) - 1 AS runup, last_value(st IGNORE NULLS) {_DW} AS state FROM t0),
 t2 AS (SELECT *, value / nullif(sma, 0) - 1 AS ox, {win("stddev_samp", "ret", 63, 21, _DOVER)} * sqrt(252) AS va FROM t1),

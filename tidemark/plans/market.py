@@ -10,6 +10,8 @@ from ..operators import portfolio as P
 from ..operators import prep
 from ..operators import score as S
 from ..operators import windows as W
+from ..sources import files
+from ..streaming.folders import shared_folder
 from .base import DAILY_SQL, daily, query, r, table
 
 #: The order priorities play the sensors; CURVE is the low-priority series about its middle.
@@ -161,6 +163,17 @@ def bond_index(spark, sf):
     return P.bond_index(y, DEFAULT.bond2_duration).select("series_id", "date", r("value", 5).alias("value"))
 
 
+@query(f"""WITH p AS (SELECT CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS v, 1 + 100 * max(l_discount) AS y FROM lineitem GROUP BY 1), a AS (SELECT *, lag(y) OVER (ORDER BY date) AS b FROM p)
+SELECT u.series_id, date, round(CASE u.series_id WHEN 'NASDAQ' THEN v WHEN 'GOLD' THEN v / 2 ELSE product(1 + coalesce(b / 100 / 252 - CASE u.series_id WHEN 'UST10Y' THEN 8.5 ELSE 1.9 END * (y - b) / 100, 0)) OVER (PARTITION BY u.series_id ORDER BY date) END, 5) + 0.0 AS value
+FROM a, (VALUES ('NASDAQ'), ('GOLD'), ('UST10Y'), ('UST2Y')) u(series_id)""")
+def price_matrix(spark, sf):
+    """Prices and bond indices from a wide file of text."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").cast("string").alias("time")).agg(F.max("l_extendedprice").alias("close"), (1 + 100 * F.max("l_discount")).alias("y"))
+    wide, path = lines.select("time", "close", (F.col("close") / 2).alias("XAUUSD spot"), F.col("y").alias("US10Y yield"), F.col("y").alias("US2Y yield")), shared_folder(spark, "prices")
+    wide.write.option("header", True).csv(path)
+    return files.price_matrix(spark, path).select("series_id", "date", r("value", 5).alias("value"))
+
+
 #: Assets for the portfolio: three groups of orders, whose lines ship on nearly every day, as windows of 200 rows need them.
 PRICE_SQL = "daily AS (SELECT 'A' || (l_orderkey % 3) AS series_id, CAST(l_shipdate AS DATE) AS date, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL)"
 ASSETS, RISK = ("A0", "A1", "A2"), ("A0", "A1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import prep, scans
 from ..operators import windows as W
+from ..sources import files
 from .base import DAILY_SQL, LEDGER_SQL, MONTHLY_SQL, ORACLES, daily, events_ledger, monthly, ms_of, orders_obs, query, r, table
 
 
@@ -44,6 +45,22 @@ def dedupe_lww(spark, sf):
     return prep.dedupe_lww(events_ledger(spark, sf)).select("series_id", "time_utc_ms", "interval", r("value").alias("value"), "seq")
 
 
+@query(f"WITH {LEDGER_SQL} SELECT series_id, time_utc_ms, interval, round(value, 4) + 0.0 AS value, seq FROM ledger WHERE series_id IN ('click', 'purchase') AND interval = '1D'")
+def series_scan(spark, sf):
+    """The rows of some series; of the ids one is blank and one unknown."""
+    rows = files.scan_series(events_ledger(spark, sf), ["click", "", None, "purchase", "nothing"], "1D")
+    return rows.select("series_id", "time_utc_ms", "interval", r("value").alias("value"), "seq")
+
+
+@query(f"WITH {LEDGER_SQL} SELECT series_id, seq, time_utc_ms, CASE WHEN seq % 3 = 0 THEN time_utc_ms ELSE epoch_us(received_at) // 1000 END AS arrival_ms FROM ledger")
+def event_times(spark, sf):
+    """Each observation's own time and its time by arrival, where every third arrival can't be read."""
+    text = F.when(F.col("seq") % 3 == 0, F.when(F.col("seq") % 2 == 0, "soon")).otherwise(F.col("received_at").cast("string"))
+    rows = events_ledger(spark, sf).withColumn("text", text)
+    own, came = (F.unix_millis(S.event_time(F.col("time_utc_ms"), F.col("text"), by)) for by in (False, True))
+    return rows.select("series_id", "seq", own.alias("time_utc_ms"), came.alias("arrival_ms"))
+
+
 @query(f"WITH {DAILY_SQL} SELECT series_id, date, round(value, 4) + 0.0 AS value FROM daily")
 def daily_last(spark, sf):
     return daily(spark, sf).select("series_id", "date", r("value").alias("value"))

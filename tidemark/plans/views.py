@@ -53,6 +53,56 @@ def state_segments(spark, sf):
     return V.segments(states(spark, sf))
 
 
+@query(f"""WITH {STATE_SQL}, a AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS c FROM st WINDOW w AS (PARTITION BY scenario ORDER BY date)),
+g AS (SELECT *, sum(c) OVER (PARTITION BY scenario ORDER BY date) AS run FROM a), s AS (SELECT scenario, run, state, min(date) AS start, max(date) AS last FROM g GROUP BY ALL),
+e AS (SELECT scenario, state, start, coalesce(lead(start) OVER (PARTITION BY scenario ORDER BY run), last) AS "end" FROM s) SELECT *, CAST("end" - start AS INT) AS days FROM e WHERE state IN ('DEFCON1', 'DEFCON2')""")
+def state_areas(spark, sf):
+    """Runs of the states that are shown, the last of which ends with its last day."""
+    return V.segments(states(spark, sf), past_end=False, only=["DEFCON1", "DEFCON2"])
+
+
+def warming(spark, sf) -> DataFrame:
+    """The states, the first 30 days of each scenario in WARMUP."""
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("scenario").orderBy("date"))
+    return states(spark, sf).withColumn("state", F.when(n <= 30, "WARMUP").otherwise(F.col("state")))
+
+
+WARMING_SQL = f"{STATE_SQL}, wm AS (SELECT * REPLACE (CASE WHEN row_number() OVER (PARTITION BY scenario ORDER BY date) <= 30 THEN 'WARMUP' ELSE state END AS state) FROM st)"
+
+
+@query(f"""WITH {WARMING_SQL}, b AS (SELECT scenario, min(date) AS a, max(date) AS z, min(date) FILTER (state <> 'WARMUP') AS ready FROM wm GROUP BY 1),
+p AS (SELECT scenario, 'calendar' AS years, unnest(['max', 'default', '1y', '5y', '10y']) AS preset, unnest([a, coalesce(ready, a), CAST(z - INTERVAL 1 YEAR AS DATE), CAST(z - INTERVAL 5 YEAR AS DATE), CAST(z - INTERVAL 10 YEAR AS DATE)]) AS f, a, z FROM b
+ UNION ALL SELECT scenario, 'days', unnest(['max', 'default', '1y', '5y', '10y']), unnest([a, coalesce(ready, a), z - 365, z - 1825, z - 3650]), a, z FROM b)
+SELECT scenario, years, preset, greatest(a, f) AS start, z AS "end" FROM p""")
+def range_presets(spark, sf):
+    """The days of each preset, by years of the calendar and by 365 days."""
+    rows = [V.range_presets(warming(spark, sf), by_calendar=c).withColumn("years", F.lit("calendar" if c else "days")) for c in (True, False)]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"""WITH {WARMING_SQL}, b AS (SELECT scenario, min(date) AS a, max(date) AS z FROM wm GROUP BY 1), w AS (SELECT scenario, date, date - 400 AS s, date + CAST((day(date) - 10) * 60 AS INT) AS e FROM wm),
+k AS (SELECT *, greatest(a, s) AS start FROM w JOIN b USING (scenario)) SELECT scenario, date, start, CASE WHEN least(z, e) < start THEN start ELSE least(z, e) END AS "end" FROM k""")
+def range_clamp(spark, sf):
+    """For each day a range around it, clamped to the days that there are."""
+    from pyspark.sql import Window as W
+
+    all_ = W.partitionBy("scenario")
+    rows = warming(spark, sf).select("scenario", "date", F.min("date").over(all_).alias("a"), F.max("date").over(all_).alias("z"))
+    start, end = V.clamp_range(F.col("a"), F.col("z"), F.date_sub("date", 400), F.date_add("date", ((F.dayofmonth("date") - 10) * 60).cast("int")))
+    return rows.select("scenario", "date", start.alias("start"), end.alias("end"))
+
+
+@query(f"""WITH {WARMING_SQL}, f AS (SELECT scenario, date, state, value > 150000 AS hit, state IN ('DEFCON1', 'WARMUP') AS shown, day(date) % 4 <> 0 AS open FROM wm),
+d AS (SELECT *, CASE WHEN hit AND shown AND open THEN 0 WHEN shown AND open THEN 1 WHEN open THEN 2 ELSE 3 END AS dropped FROM f)
+SELECT p.scenario, p.date, p.dropped, CAST(count(q.date) FILTER (CASE p.dropped WHEN 0 THEN q.hit AND q.shown AND q.open WHEN 1 THEN q.shown AND q.open WHEN 2 THEN (q.shown OR q.state = p.state) AND q.open ELSE q.shown OR q.state = p.state END) // 200 AS INT) AS page
+FROM d p LEFT JOIN d q ON q.scenario = p.scenario AND q.date > p.date GROUP BY ALL""")
+def relaxed_pages(spark, sf):
+    """For every day the filters that must go until it is seen, and its page then."""
+    return V.relaxed_pages(warming(spark, sf), F.col("value") > 150000, ["DEFCON1", "WARMUP"], F.dayofmonth("date") % 4 != 0)
+
+
 @query(f"""WITH {STATE_SQL}, f AS (SELECT scenario, date, coalesce(score > 1.5, false) AS fl FROM st), a AS (SELECT *, CASE WHEN fl <> lag(fl) OVER (PARTITION BY scenario ORDER BY date) THEN 1 ELSE 0 END AS c FROM f),
 g AS (SELECT *, sum(c) OVER (PARTITION BY scenario ORDER BY date) AS run FROM a), s AS (SELECT scenario, run, fl, min(date) AS start, max(date) AS last FROM g GROUP BY ALL), e AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY scenario ORDER BY run), last) AS fin FROM s)
 SELECT scenario, start, fin AS "end" FROM e WHERE fl""")

@@ -48,6 +48,11 @@ def export_json(df: DataFrame, path: str, order: Sequence[str]) -> None:
     df.orderBy(*order).write.mode("overwrite").json(path)
 
 
+def export_parquet(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A sorted table that keeps its types, beside the two of text."""
+    df.orderBy(*order).write.mode("overwrite").parquet(path)
+
+
 def merged_export(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows over those of an earlier export, with its further columns; a column that one side lacks is null there."""
     columns = list(dict.fromkeys([*new.columns, *sorted(set(old.columns) - set(new.columns))]))

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, EngineConfig
 from ..functions.scalars import num, to_ms
+from ..operators.portfolio import bond_index
 
 LEDGER = "series_id string, time_utc_ms bigint, interval string, value double, received_at timestamp_ntz, payload_json string"
 STATES = "as_of_date date, state string, score double, reasons string, health string, created_at timestamp_ntz"
@@ -109,6 +111,39 @@ def read_any(spark: SparkSession, path: str, interval: str = "1D", columns: dict
     return None
 
 
+def scan_series(ledger: DataFrame, ids: Sequence[str | None], interval: str | None = None) -> DataFrame:
+    """The rows of some series, of one interval if it is given. Blank ids are left out; without an id there are no rows."""
+    wanted = [i for i in ids if i]
+    rows = ledger.filter(F.col("series_id").isin(*wanted)) if wanted else ledger.limit(0)
+    return rows.filter(F.col("interval") == interval) if interval else rows
+
+
+#: A price file's assets by the beginnings of their columns, and the bonds that are made of yields, with their durations.
+ASSET_PREFIXES = {"XAUUSD": "GOLD", "BTCUSD": "BTC", "USDKRW": "USDKRW", "COPPER": "COPPER", "REMX": "REMX", "ALUMINUM": "ALUMINUM", "URANIUM": "URANIUM"}
+YIELD_PREFIXES = {"UST10Y": ("US10Y",), "UST2Y": ("US02Y", "US2Y")}
+
+
+def price_matrix(spark: SparkSession, path: str, config: EngineConfig = DEFAULT, carry: bool = True) -> DataFrame:
+    """Prices from a wide file with time and close: series_id, date, value. close is NASDAQ, other assets are known by the beginning of a column's
+    name, and bonds are indices made of their yields. Rows without a readable time are left out; of a day's rows the last counts."""
+    raw = read_csv(spark, path)
+    if not {"time", "close"} <= set(raw.columns):
+        raise ValueError(f"{path} lacks the columns time and close")
+    durations = {"UST10Y": config.bond10_duration, "UST2Y": config.bond2_duration}
+    columns = {"close": "NASDAQ", **by_prefix(raw.select(*[c for c in raw.columns if c not in ("time", "close")]), ASSET_PREFIXES)}
+    yields = {}
+    for bond, prefixes in YIELD_PREFIXES.items():
+        name = next((c for p in prefixes for c in by_prefix(raw, {p: bond})), None)
+        if name is not None:
+            yields[name] = bond
+    rows = observations(raw, "time", columns | yields, "1D")
+    daily = rows.groupBy("series_id", F.timestamp_millis("time_utc_ms").cast("date").alias("date")).agg(F.max_by("value", "time_utc_ms").alias("value"))
+    out = daily.filter(~F.col("series_id").isin(*durations))
+    for bond in yields.values():
+        out = out.unionByName(bond_index(daily.filter(F.col("series_id") == bond), durations[bond], carry))
+    return out
+
+
 def latest(states: DataFrame, n: int, upto=None) -> DataFrame:
     """The last n states, newest first; with upto only those strictly before that day."""
     rows = states if upto is None else states.filter(F.col("as_of_date") < F.lit(upto))
