@@ -140,15 +140,15 @@ def test_ridge_logit_matches_newton(spark):
     x = rng.normal(size=(400, 2))
     y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -0.5] + 0.3)))).astype(float)
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)], "a double, b double, y double")
-    m = M.ridge_logit(df, ["a", "b"], "y")
+    m = M.newton_logits(df.withColumn("k", F.lit(1)), ["k"], ["a", "b"], "y")
     w = np.zeros(3)
     xx = np.column_stack([x, np.ones(400)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-xx @ w))
         g = xx.T @ (p - y) + np.array([w[0], w[1], 0])
         w -= np.linalg.solve(xx.T @ (xx * (p * (1 - p))[:, None]) + np.diag([1, 1, 0]), g)
-    assert np.allclose([*m.coefficients.toArray(), m.intercept], w, atol=1e-5)
-    assert M.ridge_logit(df.limit(10), ["a", "b"], "y") is None
+    assert np.allclose(m[(1,)], [w[2], w[0], w[1]], atol=1e-8)
+    assert M.newton_logits(df.limit(10).withColumn("k", F.lit(1)), ["k"], ["a", "b"], "y") == {}
 
 
 def test_empty_inputs(spark):
@@ -284,3 +284,39 @@ def test_scans_ranges_and_price_files(spark, tmp_path):
         files.price_matrix(spark, f"{tmp_path}/q.csv")
     sinks.export_parquet(only, f"{tmp_path}/out", ["date"])
     assert spark.read.parquet(f"{tmp_path}/out").dtypes == only.dtypes
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_auc_over_ranges(spark, parts):
+    """All rows and rows of groups, with ties, missing values, one class, few rows and a constant probability."""
+    rng = np.random.default_rng(6)
+    rows = [(g, int(y) if rng.random() > 0.05 else None, round(float(p), 2) if rng.random() > 0.05 else None, k) for g, n in (("a", 400), ("b", 60)) for k, (p, y) in enumerate(zip(rng.random(n), rng.random(n) < 0.4))]
+    rows += [("one", 1, 0.1 * k, k) for k in range(20)] + [("few", k % 2, 0.1 * k, k) for k in range(9)] + [("flat", k % 2, 0.5, k) for k in range(30)]
+    df = spark.createDataFrame(rows, "g string, y int, p double, t int").repartition(parts)
+
+    def want(found):
+        found = sorted((p, t, y) for _, y, p, t in found if y is not None and p is not None)
+        pos, ranks = sum(y for *_, y in found), sum(k for k, (*_, y) in enumerate(found) if y)
+        if len(found) < 10 or pos in (0, len(found)):
+            return None
+        return 0.5 if found[0][0] == found[-1][0] else (ranks - pos * (pos - 1) / 2) / (pos * (len(found) - pos))
+
+    got = {r.g: r.auc for r in M.auc(df, "y", "p", "t", ["g"]).collect()}
+    assert got == {g: want([r for r in rows if r[0] == g]) for g in ("a", "b", "one", "few", "flat")}
+    whole = df.withColumn("t", F.col("t") * 10 + F.when(F.col("g") == "a", 1).when(F.col("g") == "b", 2).when(F.col("g") == "one", 3).when(F.col("g") == "few", 4).otherwise(5))
+    shift = {"a": 1, "b": 2, "one": 3, "few": 4, "flat": 5}
+    assert M.auc(whole, "y", "p", "t").first().auc == want([(g, y, p, t * 10 + shift[g]) for g, y, p, t in rows])
+
+
+@pytest.mark.parametrize("block_days", [7, 512])
+def test_composed_states_are_those_of_the_fold(spark, block_days):
+    rng, rows = np.random.default_rng(12), []
+    for name, held in (("calm", False), ("held", True), ("short", False)):
+        level = 1.0
+        for k in range(3 if name == "short" else 400):
+            level = float(np.clip(level + rng.choice([-1, -0.5, 0, 0.5, 1]), 0, 5))
+            rows.append((name, D(2019, 1, 1) + dt.timedelta(k), bool(rng.random() > 0.03), None if rng.random() < 0.02 else level, bool(rng.random() < 0.02), bool(held and rng.random() < 0.2)))
+    df = spark.createDataFrame(rows, "scenario string, date date, ready boolean, raw double, hard boolean, stale_critical boolean")
+    want, got = score.fold_states(df), score.composed_states(df, block_days=block_days)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert want.filter("held").count() > 0 and {r.state for r in want.filter("scenario = 'calm'").collect()} == {"NORMAL", "DEFCON2", "DEFCON1", "WARMUP"}

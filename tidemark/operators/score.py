@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from .prep import as_of, contiguity
+from .scans import scan
 from .windows import all_of_last, by, cross_up, ewma_std, mean, pct_change, rolling, slope, std
 
 STATE_SCHEMA = "state string, raw_score double, score double, held boolean, prev_state string, ge_2 int, ge_1 int, lt_2 int, le_1 int"
@@ -125,6 +126,59 @@ def fold_states(days: DataFrame, key: str = "scenario", config: EngineConfig = D
     return days.select(key, *_INPUT).groupBy(key).applyInPandas(lambda pdf: _fold(pdf, key, config, START), f"{key} {kind}, date date, {STATE_SCHEMA}")
 
 
+#: The machine's states by number; a day is a table that tells for each of them which one follows.
+NUMBERED = ("NORMAL", "DEFCON2", "DEFCON1", "WARMUP")
+
+
+def day_table(c: EngineConfig) -> Column:
+    """What each state becomes on a day whose streaks are known: an array of four numbers."""
+    went, rose, fell, left = F.col("ge_1") >= c.days_enter, F.col("ge_2") >= c.days_enter, F.col("lt_2") >= c.days_leave_2, F.col("le_1") >= c.days_leave_1
+    calm = F.when(went, 2).when(rose, 1).otherwise(0)
+    alert = F.when(went, 2).when(fell, 0).otherwise(1)
+    crisis = F.when(left, 1).otherwise(2)
+    each = lambda x: F.array(x, x, x, x)
+    return F.when(F.col("raw").isNull() | ~F.col("ready"), each(F.lit(3))).when(F.col("hard"), each(F.lit(2))).otherwise(F.array(calm, alert, crisis, calm))
+
+
+def scan_states(days: DataFrame, key: str = "scenario", config: EngineConfig = DEFAULT, block_days: int = 512) -> DataFrame:
+    """fold_states() without a fold, for days on which no score is held (no stale critical sensor, or no holding): then streaks follow from
+    the scores alone, and each day is a table over the four states. Tables are put together, which may be done in any grouping: blocks of
+    days in parallel, then the blocks of a key, then each block's days from the state that it starts with. Days must be consecutive."""
+    c = F.col
+    day = F.unix_date("date")
+    ready = F.coalesce(c("ready") & c("raw").isNotNull() & ~F.isnan("raw"), F.lit(False))
+    rows = days.select(key, "date", ready.alias("ready"), F.when(ready, c("raw")).alias("raw"), F.coalesce("hard", F.lit(False)).alias("hard"))
+    tests = {"ge_2": c("raw") >= config.enter_2, "ge_1": c("raw") >= config.enter_1, "lt_2": c("raw") < config.leave_2, "le_1": c("raw") <= config.leave_1}
+    rows = scan(rows, [key], "date", F.floor(day / block_days).cast("long"), {n: ("streak", t) for n, t in tests.items()})
+    rows = rows.withColumns({"_t": day_table(config), "_blk": F.floor(day / block_days).cast("long")})
+    after = lambda table, state: F.get(table, state)
+    day_row = F.struct("date", "ready", "raw", "hard", *tests, c("_t").alias("t"))
+    blocks = rows.groupBy(key, "_blk").agg(F.sort_array(F.collect_list(day_row)).alias("days"))
+    both = lambda a, x: F.transform(a, lambda s: after(x["t"], s))
+    identity = F.array(*[F.lit(k) for k in range(4)])
+    tables = blocks.select(key, "_blk", F.aggregate("days", identity, both).alias("t"))
+    # a row a block: the state that each starts with
+    chain = tables.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_blk", "t"))).alias("all"))
+    walk = F.aggregate("all", F.array(F.lit(0)), lambda a, x: F.array_append(a, after(x["t"], F.element_at(a, -1))))
+    starts = chain.select(key, F.inline(F.arrays_zip(F.col("all._blk").alias("_blk"), F.slice(walk, F.lit(1), F.size("all")).alias("start"))))
+    states = F.aggregate("days", F.array("start"), lambda a, x: F.array_append(a, after(x["t"], F.element_at(a, -1))))
+    out = blocks.join(starts, [key, "_blk"]).select(key, F.inline(F.arrays_zip("days", F.slice(states, F.lit(1), F.size("days")).alias("before"), F.slice(states, F.lit(2), F.size("days")).alias("now"))))
+    name = lambda n: F.get(F.array(*[F.lit(x) for x in NUMBERED]), n)
+    out = out.select(key, "days.*", "before", "now")
+    prev = name(F.when(c("ready") & (c("before") == 3), 0).otherwise(c("before")))
+    score_ = F.when(c("hard"), F.greatest("raw", F.lit(config.hard_floor))).otherwise(c("raw"))
+    return out.select(key, "date", name(c("now")).alias("state"), c("raw").alias("raw_score"), F.when(c("ready"), score_).alias("score"), F.lit(False).alias("held"), prev.alias("prev_state"), *[c(n).cast("int").alias(n) for n in tests])
+
+
+def composed_states(days: DataFrame, key: str = "scenario", config: EngineConfig = DEFAULT, block_days: int = 512) -> DataFrame:
+    """fold_states(): keys of which no day can hold a score by scan_states(), the others by the fold, as a held score depends on the day before."""
+    if not config.hold_last_score:
+        return scan_states(days, key, config, block_days)
+    risk = days.groupBy(key).agg(F.max(F.coalesce(F.col("stale_critical"), F.lit(False))).alias("_risk"))
+    marked = days.join(risk, key)
+    return scan_states(marked.filter("not _risk"), key, config, block_days).unionByName(fold_states(marked.filter("_risk"), key, config))
+
+
 def resume_states(days: DataFrame, stored: DataFrame, key: str = "scenario", config: EngineConfig = DEFAULT) -> DataFrame:
     """As fold_states(), over the days after each scenario's last stored one, from the state and streaks stored there.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,17 @@ def daily_states(spark, sf):
     return states(spark, sf).drop("scenario")
 
 
+#: The machine without held scores.
+HELD = "coalesce(d.ready AND d.stale_critical AND f.state IN ('DEFCON1', 'DEFCON2') AND d.raw < f.raw_score, false)"
+
+
+@query(f"WITH RECURSIVE {STATES_SQL.replace(HELD, 'false')} SELECT date, state, raw_score, score, held, prev_state, g2 AS ge_2, g1 AS ge_1, l2 AS lt_2, l1 AS le_1 FROM fold WHERE n > 0")
+def daily_states_composed(spark, sf):
+    """The states without held scores, from tables of days that are put together in blocks, without a fold."""
+    days = S.day_scores(sensor_days(spark, sf)).withColumn("scenario", F.lit("batch"))
+    return S.composed_states(days, config=replace(DEFAULT, hold_last_score=False)).drop("scenario")
+
+
 @query(f"WITH RECURSIVE {STATES_SQL} SELECT date, state, raw_score, g2 AS ge_2 FROM fold WHERE n > 0 AND date > DATE '2000-01-01'")
 def daily_states_resumed(spark, sf):
     """The days after a stored part of the history, computed from its last row."""
