@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import store
-from tidemark.operators import prep, scans, score, windows
+from tidemark.operators import prep, quantiles, scans, score, windows
 from tidemark.streaming import jobs
 
 SCHEMA = "k long, v string, at long"
@@ -153,3 +153,20 @@ def test_one_series_uses_all_tasks(spark):
 def test_scans_of_an_empty_table(spark):
     df = spark.createDataFrame([], "s string, t date, x double")
     assert scans.scan(df, ["s"], "t", scans.time_blocks(df, "t"), {"y": ("ffill", F.col("x"))}).collect() == []
+
+
+@pytest.mark.parametrize("limit", [5, 60, 10_000])
+def test_exact_medians(spark, limit):
+    """Even and odd numbers, many equal values, nulls, NaN, infinities, a key without a value and a null key; small limits need several sketches."""
+    rng, rows = random.Random(4), []
+    for g, n in (("a", 4001), ("b", 600), (None, 51), ("one", 1), ("none", 3)):
+        for _ in range(n):
+            x = None if g == "none" or rng.random() < 0.05 else rng.choice([float("nan"), float("inf")]) if rng.random() < 0.01 else rng.gauss(0, 1e6)
+            rows.append((g, x, float(rng.choice([1, 2, 2, 2, 2, 2, 3])), rng.randrange(10**6)))
+    df = spark.createDataFrame(rows, "g string, x double, y double, z int").repartition(3)
+    clean = df.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    percentiles = [F.percentile(c, F.lit(0.5)).alias(c) for c in "xyz"]
+    plain = lambda d: sorted(map(str, d.collect()))
+    assert plain(quantiles.exact_medians(df, ["x", "y", "z"], ["g"], limit)) == plain(clean.groupBy("g").agg(*percentiles))
+    assert plain(quantiles.exact_medians(df, ["x", "y", "z"], limit=limit)) == plain(clean.agg(*percentiles))
+    assert quantiles.exact_medians(df.limit(0), ["x"], limit=limit).collect() == [(None,)] and quantiles.exact_medians(df.limit(0), ["x"], ["g"]).collect() == []
