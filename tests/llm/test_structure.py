@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.test_queries import rows as in_order
-from tidemark.llm import common, conversation_repair, manifest, mixing, sharding
+from tidemark.llm import common, conversation_repair, manifest, mixing, repair, sharding
 from tidemark.llm.registry import ORACLES, QUERIES
 
 ROWS = "conv_id long, turn long, role string, text string, g string, rank string, kind string"
@@ -314,3 +315,26 @@ def test_the_mixture_uses_as_many_tasks_as_there_are_partitions(spark):
     assert len({r.task for r in rows}) > 350
     sizes = [r["count"] for r in rows if r.no_id]
     assert len(sizes) > 300 and max(sizes) < 6 * sum(sizes) / 400
+
+
+def test_a_block_that_uses_up_its_symbols_is_written_with_two_bytes():
+    """With all symbols of 16 bits in use the largest is 65535; what is left still recurs, and the round trip is exact."""
+    rng = np.random.default_rng(1)
+    seq = np.tile(rng.integers(0, 50257, 40_000), 4).astype(np.uint32)
+    rules, lengths, short, ends = repair.compress(seq, np.array([70_000, len(seq)]), 50257, 4000, 4)
+    assert 50257 + len(rules) == 1 << 16 == int(short.max()) + 1 and repair.symbol_width(50257 + len(rules)) == 2
+    assert (repair.symbol_width(1), repair.symbol_width(1 << 16), repair.symbol_width((1 << 16) + 1)) == (2, 2, 4)
+    packed = np.frombuffer(short.astype("<u2").tobytes(), "<u2").astype(np.uint32)
+    assert np.array_equal(repair.expand(packed, repair.expansions(rules, lengths, 50257)), seq) and len(short) < len(seq)
+
+
+def test_thousands_of_documents_are_read_by_their_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(k * 3, f"text {k}") for k in range(4000)] + [(None, "nobody")], "doc_id long, text string")
+    repair.write_ids(docs, f"{tmp_path}/ids")
+    every = {r.doc_id: bytes(r.ids) for r in repair.read_ids(spark, f"{tmp_path}/ids").collect()}
+    assert len(every) == 4001 and None in every
+    got = {r.doc_id: bytes(r.ids) for r in repair.read_documents(spark, f"{tmp_path}/ids", range(0, 9000)).collect()}
+    assert got == {k: v for k, v in every.items() if k is not None and k < 9000}
+    assert repair.read_documents(spark, f"{tmp_path}/ids", []).collect() == repair.read_documents(spark, f"{tmp_path}/ids", [1, -5, 10**12]).collect() == []
+    repair.write_ids(docs.limit(0), f"{tmp_path}/none")
+    assert repair.read_ids(spark, f"{tmp_path}/none").collect() == repair.read_documents(spark, f"{tmp_path}/none", [1]).collect() == []

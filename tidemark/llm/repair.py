@@ -107,6 +107,11 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, per_round: int, leas
     return rules, lengths, seq, ends
 
 
+def symbol_width(symbols: int) -> int:
+    """Bytes for each of so many symbols, which count from 0."""
+    return 2 if symbols <= 1 << 16 else 4
+
+
 def expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All symbols' expansions end to end, with the place and the length of each: the ids themselves, then the rules in order."""
     size = np.concatenate([np.ones(first, np.int64), lengths.astype(np.int64)])
@@ -266,7 +271,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
         def row() -> pa.RecordBatch:
             n = np.array(sizes, np.int64)
             rules, lengths, seq, ends = compress(np.concatenate(ids), np.cumsum(n), vocabulary, per_round, least)
-            width = 2 if vocabulary + len(rules) < 1 << 16 else 4
+            width = symbol_width(vocabulary + len(rules))
             places = np.concatenate([[0], ends[:-1]]).astype("<i8")
             named = np.array([-(1 << 63) if x is None else x for x in names], "<i8")
             known = [x for x in names if x is not None]
@@ -305,7 +310,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
 
 def read_ids(spark: SparkSession, path: str, vocabulary: int = 50257) -> DataFrame:
-    """Every document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (packed unsigned 32-bit)."""
+    """Every document of the files: doc_id (null where it was), start (ids of all documents before it), n_tokens, ids (packed unsigned 32-bit).
+    Files without a document give no rows."""
     blocks = spark.read.schema(SCHEMA).parquet(path)
     parts = blocks.groupBy("part").agg(F.sum("total").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
@@ -334,23 +340,25 @@ def read_ids(spark: SparkSession, path: str, vocabulary: int = 50257) -> DataFra
 
 def read_documents(spark: SparkSession, path: str, ids: Sequence[int], vocabulary: int = 50257) -> DataFrame:
     """Some documents of the files: doc_id, n_tokens, ids. Only blocks that may hold them are read, and of these only the documents' own
-    places are expanded."""
-    wanted = sorted(set(ids))
+    places are expanded. ids, numbers, are sent to all tasks; blocks are picked by at most 64 ranges of them, however many they are. Ids that no
+    document has, empty files and no ids give no rows; documents without an id can't be asked for."""
+    wanted = np.unique(np.array(list(ids), np.int64))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 names, places = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["places"], "<i8")
                 rules, seq = np.frombuffer(r["rules"], "<u4").reshape(-1, 2), np.frombuffer(r["seq"], f"<u{r['width']}")
-                at = np.flatnonzero(np.isin(names, wanted))
+                at = np.flatnonzero(np.isin(names, wanted) & (names != -(1 << 63)))
                 stop = np.append(places, len(seq))[at + 1]
                 found = [expand_few(seq[places[i] : j].astype(np.uint32), rules, vocabulary) for i, j in zip(at, stop)]
                 yield pa.record_batch([pa.array(names[at]), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     blocks = spark.read.schema(SCHEMA).parquet(path)
     near = F.lit(False)
-    for i in wanted:
-        near = near | ((F.col("first_id") <= i) & (F.col("last_id") >= i))
+    for some in np.array_split(wanted, min(64, max(1, len(wanted)))):
+        if len(some):
+            near = near | ((F.col("first_id") <= int(some[-1])) & (F.col("last_id") >= int(some[0])))
     return blocks.filter(near).select("doc_ids", "places", "rules", "width", "seq").mapInArrow(decode, "doc_id bigint, n_tokens bigint, ids binary")
 
 
