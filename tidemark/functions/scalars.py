@@ -86,12 +86,12 @@ def pct(a: Column, b: Column) -> Column:
 
 
 def level_label(p: Column) -> Column:
-    """Probability as one of five words."""
+    """Probability as one of five words. The bounds and the words."""
     return F.when(p.isNull(), "unknown").when(p < 0.1, "very low").when(p < 0.25, "low").when(p < 0.5, "medium").when(p < 0.75, "high").otherwise("very high")
 
 
 def bias_label(net: Column) -> Column:
-    """Euphoria less crisis as one of five words."""
+    """Euphoria less crisis as one of five words. The bounds and the words."""
     words = F.when(net >= 0.15, "Strong overheat bias").when(net >= 0.05, "Overheat bias").when(net <= -0.15, "Strong risk-off bias").when(net <= -0.05, "Risk-off bias")
     return F.when(net.isNull() | F.isnan(net), "Unknown").otherwise(F.coalesce(words, F.lit("Mixed/neutral")))
 

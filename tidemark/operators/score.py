@@ -221,7 +221,7 @@ def health(sensors_by_day: DataFrame) -> DataFrame:
 
 def reasons(rows: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Nested records of a day: reasons (scores, streaks, triggers, trend, allocation, thresholds) and their JSON text. With the column
-    stale_critical (health()) the record names these sensors, and a held score says so among the triggers."""
+    stale_critical (health()) the record names these sensors, and a held score says so among the triggers (fixed value: the text)."""
     allocation = F.struct("action", "equity", F.bround(F.col("equity") * 100, 1).alias("equity_pct"))
     streaks = F.struct("ge_2", "ge_1", "lt_2", "le_1")
     stale = F.col("stale_critical") if "stale_critical" in rows.columns else F.array().cast("array<string>")
@@ -251,7 +251,7 @@ def trend(daily: DataFrame, window: int = 200, vol_window: int = 20, live: bool
 
 
 def fixed_allocation(state: Column, signal: Column, config: EngineConfig = DEFAULT) -> tuple[Column, Column]:
-    """Action and equity weight by the table of state and trend."""
+    """Action and equity weight by the table of state and trend. The actions' words."""
     weight = F.when(state == "NORMAL", 0.0)
     for (s, t), x in config.equity.items():
         weight = weight.when((state == s) & (signal == t), x)
@@ -260,7 +260,7 @@ def fixed_allocation(state: Column, signal: Column, config: EngineConfig = DEFAU
 
 
 def target_allocation(state: Column, signal: Column, vol_ann: Column, config: EngineConfig = DEFAULT) -> tuple[Column, Column]:
-    """Action and equity weight by trend and volatility target."""
+    """Action and equity weight by trend and volatility target. The actions' words."""
     cap = config.leverage_cap if config.leverage_cap > 0 else 1.0
     fixed_action, fixed_weight = fixed_allocation(state, signal, config)
     base = F.when(vol_ann > 0, config.target_vol / F.nullif(vol_ann, F.lit(0.0))).otherwise(1.0)

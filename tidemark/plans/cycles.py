@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import cycles as C
 from ..operators import models as M
 
-from ..operators import windows as W
-from .base import DAILY_SQL, LONG_MONTHLY_SQL, ORACLES, daily, long_monthly, query, r, table
+from .base import DAILY_SQL, LONG_MONTHLY_SQL, daily, long_monthly, query, r, table
 
 _OVER = "OVER (PARTITION BY series_id ORDER BY month_end ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 _W = "OVER (PARTITION BY series_id ORDER BY month_end)"
@@ -155,14 +154,14 @@ def fear_triggers(spark, sf):
     return trigger_days(spark, sf).select("series_id", "date", "fear_trigger", "euphoria_trigger", "fear_level", "euphoria_level", "macro_risk")
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, CAST(last_day(o_orderdate) AS DATE) AS as_of, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 61)::DOUBLE END AS mf, ((o_orderkey % 17)::DOUBLE - 2) AS me FROM orders WHERE o_orderkey % 97 = 0),
+@query("""WITH e AS (SELECT o_orderkey AS id, CAST(last_day(o_orderdate) AS DATE) AS as_of, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 61)::DOUBLE END AS mf, ((o_orderkey % 17)::DOUBLE - 2) AS me FROM orders),
 p AS (SELECT *, CASE WHEN mf >= 0 THEN as_of + to_months(mf::INT) END AS fp, CASE WHEN me >= 0 THEN as_of + to_months(me::INT) END AS ep FROM e),
 m AS (SELECT *, last_day(as_of + to_months(k::INT)) AS month_end FROM (SELECT *, unnest(generate_series(-12, 60)) AS k FROM p)),
 f AS (SELECT *, coalesce(month_end BETWEEN fp - INTERVAL 36 MONTH AND fp, false)::INT AS fear_36m, coalesce(month_end BETWEEN fp - INTERVAL 24 MONTH AND fp, false)::INT AS fear_24m, coalesce(month_end BETWEEN ep - INTERVAL 36 MONTH AND ep, false)::INT AS euphoria_36m FROM m)
 SELECT id, month_end, fear_36m, fear_24m, euphoria_36m, CASE WHEN fear_36m = 1 AND euphoria_36m = 1 THEN 'FEAR+EUPH' WHEN fear_36m = 1 THEN 'FEAR' WHEN euphoria_36m = 1 THEN 'EUPH' ELSE 'NONE' END AS label FROM f""")
-def fear_calendar(spark, sf):
-    """A sample of the orders; fear_calendar_all has them all."""
-    return fear_calendar_of(table(spark, sf, "orders").filter(F.col("o_orderkey") % 97 == 0))
+def fear_calendar_all(spark, sf):
+    """The month calendar of every order."""
+    return fear_calendar_of(table(spark, sf, "orders"))
 
 
 def fear_calendar_of(orders: DataFrame) -> DataFrame:
@@ -171,11 +170,6 @@ def fear_calendar_of(orders: DataFrame) -> DataFrame:
     return C.month_calendar(e).select("id", "month_end", "fear_36m", "fear_24m", "euphoria_36m", "label")
 
 
-@query(ORACLES["fear_calendar"].replace(" WHERE o_orderkey % 97 = 0", ""))
-def fear_calendar_all(spark, sf):
-    return fear_calendar_of(table(spark, sf, "orders"))
-
-
 @query("""SELECT 'order-' || o_orderkey AS uid, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:order-' || o_orderkey || chr(13) || chr(10) || 'DTSTART;VALUE=DATE:' || strftime(date_trunc('month', o_orderdate), '%Y%m%d') || chr(13) || chr(10) || 'DTEND;VALUE=DATE:' || strftime(date_trunc('month', o_orderdate) + INTERVAL 1 DAY, '%Y%m%d') || chr(13) || chr(10) || 'SUMMARY:' || o_orderpriority || chr(13) || chr(10) || 'END:VEVENT' AS event FROM orders""")
 def calendar_events(spark, sf):
     o = table(spark, sf, "orders")

@@ -11,7 +11,6 @@ from ..config import DEFAULT
 from ..operators import portfolio as P
 from ..operators import prep
 from ..operators import score as S
-from ..operators import windows as W
 from ..sources import files
 from ..streaming.folders import shared_folder
 from .base import DAILY_SQL, daily, query, r, table

@@ -9,7 +9,6 @@ from .. import sinks
 from ..functions import scalars as X
 from ..operators import cycles as C
 from ..operators import models as M
-from ..operators import portfolio as P
 from ..operators import prep
 from ..operators import score as S
 from ..operators import views as V
@@ -115,10 +114,10 @@ _E = lambda h: _LEVEL(f"(CASE WHEN euphoria_trigger = 1 THEN 1.0 ELSE least(1, g
 _Q = "0.6744897501960817"
 
 
-@query(f"""WITH {cycles.TIMING_SQL} SELECT series_id, date, 'As of ' || date || ': the sentences below are probability-based references, not guaranteed event days.' || chr(10) ||
- 'Fear (risk-off) transition window: ' || coalesce((date + CAST(floor(exp(lm - sg * {_Q})) AS INT)) || ' ~ ' || (date + CAST(floor(exp(lm + sg * {_Q})) AS INT)), 'missing a reliable window') || ' (ETA: ' || coalesce((date + CAST(floor(med) AS INT))::VARCHAR, '—') || '). Short-term (1m): ' || {_C(21)} || '; mid-term (3–6m): ' || {_C(63)} || '/' || {_C(126)} || '; 1y: ' || {_C(252)} || '.' || chr(10) ||
- 'Euphoria transition window: ' || (date + CAST(floor(exp(le - 0.95 * {_Q})) AS INT)) || ' ~ ' || (date + CAST(floor(exp(le + 0.95 * {_Q})) AS INT)) || ' (ETA: ' || (date + CAST(floor(mede) AS INT)) || '). Short-term (1w–1m): ' || {_E(5)} || '/' || {_E(21)} || '; mid-term (3m): ' || {_E(63)} || '; 1y: ' || {_E(252)} || '.' || chr(10) ||
- 'Note: Risk-off/Overheat are not a 1:1 match with Bull/Bear (±20% rule).' AS text FROM z QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) = 1""")
+@query(f"""WITH {cycles.TIMING_SQL} SELECT series_id, date, 'Estimates of ' || date || ', which name probabilities and promise no day.' || chr(10) ||
+ 'Crisis: most likely between ' || coalesce((date + CAST(floor(exp(lm - sg * {_Q})) AS INT)) || ' and ' || (date + CAST(floor(exp(lm + sg * {_Q})) AS INT)), 'unknown days') || ', median ' || coalesce((date + CAST(floor(med) AS INT))::VARCHAR, 'unknown') || '; one month ' || {_C(21)} || ', three months ' || {_C(63)} || ', six months ' || {_C(126)} || ', one year ' || {_C(252)} || '.' || chr(10) ||
+ 'Euphoria: most likely between ' || (date + CAST(floor(exp(le - 0.95 * {_Q})) AS INT)) || ' and ' || (date + CAST(floor(exp(le + 0.95 * {_Q})) AS INT)) || ', median ' || (date + CAST(floor(mede) AS INT)) || '; one week ' || {_E(5)} || ', one month ' || {_E(21)} || ', three months ' || {_E(63)} || ', one year ' || {_E(252)} || '.' || chr(10) ||
+ 'Neither is the same as a bull or bear phase, which prices alone decide.' AS text FROM z QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) = 1""")
 def timing_narrative(spark, sf):
     return M.narrative(cycles.timing_days(spark, sf), ["series_id"])
 

@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import prep, scans
 from ..operators import windows as W
 from ..sources import files
-from .base import DAILY_SQL, LEDGER_SQL, MONTHLY_SQL, ORACLES, daily, events_ledger, monthly, ms_of, orders_obs, query, r, table
+from .base import DAILY_SQL, LEDGER_SQL, MONTHLY_SQL, ORACLES, daily, events_ledger, monthly, ms_of, query, r, table
 
 
 
@@ -241,28 +241,6 @@ def age_stale(spark, sf):
     return last.select("series_id", age.alias("age"), (age > 4).alias("late"), (age > 5).alias("stale"))
 
 
-PROBES_SQL = DAILY_SQL + ", probes AS (SELECT '5-LOW' AS series_id, CAST(unnest(generate_series(DATE '1994-12-01', DATE '2001-12-31', INTERVAL 9 DAY)) AS DATE) AS date), low AS (SELECT series_id, date, date AS as_of, value FROM daily WHERE series_id = '5-LOW' AND day(date) <= 20)"
-
-
-def probes(spark, sf):
-    days = spark.sql("SELECT '5-LOW' AS series_id, explode(sequence(DATE '1994-12-01', DATE '2001-12-31', INTERVAL 9 DAY)) AS date")
-    return days, daily(spark, sf).filter((F.col("series_id") == "5-LOW") & (F.dayofmonth("date") <= 20))
-
-
-@query(f"WITH {PROBES_SQL} SELECT p.series_id, p.date, f.as_of, round(f.value, 4) + 0.0 AS value FROM probes p ASOF LEFT JOIN low f ON p.series_id = f.series_id AND p.date >= f.date")
-def asof_join(spark, sf):
-    days, facts = probes(spark, sf)
-    return prep.as_of(days, facts, ["series_id"], ["value"]).select("series_id", "date", "as_of", r("value").alias("value"))
-
-
-@query(f"""WITH {PROBES_SQL}, b AS (SELECT p.series_id, p.date, f.as_of AS bd, f.value AS bv FROM probes p ASOF LEFT JOIN low f ON p.series_id = f.series_id AND p.date >= f.date),
-a AS (SELECT p.series_id, p.date, f.as_of AS ad, f.value AS av FROM probes p ASOF LEFT JOIN low f ON p.series_id = f.series_id AND p.date <= f.date)
-SELECT series_id, date, CASE WHEN ad IS NULL OR date - bd <= ad - date THEN bd ELSE ad END AS as_of, round(CASE WHEN ad IS NULL OR date - bd <= ad - date THEN bv ELSE av END, 4) + 0.0 AS value FROM b JOIN a USING (series_id, date)""")
-def nearest_join(spark, sf):
-    days, facts = probes(spark, sf)
-    return prep.nearest(days, facts, ["series_id"], ["value"]).select("series_id", "date", "as_of", r("value").alias("value"))
-
-
 ALL_PROBES_SQL = DAILY_SQL + ", ends AS (SELECT min(date) AS a, max(date) AS z FROM daily), days AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS date FROM ends), probes AS (SELECT series_id, date FROM (SELECT DISTINCT series_id FROM daily), days), facts AS (SELECT series_id, date, date AS as_of, value FROM daily)"
 
 

@@ -16,7 +16,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, EngineConfig
 from ..operators import prep, score
-from ..operators.windows import by
 from .ledger import accepted, start_ledger
 
 STATES = f"date date, {score.STATE_SCHEMA}, scenario string, month string"
