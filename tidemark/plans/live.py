@@ -52,10 +52,6 @@ def payloads(spark, sf) -> DataFrame:
     return o.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("value"), F.col("o_orderdate").cast("date").alias("date"), (F.col("o_orderkey") % 10 == 3).alias("late"))
 
 
-def with_curve(d: DataFrame) -> DataFrame:
-    return d.unionByName(d.filter("series_id = '5-LOW'").select(F.lit("CURVE").alias("series_id"), "date", (F.col("value") - 150000).alias("value")))
-
-
 @query(ORACLES["daily_states"])
 def daily_states_late(spark, sf):
     """The daily states from payloads of which one in ten comes in two later batches, each of which changes only what follows from it."""
@@ -63,7 +59,7 @@ def daily_states_late(spark, sf):
     recent = F.col("date") >= F.lit("2001-03-01").cast("date")
     for k, part in enumerate((~F.col("late"), F.col("late") & recent, F.col("late") & ~recent)):
         rows.filter(part).select("value").write.text(f"{folder}/source/piece-{k}")
-        query_ = recompute.start_live_states(spark, f"{folder}/source/*", f"{folder}/ledger", f"{folder}/checkpoint", f"{folder}/states", market.SENSORS, derive=with_curve)
+        query_ = recompute.start_live_states(spark, f"{folder}/source/*", f"{folder}/ledger", f"{folder}/checkpoint", f"{folder}/states", market.SENSORS, derive=market.with_curve)
         query_.awaitTermination()
     return recompute.read_states(spark, f"{folder}/states").drop("scenario", "month")
 

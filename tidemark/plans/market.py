@@ -13,7 +13,7 @@ from ..operators import prep
 from ..operators import score as S
 from ..sources import files
 from ..streaming.folders import shared_folder
-from .base import DAILY_SQL, daily, query, r, table
+from .base import DAILY_SQL, daily, orders_obs, query, r, table
 
 #: The order priorities play the sensors; CURVE is the low-priority series about its middle.
 SENSORS = (
@@ -54,9 +54,14 @@ fold AS (
    FROM fold f JOIN num d ON d.n = f.n + 1))))"""
 
 
+def with_curve(d: DataFrame) -> DataFrame:
+    """The days' values and CURVE, which is made of one of the series as it passes, so that they are aggregated once."""
+    own, curve = F.struct("series_id", "date", "value"), F.struct(F.lit("CURVE").alias("series_id"), "date", (F.col("value") - 150000).alias("value"))
+    return d.select(F.inline(F.when(F.col("series_id") == "5-LOW", F.array(own, curve)).otherwise(F.array(own))))
+
+
 def observations(spark, sf) -> DataFrame:
-    d = daily(spark, sf)
-    return d.unionByName(d.filter("series_id = '5-LOW'").select(F.lit("CURVE").alias("series_id"), "date", (F.col("value") - 150000).alias("value")))
+    return with_curve(daily(spark, sf))
 
 
 def calendar_days(d: DataFrame) -> DataFrame:
@@ -64,7 +69,8 @@ def calendar_days(d: DataFrame) -> DataFrame:
 
 
 def sensor_days(spark, sf) -> DataFrame:
-    return S.sensor_days(calendar_days(daily(spark, sf)), observations(spark, sf), SENSORS, ma_window=MA, back=BACK)
+    dates = orders_obs(spark, sf).select(F.col("ts").cast("date").alias("date"))  # the bounds need no aggregate of the days
+    return S.sensor_days(calendar_days(dates), observations(spark, sf), SENSORS, ma_window=MA, back=BACK)
 
 
 def states(spark, sf) -> DataFrame:
