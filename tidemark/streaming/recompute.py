@@ -21,10 +21,18 @@ from .ledger import accepted, start_ledger
 STATES = f"date date, {score.STATE_SCHEMA}, scenario string, month string"
 
 
+def local_day(tz: str = "UTC") -> Column:
+    """The local day of a ledger's row."""
+    return prep.local_date(observed_at(), tz)
+
+
+def observed_at() -> Column:
+    return F.to_timestamp_ntz(F.timestamp_millis("time_utc_ms").cast("string"))
+
+
 def ledger_daily(ledger: DataFrame, tz: str = "UTC") -> DataFrame:
     """The last value of each series and local day of a ledger's rows."""
-    obs = ledger.select("series_id", F.to_timestamp_ntz(F.timestamp_millis("time_utc_ms").cast("string")).alias("ts"), "value", F.col("time_utc_ms").alias("seq"))
-    return prep.daily_last(obs, tz)
+    return prep.daily_last(ledger.select("series_id", observed_at().alias("ts"), "value", F.col("time_utc_ms").alias("seq")), tz)
 
 
 def changed_days(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -99,18 +107,19 @@ def apply_batch(spark: SparkSession, out: str, n: int, states: str, sensors: Seq
 
     derive: further series made of a day's values (series_id, date, value in and out). Days before the first change are neither computed nor written;
     days after the last stored one are always computed. Days that the ledger lost all values of do not occur: it only takes rows in."""
-    rows = accepted(spark, out).filter(F.col("batch") <= n)
-    touched = ledger_daily(rows.filter(F.col("batch") == n), tz).select("series_id", "date").distinct()
+    rows = accepted(spark, out).filter(F.col("batch") <= n).withColumn("date", local_day(tz))
     lww = lambda r: ledger_daily(prep.dedupe_lww(r, order=("received_at", "batch", "seq")), tz)
-    now = lww(rows)
-    change = first_changes(lww(rows.filter(F.col("batch") < n)).join(touched, ["series_id", "date"], "left_semi"), now.join(touched, ["series_id", "date"], "left_semi"))
-    first = change.agg(F.min("first")).first()[0]
-    start, last = now.agg(F.min("date"), F.max("date")).first()
+    # only the days that the batch touches are held against what they were
+    touched = rows.filter(F.col("batch") == n).select("series_id", "date").distinct()
+    near = rows.join(touched, ["series_id", "date"], "left_semi")
+    first = first_changes(lww(near.filter(F.col("batch") < n)), lww(near)).agg(F.min("first")).first()[0]
+    start, last = rows.agg(F.min("date"), F.max("date")).first()
     stored = read_states(spark, states).filter(F.col("scenario") == scenario)
     known = stored.agg(F.max("date")).first()[0]
     if last is None or first is None and known is not None and known >= last:
         return None, []
     first = min(x for x in (first, start if known is None else known + datetime.timedelta(days=1)) if x is not None)
+    now = lww(rows)
     daily = derive(now) if derive else now
     scores = suffix_scores(daily, sensors, first, last, config, ma_window, back).withColumn("scenario", F.lit(scenario))
     seed = stored.filter(F.col("date") == F.lit(first - datetime.timedelta(days=1)))
