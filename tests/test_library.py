@@ -218,8 +218,9 @@ def test_weights_never_exceed_cap(spark, cap):
 
 
 @pytest.mark.parametrize("n", [48, 60, 200])
-def test_long_frames_are_those_read_row_by_row(spark, n):
-    """Series with gaps, shorter than a block, without spread, and without a value at their beginning; large values with a small spread."""
+def test_long_frames_are_those_read_row_by_row(spark, n, monkeypatch):
+    """Also of fewer rows than are put together from blocks otherwise. Series with gaps, shorter than a block, without spread, and without a value at their beginning; large values with a small spread."""
+    monkeypatch.setattr(windows, "LONG_FRAME", 48)
     rng, frames = np.random.default_rng(1), []
     for name, size in (("a", 500), ("b", 49), ("c", 3), ("flat", 410), ("late", 300), ("edge", 2 * n)):
         x = rng.normal(1e6, 5, size)
