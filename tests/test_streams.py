@@ -144,6 +144,33 @@ def test_late_batches_change_only_what_follows(spark, tmp_path, observed):
     assert results[5][0] == day(-3) and stored() == full_run(spark, now)
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_a_batch_moves_no_rows_of_the_ledger(spark, tmp_path):
+    """Ten days of two series, each written 2000 times, in a ledger that is too large to be broadcast: sums of the days are shuffled, not rows. Of a time's
+    writes the last by arrival counts, of whichever batch."""
+    times = [(s, k) for s in ("A", "C") for k in range(10)]
+    for n, sent in ((0, range(2000)), (1, (1500, 2500))):
+        rows = [(s, 1577836800000 + k * 86400000, "1D", float(w + k), dt.datetime(2021, 1, 1) + dt.timedelta(seconds=w), None, w) for s, k in times if n == 0 or (s, k) in (("A", 4), ("C", 7)) for w in sent if n == 0 or (w > 2000) == (s == "A")]
+        spark.createDataFrame(rows, "series_id string, time_utc_ms long, interval string, value double, received_at timestamp, payload_json string, seq long").write.parquet(f"{tmp_path}/ledger/accepted/batch={n}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        first = [recompute.apply_batch(spark, f"{tmp_path}/ledger", n, f"{tmp_path}/states", SENSORS, ma_window=3, back=1)[0] for n in (0, 1)]
+        assert shuffled_rows(spark) - before < 10000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert first == [D(2020, 1, 1), D(2020, 1, 5)]  # the older write of C changes nothing
+    now = recompute.batch_days(ledger.accepted(spark, f"{tmp_path}/ledger"), 1)
+    assert {(r.series_id, r.date.day, r.value, r.old) for r in now.filter("touched").collect()} == {("A", 5, 2504.0, 2003.0), ("C", 8, 2006.0, 2006.0)}
+
+
 def test_rows_within_reach(spark):
     daily = spark.createDataFrame([(s, day(k), None if k == 3 else float(k)) for s, n in (("a", 30), ("b", 4)) for k in range(n)], "series_id string, date date, value double")
     got = {s: sorted((r.date, r.earlier) for r in recompute.within_reach(daily, day(20), 5).filter(F.col("series_id") == s).collect()) for s in "ab"}

@@ -21,29 +21,23 @@ from .ledger import accepted, start_ledger
 STATES = f"date date, {score.STATE_SCHEMA}, scenario string, month string"
 
 
-def local_day(tz: str = "UTC") -> Column:
-    """The local day of a ledger's row."""
-    return prep.local_date(observed_at(), tz)
-
-
 def observed_at() -> Column:
     return F.to_timestamp_ntz(F.timestamp_millis("time_utc_ms").cast("string"))
 
 
-def ledger_daily(ledger: DataFrame, tz: str = "UTC") -> DataFrame:
-    """The last value of each series and local day of a ledger's rows."""
-    return prep.daily_last(ledger.select("series_id", observed_at().alias("ts"), "value", F.col("time_utc_ms").alias("seq")), tz)
-
-
-def changed_days(before: DataFrame, after: DataFrame) -> DataFrame:
-    """before, after: series_id, date, value of the days that a batch touches. Those that it changes: a value that is sent again is no change."""
-    both = before.withColumn("old", F.struct("value")).join(after.withColumn("new", F.struct("value")), ["series_id", "date"], "full")
-    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("series_id", "date")
-
+def batch_days(ledger: DataFrame, n: int, tz: str = "UTC") -> DataFrame:
+    """The ledger's rows up to batch n as series_id, date, value, the last of each local day; `old`, which the day had before batch n, null if none; and
+    `touched`, whether batch n has rows of it. Accepted rows have a value.
 
-def first_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The earliest changed day of each series: series_id, first."""
-    return changed_days(before, after).groupBy("series_id").agg(F.min("date").alias("first"))
+    Rows are summed to the last write of each time, before and with batch n at once, and only then moved: what passes the shuffle follows the series' times,
+    however often these were written, and no payload passes it."""
+    order, before = F.struct("received_at", "batch", "seq"), F.col("batch") < n
+    value = F.max_by("value", order).alias("value")
+    old = F.max_by("value", F.when(before, order)).alias("old")
+    times = ledger.filter(F.col("batch") <= n).groupBy("series_id", "time_utc_ms", "interval").agg(value, old, F.max(~before).alias("touched"))
+    at = F.struct("time_utc_ms", "interval")
+    days = times.groupBy("series_id", prep.local_date(observed_at(), tz).alias("date"))
+    return days.agg(F.max_by("value", at).alias("value"), F.max_by("old", F.when(F.col("old").isNotNull(), at)).alias("old"), F.max("touched").alias("touched"))
 
 
 def reach(ma_window: int = 200, back: int = 20) -> int:
@@ -107,24 +101,23 @@ def apply_batch(spark: SparkSession, out: str, n: int, states: str, sensors: Seq
 
     derive: further series made of a day's values (series_id, date, value in and out). Days before the first change are neither computed nor written;
     days after the last stored one are always computed. Days that the ledger lost all values of do not occur: it only takes rows in."""
-    rows = accepted(spark, out).filter(F.col("batch") <= n).withColumn("date", local_day(tz))
-    lww = lambda r: ledger_daily(prep.dedupe_lww(r, order=("received_at", "batch", "seq")), tz)
-    # only the days that the batch touches are held against what they were
-    touched = rows.filter(F.col("batch") == n).select("series_id", "date").distinct()
-    near = rows.join(touched, ["series_id", "date"], "left_semi")
-    first = first_changes(lww(near.filter(F.col("batch") < n)), lww(near)).agg(F.min("first")).first()[0]
-    start, last = rows.agg(F.min("date"), F.max("date")).first()
-    stored = read_states(spark, states).filter(F.col("scenario") == scenario)
-    known = stored.agg(F.max("date")).first()[0]
-    if last is None or first is None and known is not None and known >= last:
-        return None, []
-    first = min(x for x in (first, start if known is None else known + datetime.timedelta(days=1)) if x is not None)
-    now = lww(rows)
-    daily = derive(now) if derive else now
-    scores = suffix_scores(daily, sensors, first, last, config, ma_window, back).withColumn("scenario", F.lit(scenario))
-    seed = stored.filter(F.col("date") == F.lit(first - datetime.timedelta(days=1)))
-    new = score.resume_states(scores, seed, config=config).drop("scenario")
-    return first, replace_states(states, new, first, scenario)
+    days = batch_days(accepted(spark, out), n, tz).persist()  # a row a series and day
+    try:
+        changed = F.col("touched") & ~F.col("value").eqNullSafe(F.col("old"))  # a value that is sent again is no change
+        first, start, last = days.agg(F.min(F.when(changed, F.col("date"))), F.min("date"), F.max("date")).first()
+        stored = read_states(spark, states).filter(F.col("scenario") == scenario)
+        known = stored.agg(F.max("date")).first()[0]
+        if last is None or first is None and known is not None and known >= last:
+            return None, []
+        first = min(x for x in (first, start if known is None else known + datetime.timedelta(days=1)) if x is not None)
+        now = days.select("series_id", "date", "value")
+        daily = derive(now) if derive else now
+        scores = suffix_scores(daily, sensors, first, last, config, ma_window, back).withColumn("scenario", F.lit(scenario))
+        seed = stored.filter(F.col("date") == F.lit(first - datetime.timedelta(days=1)))
+        new = score.resume_states(scores, seed, config=config).drop("scenario")
+        return first, replace_states(states, new, first, scenario)
+    finally:
+        days.unpersist()
 
 
 def start_live_states(spark: SparkSession, source: str, out: str, checkpoint: str, states: str, sensors: Sequence[score.Sensor], seen: Callable | None = None, **options) -> StreamingQuery:
