@@ -206,6 +206,22 @@ def test_packed_texts_are_those_of_whole_texts():
         assert [x.tolist() for x in table.pack(group)] == [reference.encode_ordinary(t) for t in group]
 
 
+def test_new_matches_go_to_the_library_together():
+    """Thousands of new words, some with signs, digits and letters of other scripts at their ends, are some dozens of texts for the library, and a
+    table that forgets gives the same ids."""
+    reference, rng, given = encoding(), random.Random(3), []
+    words = ["".join(rng.choice(["a", "e", "st", "ing", "Q", "é", "日", "٣", "7", ".", "'s", "\u0301", "\x1c", "ǅ"]) for _ in range(rng.randrange(1, 9))) for _ in range(6000)]
+    for most in (500_000, 1000):
+        table = repair.PieceTable(public_tokenizers.path("byte_bpe_50k.json"), most=most)
+        encoded, given = table.encoded, []
+        table.encoded = lambda strings, e=encoded, g=given: (g.extend(strings), e(strings))[1]  # noqa: B023
+        for part in (words[:3000], words[3000:], words[:3000]):
+            assert table.pack(["x " + " ".join(part)])[0].tolist() == reference.encode_ordinary("x " + " ".join(part))
+        spaced = [x for x in given if x[0] == " " and x[1:2].strip()]
+        assert len(spaced) < 100
+        assert all((table.head == [p[0] == " " for p in table.code]).tolist()) and len(table.head) == len(table.size) == len(table.code)
+
+
 def test_token_files_hold_the_ids_of_plain_calls(spark):
     from tokenizers import Tokenizer
 

@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +150,9 @@ def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     return flat[np.repeat(place[seq] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
 
 
+#: New matches in one text for the library, whose work for a text is more than that for a match.
+JOINED = 256
+
 _ENCODERS: dict[str, PieceTable] = {}
 
 #: A space between two other characters, or at a text's start, behind which no match of the pattern crosses.
@@ -165,8 +169,12 @@ class PieceTable:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True  # in a match they are ordinary text; `whole_texts` looks for them
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ids = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(ids.values()) + 1, bool)  # ids whose bytes begin with a space, which the vocabulary writes as Ġ
+        self.spaced[[i for t, i in ids.items() if t[0] == "Ġ"]] = True
         self.code: dict[str, int] = {}
         self.flat, self.size, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.head = np.empty(0, bool)  # whether a match begins with a space
 
     def forget(self) -> None:
         """Keeps the matches met most often, at most half of the table, whose counts are halved."""
@@ -174,7 +182,7 @@ class PieceTable:
         kept = np.zeros(len(self.used), bool)
         kept[keep] = True
         self.flat = self.flat[np.repeat(kept, self.size)]
-        self.size, self.used = self.size[kept], self.used[kept] // 2
+        self.size, self.used, self.head = self.size[kept], self.used[kept] // 2, self.head[kept]
         self.code = dict(zip((p for p, k in zip(self.code, kept.tolist()) if k), range(len(keep))))
 
     def encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +194,20 @@ class PieceTable:
             size.append(len(ids))
         return np.array(flat, np.uint32), np.array(size, np.int64)
 
+    def learn(self, pieces: list[str]) -> None:
+        """Takes new matches into the table. Those with one space, before other characters, go to the library many at once, as each is a match
+        again in a text made of them, and only its first id's bytes begin with a space."""
+        joined, rest = [], []
+        for p in pieces:
+            (joined if p[0] == " " and len(p) > 1 and not p[1].isspace() else rest).append(p)
+        flat, _ = self.encoded(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)])
+        size = np.diff(np.flatnonzero(self.spaced[flat]), append=len(flat))
+        more, n = self.encoded(rest)
+        self.code.update(zip(joined + rest, range(len(self.code), len(self.code) + len(pieces))))
+        self.flat, self.size = np.concatenate([self.flat, flat, more]), np.concatenate([self.size, size, n])
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), np.int64)])
+        self.head = np.concatenate([self.head, np.ones(len(joined), bool), np.array([p[0] == " " for p in rest], bool)])
+
     def runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs without spaces, each with the space before it."""
         if not runs:
@@ -193,13 +215,11 @@ class PieceTable:
         if len(self.code) > self.most:
             self.forget()
         pieces = PIECES.findall(" " + " ".join(runs))
-        if fresh := [p for p in dict.fromkeys(pieces) if p not in self.code]:
-            flat, size = self.encoded(fresh)
-            self.code.update(zip(fresh, range(len(self.code), len(self.code) + len(fresh))))
-            self.flat, self.size, self.used = np.concatenate([self.flat, flat]), np.concatenate([self.size, size]), np.concatenate([self.used, np.zeros(len(size), np.int64)])
+        if fresh := list(dict.fromkeys(filterfalse(self.code.__contains__, pieces))):
+            self.learn(fresh)
         codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
         self.used += np.bincount(codes, minlength=len(self.used))
-        begin = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))  # only a run's first match has one
+        begin = np.flatnonzero(self.head[codes])  # only a run's first match has one
         return expand(codes, (self.flat, np.cumsum(self.size) - self.size, self.size)), np.add.reduceat(self.size[codes], begin)
 
     def pack(self, texts: list[str]) -> list[np.ndarray]:
