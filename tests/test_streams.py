@@ -175,3 +175,11 @@ def test_rows_within_reach(spark):
     daily = spark.createDataFrame([(s, day(k), None if k == 3 else float(k)) for s, n in (("a", 30), ("b", 4)) for k in range(n)], "series_id string, date date, value double")
     got = {s: sorted((r.date, r.earlier) for r in recompute.within_reach(daily, day(20), 5).filter(F.col("series_id") == s).collect()) for s in "ab"}
     assert got == {"a": [(day(k), 14) for k in range(15, 30)], "b": [(day(k), 0) for k in range(4)]}
+
+
+def test_refused_payloads_keep_their_text(spark, tmp_path):
+    lines = [payload("A", day(1), 5.0, 0), "{bad", payload("", day(1), 5.0, 0)]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_path}/source")
+    ledger.start_ledger(spark, f"{tmp_path}/source", f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert {(r.raw, r.reject) for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()} == {(lines[1], "json"), (lines[2], "series_id")}
+    assert [r.series_id for r in ledger.accepted(spark, f"{tmp_path}/out").collect()] == ["A"]

@@ -40,7 +40,8 @@ def start_ledger(spark: SparkSession, source: str, out: str, checkpoint: str, al
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source).withColumn("received_at", F.current_timestamp())
 
     def write(batch: DataFrame, n: int) -> None:
-        rows = parse_payloads(batch, aliases).withColumn("seq", F.monotonically_increasing_id()).persist()
+        rows = parse_payloads(batch, aliases).withColumns({"seq": F.monotonically_increasing_id(), "raw": F.when(F.col("reject").isNotNull(), F.col("raw"))})
+        rows = rows.persist()  # an accepted payload is held once, as its JSON
         rows.filter("reject is null").drop("reject", "raw").write.mode("overwrite").parquet(f"{out}/accepted/batch={n}")
         rows.filter("reject is not null").select("raw", "reject").write.mode("overwrite").parquet(f"{out}/rejected/batch={n}")
         rows.unpersist()
